@@ -1,8 +1,9 @@
-"""Column expressions and the three vectorised functions Spark has no built-in for."""
+"""Column expressions, skew-safe ordered helpers and the few functions that run in Python."""
 
 from pyspark import cloudpickle
 
-from . import similarity
+from . import similarity, slots
 
-# Ship the vectorised functions inside the task closure, so executors need no installed package.
-cloudpickle.register_pickle_by_value(similarity)
+# Ship the functions that run in Python inside the task closure: executors need no installed package.
+for _module in (similarity, slots):
+    cloudpickle.register_pickle_by_value(_module)

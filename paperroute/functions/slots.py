@@ -1,0 +1,26 @@
+"""First-free-slot assignment for one contested file name."""
+
+from __future__ import annotations
+
+import pandas as pd
+
+LAST_SUFFIX = 999  # fixed value: the bare name and numbers 2 to 999
+
+
+def walk_slots(group: pd.DataFrame) -> pd.DataFrame:
+    """Slots of one requested name whose closing times differ: earliest free slot per row.
+
+    A group holds at most 999 requests and 999 closings.
+    """
+    never, always = (float("inf"), float("inf")), (float("-inf"), 0)
+    closed = {}
+    for slot, ts, ident in group.loc[group["kind"] == 0, ["slot", "at_us", "at_id"]].values:
+        closed[int(slot)] = (ts, ident)
+    out = []
+    for ident, ts in group[group["kind"] == 1].sort_values("rank")[["id", "at_us"]].values:
+        free = (n for n in range(1, LAST_SUFFIX + 1) if closed.get(n, never) > (ts, ident))
+        slot = next(free, None)
+        if slot is not None:
+            closed[slot] = always
+        out.append((int(ident), slot))
+    return pd.DataFrame(out, columns=["id", "slot"]).astype({"slot": "Int32"})

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import ratio, with_exact_round
+from ..functions.numeric import ratio
 from ..sources.dimensions import PRICES
 
 KINDS = ["input", "output", "cache_write", "cache_read"]
@@ -54,11 +54,14 @@ def price_calls(calls: DataFrame, prices: Sequence[tuple] = PRICES) -> DataFrame
 
 
 def usage_scopes(calls: DataFrame, scopes: DataFrame, keys: Sequence[str] = ("tracking_id", "stage")) -> DataFrame:
-    """One row per scope with the totals of its calls; a scope without calls costs 0."""
+    """One row per scope with the totals of its calls; a scope without calls costs 0.
+
+    Costs are added as decimals, so the total does not depend on the order of the rows.
+    """
     sums = calls.groupBy(*keys).agg(
         F.count("*").alias("calls"),
         *[F.sum(t).alias(t) for t in TOKENS if t in calls.columns],
-        F.sum("cost_usd").alias("__cost"),
+        F.sum(F.col("cost_usd").cast("decimal(24,10)")).alias("__cost"),
         F.count_if(F.col("cost_usd").isNull()).alias("__unpriced"),
         F.min_by("model", F.when(F.coalesce("model", F.lit("")) != "", F.col("call_no"))).alias("model"),
     )
@@ -68,9 +71,9 @@ def usage_scopes(calls: DataFrame, scopes: DataFrame, keys: Sequence[str] = ("tr
         *keys, F.coalesce("calls", F.lit(0)).alias("calls"),
         *[F.coalesce(t, F.lit(0)).alias(t) for t in TOKENS if t in calls.columns],
         "model", known.alias("cost_known"),
-        F.when(known, F.coalesce("__cost", F.lit(0.0))).alias("cost_usd"),
+        F.when(known, F.coalesce(F.round("__cost", 6).cast("double"), F.lit(0.0))).alias("cost_usd"),
     )
-    return df.withColumn("cost_usd", F.round("cost_usd", 6))
+    return df
 
 
 def cost_per_doc(usage: DataFrame) -> DataFrame:
@@ -94,6 +97,10 @@ def cost_per_doc(usage: DataFrame) -> DataFrame:
     def total(value: Column, stage: Column) -> Column:
         return F.coalesce(F.sum(F.when(stage, value)), F.lit(0))
 
+    def usd(stage: Column) -> Column:
+        exact = F.col("cost_usd").cast("decimal(20,6)")
+        return F.coalesce(F.sum(F.when(stage, exact)), F.lit(0).cast("decimal(20,6)"))
+
     def named(stage: Column) -> Column:
         # distinct model lists, not calls: there are as many as combinations of models in use
         sets = F.flatten(F.collect_set(F.when(stage, F.col("__models"))))
@@ -109,10 +116,10 @@ def cost_per_doc(usage: DataFrame) -> DataFrame:
         F.sum("__n").alias("calls"), F.sum("__repairs").alias("repairs"),
         total(F.col("input_tokens"), ~x).alias("classify_input"),
         total(F.col("output_tokens"), ~x).alias("classify_output"),
-        F.coalesce(F.sum(F.when(~x, F.col("cost_usd"))), F.lit(0.0)).alias("classify_usd"),
+        usd(~x).alias("classify_usd"),
         total(F.col("input_tokens"), x).alias("extract_input"),
         total(F.col("output_tokens"), x).alias("extract_output"),
-        F.coalesce(F.sum(F.when(x, F.col("cost_usd"))), F.lit(0.0)).alias("extract_usd"),
+        usd(x).alias("extract_usd"),
         F.sum(F.coalesce("cache_read_tokens", F.lit(0))).alias("cache_read"),
         F.bool_or(F.col("cost_usd").isNull()).alias("__unknown"),
     )
@@ -123,7 +130,9 @@ def cost_per_doc(usage: DataFrame) -> DataFrame:
             "total_usd": F.when(~F.col("__unknown"), F.col("classify_usd") + F.col("extract_usd")),
         }
     ).drop("__unknown")
-    return df.withColumns({c: F.round(c, 4) for c in ("classify_usd", "extract_usd", "total_usd")})
+    return df.withColumns(
+        {c: F.round(c, 4).cast("double") for c in ("classify_usd", "extract_usd", "total_usd")}
+    )
 
 
 def exact_median(df: DataFrame, col: str) -> DataFrame:

@@ -20,9 +20,8 @@ def _clean_name(requested, original):
     s = strip(F.regexp_replace(s, r"^\.+", ""))
     s = strip(F.substring(s, 1, MAX_NAME))
     suffix = F.lower(F.regexp_extract(original, r"^.+(\.[^.]*)$", 1))
-    return F.when(
-        ~F.contains(s, F.lit(".")), F.concat(s, F.coalesce(suffix, F.lit("")))
-    ).otherwise(s)
+    bare = (s != "") & ~F.contains(s, F.lit("."))
+    return F.when(bare, F.concat(s, F.coalesce(suffix, F.lit("")))).otherwise(s)
 
 
 def apply_confirmations(confirms: DataFrame, decisions: DataFrame, docs: DataFrame) -> DataFrame:

@@ -191,11 +191,17 @@ def ledger_status(ledger: DataFrame) -> DataFrame:
     """Rows per state, plus backlog, filed and quarantined totals."""
     by_state = ledger.groupBy("state").agg(F.count("*").alias("n"))
     open_row = ~F.col("state").isin(*TERMINAL_STATES)
+    def figure(metric: str, key, n):
+        return F.struct(F.lit(metric).alias("metric"), key.alias("key"), n.alias("n"))
+
+    def only(condition):
+        return F.when(condition, F.col("n")).otherwise(F.lit(0).cast("long"))
+
     shown = F.array(
-        F.struct(F.lit("state").alias("metric"), F.col("state").alias("key"), F.col("n").alias("n")),
-        F.struct(F.lit("backlog"), F.lit("all"), F.when(open_row, F.col("n")).otherwise(F.lit(0).cast("long"))),
-        F.struct(F.lit("filed"), F.lit("all"), F.when(F.col("state") == "FILED", F.col("n")).otherwise(F.lit(0).cast("long"))),
-        F.struct(F.lit("quarantined"), F.lit("all"), F.when(F.col("state") == "QUARANTINED", F.col("n")).otherwise(F.lit(0).cast("long"))),
+        figure("state", F.col("state"), F.col("n")),
+        figure("backlog", F.lit("all"), only(open_row)),
+        figure("filed", F.lit("all"), only(F.col("state") == "FILED")),
+        figure("quarantined", F.lit("all"), only(F.col("state") == "QUARANTINED")),
     )
     return by_state.select(F.inline(shown)).groupBy("metric", "key").agg(F.sum("n").alias("n"))
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.grouping import top_per_group
 from ..functions.similarity import decompose
+from ..functions.slots import LAST_SUFFIX, walk_slots
 from ..functions.text import (
     ILLEGAL_IN_NAME, blank_to_null, drop_adjacent_repeats, extension, squeeze, strip,
 )
@@ -19,7 +19,6 @@ from ..sources.dimensions import CASING, LEGAL_SUFFIXES, SNAKE_WORDS, TAXONOMY,
 FALLBACK_SPECIFICATION = "Unclassified Fax"
 MAX_STEM = 80
 MAX_FACILITY = 38
-LAST_SUFFIX = 999
 
 
 def _lookup(table: dict[str, str]) -> Column:
@@ -196,31 +195,10 @@ def _numbered(name: Column, n: Column, suffix: str) -> Column:
 def _parent(name: Column, suffix: str) -> tuple[Column, Column]:
     """The name a numbered name derives from, and its number; null when it is not numbered."""
     before, after = (re.escape(p) for p in suffix.split("{n}", 1))
-    pattern = rf"(?s)^(.+){before}([1-9][0-9]{{0,2}}){after}$"
-    stem = _stem(name)
-    number = F.regexp_extract(stem, pattern, 2)
-    n = F.when(number != "", number.cast("int"))
-    n = F.when(n.between(2, LAST_SUFFIX), n)
-    return F.when(n.isNotNull(), F.concat(F.regexp_extract(stem, pattern, 1), _ext(name))), n
-
-
-def _walk_slots(group: pd.DataFrame) -> pd.DataFrame:
-    """Slots of one requested name whose closing times differ: earliest free slot per row.
-
-    A group holds at most 999 requests and 999 closings.
-    """
-    never, always = (float("inf"), float("inf")), (float("-inf"), 0)
-    closed = {}
-    for slot, ts, ident in group.loc[group["kind"] == 0, ["slot", "at_us", "at_id"]].values:
-        closed[int(slot)] = (ts, ident)
-    out = []
-    for ident, ts in group[group["kind"] == 1].sort_values("rank")[["id", "at_us"]].values:
-        free = (n for n in range(1, LAST_SUFFIX + 1) if closed.get(n, never) > (ts, ident))
-        slot = next(free, None)
-        if slot is not None:
-            closed[slot] = always
-        out.append((int(ident), slot))
-    return pd.DataFrame(out, columns=["id", "slot"]).astype({"slot": "Int32"})
+    pattern = rf"(?s)^(.+){before}([2-9]|[1-9][0-9]{{1,2}}){after}(\.[^.]*)?$"
+    numbered = name.rlike(pattern)
+    parent = F.regexp_replace(name, pattern, "$1$3")
+    return F.when(numbered, parent), F.when(numbered, F.regexp_extract(name, pattern, 2).cast("int"))
 
 
 def filing_plan(decisions: DataFrame, existing: DataFrame, policy: Policy = Policy()) -> DataFrame:
@@ -313,7 +291,7 @@ def _contested_slots(
         ]
 
     none = served.select(F.col("id").cast("long"), F.lit(None).cast("int").alias("slot")).limit(0)
-    deepest = names.filter(F.col("parent").isNotNull()).agg(F.max(level)).first()[0]
+    deepest = names.agg(F.max(F.when(F.col("parent").isNotNull(), level))).first()[0]
     if deepest is None:
         return none
     rows = served.join(contested, key, "left_semi").select(
@@ -335,7 +313,7 @@ def _contested_slots(
             here.drop("level").withColumns({"kind": F.lit(1), "at_id": F.col("id")}),
             allowMissingColumns=True,
         )
-        slots = events.groupBy(*key).applyInPandas(_walk_slots, "id long, slot int")
+        slots = events.groupBy(*key).applyInPandas(walk_slots, "id long, slot int")
         done = done.unionByName(slots)
         # numbered names handed out here are gone for the literal requests of the next level
         given = slots.filter(F.col("slot") > 1).join(here, "id")

@@ -111,15 +111,16 @@ def _(v: Get) -> DataFrame:
 
 def usage_rows(v: Get) -> DataFrame:
     """Usage lines with nested calls, priced."""
-    u = cost.price_calls(v("v_usage").withColumnRenamed("used_at", "at"), TEST_PRICES).withColumn("cost_usd", F.round("cost_usd", 6))
+    u = cost.price_calls(v("v_usage").withColumnRenamed("used_at", "at"), TEST_PRICES)
+    u = with_exact_round(u, 6, "cost_usd")
     main = F.struct(F.col("stage").alias("call"), "model")
     repair = F.struct(F.lit("repair").alias("call"), "model")
     return u.withColumn("calls", F.when(F.col("repaired"), F.array(main, repair)).otherwise(F.array(main)))
 
 
-SQL_PRICE = """CASE WHEN model LIKE 'model-a-1%' THEN (input_tokens * 15.0 + output_tokens * 75.0 + cache_read_tokens * 1.5) WHEN model LIKE 'model-a%' THEN (input_tokens * 5.0 + output_tokens * 25.0 + cache_read_tokens * 0.5)
- WHEN model LIKE 'model-b-2%' THEN (input_tokens * 2.0 + output_tokens * 10.0 + cache_read_tokens * 0.2) WHEN model LIKE 'model-b%' THEN (input_tokens * 3.0 + output_tokens * 15.0 + cache_read_tokens * 0.3) END"""
-SQL_COST = f"round(CAST({SQL_PRICE} AS DOUBLE) / 1000000, 6)"
+SQL_PRICE = """CASE WHEN model LIKE 'model-a-1%' THEN (input_tokens * 15.0::DOUBLE + output_tokens * 75.0::DOUBLE + cache_read_tokens * 1.5::DOUBLE) WHEN model LIKE 'model-a%' THEN (input_tokens * 5.0::DOUBLE + output_tokens * 25.0::DOUBLE + cache_read_tokens * 0.5::DOUBLE)
+ WHEN model LIKE 'model-b-2%' THEN (input_tokens * 2.0::DOUBLE + output_tokens * 10.0::DOUBLE + cache_read_tokens * 0.2::DOUBLE) WHEN model LIKE 'model-b%' THEN (input_tokens * 3.0::DOUBLE + output_tokens * 15.0::DOUBLE + cache_read_tokens * 0.3::DOUBLE) END"""
+SQL_COST = r(f"({SQL_PRICE}) / 1000000", 6)
 
 
 @query("src_usage_ledger", f"""
@@ -199,12 +200,12 @@ SELECT tracking_id, coalesce(arg_min(file_name, used_at) FILTER (WHERE file_name
  coalesce(string_agg(DISTINCT model, ', ' ORDER BY model) FILTER (WHERE stage = 'classify'), '') AS classify_models, coalesce(string_agg(DISTINCT model, ', ' ORDER BY model) FILTER (WHERE stage = 'extract'), '') AS extract_models,
  CAST(sum(CASE WHEN repaired THEN 2 ELSE 1 END) AS BIGINT) AS calls, CAST(sum(CASE WHEN repaired THEN 1 ELSE 0 END) AS BIGINT) AS repairs,
  CAST(coalesce(sum(input_tokens) FILTER (WHERE stage = 'classify'), 0) AS BIGINT) AS classify_input, CAST(coalesce(sum(output_tokens) FILTER (WHERE stage = 'classify'), 0) AS BIGINT) AS classify_output,
- round(coalesce(sum(c) FILTER (WHERE stage = 'classify'), 0), 4) AS classify_usd,
+ CAST(round(coalesce(sum(c) FILTER (WHERE stage = 'classify'), 0), 4) AS DOUBLE) AS classify_usd,
  CAST(coalesce(sum(input_tokens) FILTER (WHERE stage = 'extract'), 0) AS BIGINT) AS extract_input, CAST(coalesce(sum(output_tokens) FILTER (WHERE stage = 'extract'), 0) AS BIGINT) AS extract_output,
- round(coalesce(sum(c) FILTER (WHERE stage = 'extract'), 0), 4) AS extract_usd,
+ CAST(round(coalesce(sum(c) FILTER (WHERE stage = 'extract'), 0), 4) AS DOUBLE) AS extract_usd,
  CAST(sum(cache_read_tokens) AS BIGINT) AS cache_read, CAST(sum(input_tokens) AS BIGINT) AS total_input, CAST(sum(output_tokens) AS BIGINT) AS total_output,
- CASE WHEN NOT bool_or(c IS NULL) THEN round(sum(c), 4) END AS total_usd
-FROM (SELECT *, {SQL_COST} AS c FROM @v_usage) GROUP BY tracking_id"""
+ CASE WHEN NOT bool_or(c IS NULL) THEN CAST(round(sum(c), 4) AS DOUBLE) END AS total_usd
+FROM (SELECT *, CAST({SQL_COST} AS DECIMAL(20,6)) AS c FROM @v_usage) GROUP BY tracking_id"""
 
 
 @query("snk_cost_export", SQL_PER_DOC)

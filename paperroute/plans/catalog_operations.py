@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import parse_deadline
 from ..functions.similarity import decompose, fn_partial_ratio, fn_seq_ratio
-from ..functions.text import collapse
+from ..functions.numeric import with_exact_round
+from ..functions.text import clerk_form
 from ..operators import (
     confidence, cost, dashboard, decisions, evidence, fields, inbox, ledger, naming, responses,
     routing, storage, texts,
 )
 from ..sinks import exports
 from ..sources.dimensions import DRUG_NAMES, RETIRED_CATEGORIES, TAXONOMY, Policy
-from ..functions.text import clerk_form
 from .catalog import (
     AUTO, LATEST, SENDERS, SQL_COST, SQL_FOLDER, SQL_PER_DOC, SQL_PRICE, SUBTYPES, TEST_PRICES, Get,
     query, r, results, sql_clerk, sql_collapse, sql_strip, usage_rows,
@@ -321,7 +321,7 @@ FROM (SELECT doc_id, pos, {sql_strip('quote')} AS q FROM @v_evidence))) WHERE rn
 def _(v: Get) -> DataFrame:
     m, t = F.col("doc_id"), F.col("text")
     framing = F.when(m % 5 == 0, F.lit("Dear Dr.")).when(m % 5 == 1, F.lit("Imp/Plan:")).when(m % 5 == 2, F.lit("   ")).when(m % 5 == 3, F.lit("Thank you again for the visit")).otherwise(F.lit("Glaucoma suspect"))
-    again = F.when(m % 4 == 0, F.upper(F.substring(t, 1, 25))).when(m % 4 == 1, F.lit("GLAUCOMA suspect")).when(m % 4 == 3, F.lit("privileged and confidential"))
+    again = F.when(m % 4 == 0, F.translate(F.substring(t, 1, 25), "aeinot", "AEINOT")).when(m % 4 == 1, F.lit("GLAUCOMA suspect")).when(m % 4 == 3, F.lit("privileged and confidential"))
     quotes = F.array(F.concat(F.lit(" "), F.substring(t, 1, 25), F.lit(" ")), framing, again, F.col("lang"))
     df = evidence.filter_evidence(v("documents").select("doc_id", quotes.alias("quotes")), "quotes")
     return df.select("doc_id", F.array_join("quotes", "|").alias("kept"), F.size("quotes").cast("long").alias("n"))
@@ -462,19 +462,19 @@ def _(v: Get) -> DataFrame:
 @query("jn_price_prefix", f"""
 SELECT tracking_id, call_no, model, CASE WHEN model LIKE 'model-a-1%' THEN 'model-a-1' WHEN model LIKE 'model-a%' THEN 'model-a' WHEN model LIKE 'model-b-2%' THEN 'model-b-2' WHEN model LIKE 'model-b%' THEN 'model-b' END AS price_prefix, {SQL_COST} AS cost_usd FROM @v_usage""")
 def _(v: Get) -> DataFrame:
-    df = cost.price_calls(v("v_usage"), TEST_PRICES)
-    return df.select("tracking_id", "call_no", "model", "price_prefix", F.round("cost_usd", 6).alias("cost_usd"))
+    df = with_exact_round(cost.price_calls(v("v_usage"), TEST_PRICES), 6, "cost_usd")
+    return df.select("tracking_id", "call_no", "model", "price_prefix", "cost_usd")
 
 
 @query("ag_usage_scope", f"""
 WITH s AS (SELECT DISTINCT tracking_id, stage FROM @v_usage UNION SELECT DISTINCT tracking_id, 'classify' FROM @v_usage)
 SELECT s.tracking_id, s.stage, count(u.call_no) AS calls, CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS input_tokens, CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS output_tokens, CAST(coalesce(sum(cache_read_tokens), 0) AS BIGINT) AS cache_read_tokens,
- count(*) FILTER (WHERE u.call_no IS NOT NULL AND c IS NULL) = 0 AS cost_known, CASE WHEN count(*) FILTER (WHERE u.call_no IS NOT NULL AND c IS NULL) = 0 THEN round(coalesce(sum(c), 0), 4) END AS cost_usd
-FROM s LEFT JOIN (SELECT *, CAST({SQL_PRICE} AS DOUBLE) / 1000000 AS c FROM @v_usage) u ON u.tracking_id = s.tracking_id AND u.stage = s.stage GROUP BY 1, 2""")
+ count(*) FILTER (WHERE u.call_no IS NOT NULL AND c IS NULL) = 0 AS cost_known, CASE WHEN count(*) FILTER (WHERE u.call_no IS NOT NULL AND c IS NULL) = 0 THEN CAST(round(coalesce(sum(c), 0), 6) AS DOUBLE) END AS cost_usd
+FROM s LEFT JOIN (SELECT *, CAST(CAST({SQL_PRICE} AS DOUBLE) / 1000000 AS DECIMAL(24,10)) AS c FROM @v_usage) u ON u.tracking_id = s.tracking_id AND u.stage = s.stage GROUP BY 1, 2""")
 def _(v: Get) -> DataFrame:
     calls = cost.price_calls(v("v_usage"), TEST_PRICES)
     scopes = v("v_usage").select("tracking_id", "stage").union(v("v_usage").select("tracking_id", F.lit("classify")))
-    return cost.usage_scopes(calls, scopes).drop("model").withColumn("cost_usd", F.round("cost_usd", 4))
+    return cost.usage_scopes(calls, scopes).drop("model")
 
 
 @query("ag_cost_per_doc", SQL_PER_DOC)
@@ -602,7 +602,7 @@ SELECT *, CASE method WHEN 'NANP' THEN CASE WHEN length(nd) <> 10 THEN 'x' WHEN
  WHEN 'LUHN' THEN CASE WHEN length(d) <> 10 THEN 'x' WHEN ({_LUHN}) % 10 <> 0 THEN 'x' ELSE '' END
  WHEN 'DEA' THEN CASE WHEN NOT regexp_matches(upper(trim(value)), '^[A-PR-Z][A-Z9]\d{{7}}$') THEN 'x' WHEN (CAST(substr(d, 1, 1) AS INT) + CAST(substr(d, 3, 1) AS INT) + CAST(substr(d, 5, 1) AS INT) + 2 * (CAST(substr(d, 2, 1) AS INT) + CAST(substr(d, 4, 1) AS INT) + CAST(substr(d, 6, 1) AS INT))) % 10 <> CAST(substr(d, 7, 1) AS INT) THEN 'x' ELSE '' END
  WHEN 'FORMAT_7' THEN CASE WHEN length(d) <> 7 THEN 'x' ELSE '' END WHEN 'ICD10' THEN CASE WHEN regexp_matches(upper(trim(value)), '^[A-Z]\d{{2}}(\.\w{{1,4}})?$') THEN '' ELSE 'x' END
- WHEN 'DATE_RANGE' THEN CASE WHEN lower(field_key) LIKE '%duedate%' AND DATE '2026-10-01' - CAST(value AS DATE) > 730 THEN 'x' WHEN CAST(value AS DATE) > DATE '2029-10-01' THEN 'x' WHEN CAST(value AS DATE) < DATE '2000-01-01' THEN 'x' ELSE '' END ELSE '' END AS reason FROM (
+ WHEN 'DATE_RANGE' THEN CASE WHEN TRY_CAST(value AS DATE) IS NULL THEN 'x' WHEN lower(field_key) LIKE '%duedate%' AND DATE '2026-10-01' - TRY_CAST(value AS DATE) > 730 THEN 'x' WHEN TRY_CAST(value AS DATE) > DATE '2029-10-01' THEN 'x' WHEN TRY_CAST(value AS DATE) < DATE '2000-01-01' THEN 'x' ELSE '' END ELSE '' END AS reason FROM (
 SELECT *, regexp_replace(value, '\D', '', 'g') AS d, CASE WHEN length(regexp_replace(value, '\D', '', 'g')) = 11 AND regexp_replace(value, '\D', '', 'g') LIKE '1%' THEN substr(regexp_replace(value, '\D', '', 'g'), 2) ELSE regexp_replace(value, '\D', '', 'g') END AS nd,
  CASE WHEN value IS NULL THEN 'NONE' WHEN field_key LIKE '%Fax' THEN 'NANP' WHEN field_key LIKE '%Npi' THEN 'LUHN' WHEN field_key LIKE '%Dea' THEN 'DEA' WHEN field_key LIKE '%ncpdpId' THEN 'FORMAT_7' WHEN field_key LIKE '%icd10Codes' THEN 'ICD10' WHEN field_key LIKE '%Date' THEN 'DATE_RANGE' ELSE 'NONE' END AS method,
  CASE WHEN cv IS NULL THEN 0.0::DOUBLE WHEN cv > 1 THEN cv / 100.0::DOUBLE ELSE cv END AS confidence_before FROM (SELECT *, TRY_CAST(rtrim(confidence, '%') AS DOUBLE) AS cv FROM @v_field)))"""

@@ -95,7 +95,7 @@ UNION ALL SELECT d.doc_id, 2, substr(b.text, 1, 40) FROM @documents d JOIN @benc
     "v_evidence": """
 SELECT doc_id, 0 AS pos, concat(' ', substr(text, 1, 25), ' ') AS quote FROM @documents
 UNION ALL SELECT doc_id, 1, CASE doc_id % 5 WHEN 0 THEN 'Dear Dr.' WHEN 1 THEN 'Imp/Plan:' WHEN 2 THEN '   ' WHEN 3 THEN 'Thank you again for the visit' ELSE 'Glaucoma suspect' END FROM @documents
-UNION ALL SELECT doc_id, 2, CASE doc_id % 4 WHEN 0 THEN upper(substr(text, 1, 25)) WHEN 1 THEN 'GLAUCOMA suspect' WHEN 2 THEN NULL ELSE 'privileged and confidential' END FROM @documents
+UNION ALL SELECT doc_id, 2, CASE doc_id % 4 WHEN 0 THEN translate(substr(text, 1, 25), 'aeinot', 'AEINOT') WHEN 1 THEN 'GLAUCOMA suspect' WHEN 2 THEN NULL ELSE 'privileged and confidential' END FROM @documents
 UNION ALL SELECT doc_id, 3, lang FROM @documents""",
     "v_decision": f"""
 SELECT o_orderkey AS id, o_custkey AS doc_id, o_orderdate AS decided_at,

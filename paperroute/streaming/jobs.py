@@ -6,21 +6,20 @@ lost executor replaces its sub-folder, so a replayed batch changes nothing.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.grouping import latest_by
 from ..operators.ledger import MAX_ATTEMPTS, RETRY_BASE_MS, first_sightings, readiness_rule, throughput
 from ..operators.routing import filing_outcome, route
 from ..sources.dimensions import Policy
 from ..sources.files import binary_reader, manifest_rows
+from .state import DAY_MS, LastSeen, LedgerRow, StatusMoves
 
 MAX_FILES_PER_CYCLE = 25
-DAY_MS = 86_400_000
 
 
 def _write_batch(df: DataFrame, table: str, batch_id: int) -> None:
@@ -81,39 +80,20 @@ def ingest_stream(manifest: DataFrame, ledger: str, checkpoint: str, **trigger)
 # ------------------------------------------------------------------ readiness
 
 
-class LastSeen(StatefulProcessor):
-    """Keeps size and time of a path's last poll and puts them beside each new one."""
+def readiness_stream(observations: DataFrame, table: str, checkpoint: str, min_stable_ms: int = 10_000, timers: bool = False, **trigger) -> StreamingQuery:
+    """Readiness of each polled path; the poll before may lie in an earlier micro-batch.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "size_bytes bigint, mtime_ms bigint", DAY_MS)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        polls = pd.concat(list(rows)).sort_values("poll_ts")
-        sizes, times = polls["size_bytes"].astype("Int64"), polls["mtime_ms"].astype("Int64")
-        before = self.seen.get() if self.seen.exists() else (None, None)
-        out = polls.copy()
-        out["previous_size"] = sizes.shift(1)
-        out["previous_mtime"] = times.shift(1)
-        out.iloc[0, out.columns.get_loc("previous_size")] = pd.NA if before[0] is None else before[0]
-        out.iloc[0, out.columns.get_loc("previous_mtime")] = pd.NA if before[1] is None else before[1]
-        last = [None if pd.isna(v) else int(v) for v in (sizes.iloc[-1], times.iloc[-1])]
-        self.seen.update(tuple(last))
-        yield out
-
-    def close(self) -> None:
-        pass
-
-
-def readiness_stream(observations: DataFrame, table: str, checkpoint: str, min_stable_ms: int = 10_000, **trigger) -> StreamingQuery:
-    """Readiness of each polled path; the poll before may lie in an earlier micro-batch."""
+    ``timers`` lets the state of a path not seen for a day expire; it needs a trigger that keeps
+    running, because a stream with timers has no last batch.
+    """
     shape = "path string, poll_ts timestamp, size_bytes bigint, mtime_ms bigint, head_hex string"
     polls = observations.select(
         "path", F.col("poll_ts").cast("timestamp").alias("poll_ts"), "size_bytes", "mtime_ms", "head_hex"
     )
     paired = polls.groupBy("path").transformWithStateInPandas(
-        statefulProcessor=LastSeen(),
+        statefulProcessor=LastSeen(DAY_MS if timers else None),
         outputStructType=shape + ", previous_size bigint, previous_mtime bigint",
-        outputMode="append", timeMode="ProcessingTime",
+        outputMode="append", timeMode="ProcessingTime" if timers else "None",
     )
     judged = paired.withColumn("readiness", readiness_rule(min_stable_ms))
     return run_stream(judged, checkpoint, lambda df, i: _write_batch(df, table, i), trigger=trigger or None)
@@ -122,72 +102,18 @@ def readiness_stream(observations: DataFrame, table: str, checkpoint: str, min_s
 # ------------------------------------------------------------------ ledger lifecycle
 
 
-class LedgerRow(StatefulProcessor):
-    """Folds lifecycle events of one content hash into its current ledger row."""
-
-    shape = "attempts int, state string, next_attempt_ms bigint"
-
-    def __init__(self, base_ms: int = RETRY_BASE_MS, max_attempts: int = MAX_ATTEMPTS):
-        self.base_ms, self.max_attempts = base_ms, max_attempts
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.row = handle.getValueState("row", self.shape)
-
-    def _step(self, attempts: int, state: str, due: int | None, kind: str, at_ms: int):
-        if state == "FILED":
-            return attempts, state, None
-        if kind == "FILED":
-            return attempts, "FILED", None
-        if kind == "RETRY":
-            return 0, "DISCOVERED", None
-        if kind == "FAILED":
-            attempts += 1
-            if attempts >= self.max_attempts:
-                return attempts, "QUARANTINED", None
-            return attempts, "FAILED", at_ms + self.base_ms * 2 ** (attempts - 1)
-        return attempts, state, due
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values(["at_ms", "event_id"])
-        attempts, state, due = self.row.get() if self.row.exists() else (0, "DISCOVERED", None)
-        for kind, at_ms in zip(events["kind"], events["at_ms"]):
-            attempts, state, due = self._step(attempts, state, due, kind, int(at_ms))
-        self.row.update((attempts, state, due))
-        if due is not None and due > timerValues.getCurrentProcessingTimeInMs():
-            self.handle.registerTimer(due)
-        yield self._frame(key, attempts, state, due)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """The backoff is over: a row still waiting for this moment becomes due."""
-        if self.row.exists():
-            attempts, state, due = self.row.get()
-            if state == "FAILED" and due == expiredTimerInfo.getExpiryTimeInMs():
-                self.row.update((attempts, state, None))
-                yield self._frame(key, attempts, state, None)
-
-    @staticmethod
-    def _frame(key, attempts, state, due) -> pd.DataFrame:
-        return pd.DataFrame(
-            {
-                "content_sha256": [key[0]], "attempts": pd.array([attempts], dtype="Int32"),
-                "state": [state], "next_attempt_ms": pd.array([due], dtype="Int64"),
-            }
-        )
+def ledger_state_stream(events: DataFrame, table: str, checkpoint: str, timers: bool = False, **trigger) -> StreamingQuery:
+    """Current ledger rows from lifecycle events (FAILED, RETRY, FILED, others).
 
-    def close(self) -> None:
-        pass
-
-
-def ledger_state_stream(events: DataFrame, table: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Current ledger rows from lifecycle events (FAILED, RETRY, FILED, others)."""
+    With ``timers`` (and a trigger that keeps running) a row is sent again once its backoff is over.
+    """
     rows = events.select(
         "content_sha256", "event_id", "kind", F.unix_millis(F.col("at").cast("timestamp")).alias("at_ms")
     )
     folded = rows.groupBy("content_sha256").transformWithStateInPandas(
-        statefulProcessor=LedgerRow(),
+        statefulProcessor=LedgerRow(RETRY_BASE_MS, MAX_ATTEMPTS, timers),
         outputStructType="content_sha256 string, " + LedgerRow.shape,
-        outputMode="update", timeMode="ProcessingTime",
+        outputMode="update", timeMode="ProcessingTime" if timers else "None",
     )
     return run_stream(folded, checkpoint, lambda df, i: _write_batch(df, table, i), "update", trigger or None)
 
@@ -213,31 +139,6 @@ def route_stream(scored: DataFrame, table: str, checkpoint: str, policy: Policy
 # ------------------------------------------------------------------ live counts
 
 
-class StatusMoves(StatefulProcessor):
-    """Turns status events of one document into one leave and one enter per micro-batch."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", "status string, at_us bigint, event_id bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best = self.held.get() if self.held.exists() else None
-        old = None if best is None else best[0]
-        for chunk in rows:
-            last = chunk.sort_values(["at_us", "event_id"]).iloc[-1]
-            seen = (last["status"], int(last["at_us"]), int(last["event_id"]))
-            if best is None or seen[1:] > tuple(best[1:]):
-                best = seen
-        if best is not None and best[0] != old:
-            self.held.update(tuple(best))
-            moves = [(best[0], 1)] + ([(old, -1)] if old is not None else [])
-            yield pd.DataFrame(moves, columns=["status", "delta"])
-        elif best is not None:
-            self.held.update(tuple(best))
-
-    def close(self) -> None:
-        pass
-
-
 def dashboard_stream(events: DataFrame, table: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Counts over the latest status of each document, kept as small deltas per batch."""
     rows = events.select(
