@@ -8,19 +8,23 @@ LAST_SUFFIX = 999  # fixed value: the bare name and numbers 2 to 999
 
 
 def walk_slots(group: pd.DataFrame) -> pd.DataFrame:
-    """Slots of one requested name whose closing times differ: earliest free slot per row.
+    """Earliest free slot for each request of one name, when slots close at different times.
 
-    A group holds at most 999 requests and 999 closings.
+    A group holds at most 999 requests and a closing or two per slot.
     """
     never, always = (float("inf"), float("inf")), (float("-inf"), 0)
-    closed = {}
-    for slot, ts, ident in group.loc[group["kind"] == 0, ["slot", "at_us", "at_id"]].values:
-        closed[int(slot)] = (ts, ident)
-    out = []
-    for ident, ts in group[group["kind"] == 1].sort_values("rank")[["id", "at_us"]].values:
+    closed: dict[int, tuple] = {}
+    requests = group["kind"] == 1
+    gone = group.loc[~requests]
+    for slot, ts, ident in zip(gone["slot"], gone["at_us"], gone["at_id"]):
+        closed[int(slot)] = min(closed.get(int(slot), never), (ts, ident))
+    out = group.loc[requests].sort_values("rank")[["folder", "file_name", "at_us", "at_id"]].copy()
+    chosen = []
+    for ts, ident in zip(out["at_us"], out["at_id"]):
         free = (n for n in range(1, LAST_SUFFIX + 1) if closed.get(n, never) > (ts, ident))
         slot = next(free, None)
         if slot is not None:
             closed[slot] = always
-        out.append((int(ident), slot))
-    return pd.DataFrame(out, columns=["id", "slot"]).astype({"slot": "Int32"})
+        chosen.append(slot)
+    out["slot"] = pd.array(chosen, dtype="Int32")
+    return out

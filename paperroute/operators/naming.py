@@ -204,66 +204,59 @@ def _parent(name: Column, suffix: str) -> tuple[Column, Column]:
 def filing_plan(decisions: DataFrame, existing: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """A destination name for each row that no other file in the folder has.
 
-    ``decisions``: ``id`` (unique), ``tracking_id``, ``folder``, ``file_name``, ``filed_at``;
+    ``decisions``: ``id`` (unique number), ``tracking_id``, ``folder``, ``file_name``, ``filed_at``;
     ``existing``: ``folder``, ``file_name`` of the files already there.  Rows are served in
     ``filed_at``, ``id`` order: the bare name, then numbers 2 to 999, then the tracking id as a
     prefix.  Result: ``final_file_name``.
 
     Only the first 999 requests of a name can get a slot, so only those are ranked, however
-    often a name is requested.  Names requested literally in numbered form are resolved after
-    the name they derive from; the data sets how many such levels there are.
+    often a name is requested.  A name requested literally in numbered form competes with the
+    name it derives from; such names are resolved one level after it.  The data sets how many
+    levels there are, and one is the rule.
     """
     suffix = policy.collision_suffix
-    requests = decisions.select(
-        "id", "folder", "file_name", F.struct(F.col("filed_at"), F.col("id")).alias("at")
-    )
-    served = top_per_group(
-        requests, ["folder", "file_name"], [F.col("at")], LAST_SUFFIX, F.col("id")
+    key = ["folder", "file_name"]
+    before, after = (re.escape(p) for p in suffix.split("{n}", 1))
+    one = rf"{before}(?:[2-9]|[1-9][0-9]{{1,2}}){after}"
+    level = F.regexp_count(
+        F.regexp_extract(_stem(F.col("file_name")), rf"(?s)^.+?((?:{one})*)$", 1), F.lit(one)
     )
-    names = requests.groupBy("folder", "file_name").agg(
-        F.min("at").alias("first_at"), F.count("*").alias("n")
+    requests = decisions.select(
+        F.col("id").cast("long").alias("at_id"), *key,
+        F.unix_micros(F.col("filed_at").cast("timestamp")).alias("at_us"), level.alias("level"),
     )
+    order = [F.col("at_us"), F.col("at_id")]
+    served = top_per_group(requests, [*key, "level"], order, LAST_SUFFIX, F.col("at_id"))
     parent, number = _parent(F.col("file_name"), suffix)
-    names = names.withColumns({"parent": parent, "number": number})
-    # Slots taken before anything is filed: existing files, seen from the name they block.
-    taken = existing.select("folder", "file_name").distinct()
-    p2, n2 = _parent(F.col("file_name"), suffix)
-    blocked = taken.select("folder", "file_name", F.lit(1).alias("slot")).unionByName(
-        taken.select("folder", p2.alias("file_name"), n2.alias("slot")).dropna()
+    always = [F.lit(-1).cast("long").alias("at_us"), F.lit(0).cast("long").alias("at_id")]
+    # slots gone before anything is filed: an existing file blocks its own name and, when it is
+    # numbered, that number of the name it derives from
+    blocked = existing.select(*key, F.lit(1).alias("slot"), *always).unionByName(
+        existing.select("folder", parent.alias("file_name"), number.alias("slot"), *always).dropna(
+            subset=["file_name"]
+        )
     )
-    wanted = names.select("folder", "file_name", F.col("n"))
-    blocked = blocked.join(wanted.select("folder", "file_name"), ["folder", "file_name"], "left_semi")
-    # Numbered names asked for literally close the matching slot of their parent from then on.
+    # numbered names asked for literally close that number of their parent from then on
     closing = (
-        names.filter(F.col("parent").isNotNull())
-        .select("folder", F.col("parent").alias("file_name"), F.col("number").alias("slot"), "first_at")
-        .join(wanted, ["folder", "file_name"])
-        .filter(F.col("n") > 1)
-        .drop("n")
+        requests.filter(F.col("level") > 0)
+        .groupBy(*key)
+        .agg(F.min(F.struct("at_us", "at_id")).alias("m"))
+        .select("folder", parent.alias("file_name"), number.alias("slot"), "m.*")
     )
-    contested_parent = closing.select("folder", "file_name").distinct()
-    contested_child = closing.select(
-        "folder", _numbered(F.col("file_name"), F.col("slot"), suffix).alias("file_name")
-    ).distinct()
-    contested = contested_parent.unionByName(contested_child).distinct()
-
-    # Plain names: the i-th request takes the i-th slot that is not blocked.
-    plain = served.join(contested, ["folder", "file_name"], "left_anti")
-    by_slot = Window.partitionBy("folder", "file_name").orderBy("slot")
-    gaps = (
-        blocked.groupBy("folder", "file_name", "slot").agg(F.lit(1).alias("one")).drop("one")
-        # the number of free slots before a blocked one tells which ranks must skip it
-        .withColumn("free_before", F.col("slot") - F.row_number().over(by_slot))
-        .groupBy("folder", "file_name")
-        .agg(F.sort_array(F.collect_list("free_before")).alias("skips"))
-    )
-    plain = plain.join(gaps, ["folder", "file_name"], "left").withColumn(
-        "slot",
-        F.col("rank")
-        + F.coalesce(F.size(F.filter("skips", lambda f: f < F.col("rank"))), F.lit(0)),
-    )
-    plain = plain.select("id", F.when(F.col("slot") <= LAST_SUFFIX, F.col("slot")).alias("slot"))
-    solved = plain.unionByName(_contested_slots(served, names, blocked, closing, contested, suffix))
+    deepest = requests.agg(F.max("level")).first()[0] or 0
+    solved = None
+    for current in range(deepest + 1):
+        here = served.filter(F.col("level") == current).drop("level")
+        slots = _slots(here, blocked, closing)
+        mine = slots.select(F.col("at_id").alias("id"), "slot")
+        solved = mine if solved is None else solved.unionByName(mine)
+        # numbers handed out here are gone for the literal requests of the next level
+        closing = closing.unionByName(
+            slots.filter(F.col("slot") > 1).select(
+                "folder", _numbered(F.col("file_name"), F.col("slot"), suffix).alias("file_name"),
+                F.lit(1).alias("slot"), "at_us", "at_id",
+            )
+        )
     chosen = (
         F.when(F.col("slot") == 1, F.col("file_name"))
         .when(F.col("slot").isNotNull(), _numbered(F.col("file_name"), F.col("slot"), suffix))
@@ -272,55 +265,37 @@ def filing_plan(decisions: DataFrame, existing: DataFrame, policy: Policy = Poli
     return decisions.join(solved, "id", "left").withColumn("final_file_name", chosen).drop("slot")
 
 
-def _contested_slots(
-    served: DataFrame, names: DataFrame, blocked: DataFrame, closing: DataFrame,
-    contested: DataFrame, suffix: str,
-) -> DataFrame:
-    """Slots for names whose numbered forms are requested literally as well, level by level."""
-    key = ["folder", "file_name"]
-    before, after = (re.escape(p) for p in suffix.split("{n}", 1))
-    one = rf"{before}[1-9][0-9]{{0,2}}{after}"
-    level = F.regexp_count(
-        F.regexp_extract(_stem(F.col("file_name")), rf"(?s)^.+?((?:{one})*)$", 1), F.lit(one)
-    )
+def _slots(requests: DataFrame, blocked: DataFrame, closing: DataFrame) -> DataFrame:
+    """The slot of each ranked request; null when none is left.
 
-    def moment(at: str) -> list[Column]:
-        return [
-            F.unix_micros(F.col(f"{at}.filed_at").cast("timestamp")).alias("at_us"),
-            F.col(f"{at}.id").cast("long").alias("at_id"),
-        ]
-
-    none = served.select(F.col("id").cast("long"), F.lit(None).cast("int").alias("slot")).limit(0)
-    deepest = names.agg(F.max(F.when(F.col("parent").isNotNull(), level))).first()[0]
-    if deepest is None:
-        return none
-    rows = served.join(contested, key, "left_semi").select(
-        F.col("id").cast("long"), *key, "rank", *moment("at"), level.alias("level")
+    Requests, blocked slots and timed closings of a name meet in one shuffle.  Without a timed
+    closing the i-th request takes the i-th slot that is not blocked, which needs no loop.
+    """
+    key = ["folder", "file_name"]
+    events = (
+        requests.withColumn("kind", F.lit(1))
+        .unionByName(blocked.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+        .unionByName(closing.withColumn("kind", F.lit(2)), allowMissingColumns=True)
     )
-    closes = blocked.select(
-        *key, "slot", F.lit(-1).cast("long").alias("at_us"), F.lit(0).cast("long").alias("at_id")
-    ).unionByName(closing.select(*key, "slot", *moment("first_at")))
-    done = none
-    for current in range(deepest + 1):
-        here = rows.filter(F.col("level") == current)
-        earliest = (
-            closes.groupBy(*key, "slot")
-            .agg(F.min(F.struct("at_us", "at_id")).alias("m"))
-            .select(*key, "slot", "m.*")
-            .join(here.select(*key).distinct(), key, "left_semi")
-        )
-        events = earliest.withColumn("kind", F.lit(0)).unionByName(
-            here.drop("level").withColumns({"kind": F.lit(1), "at_id": F.col("id")}),
-            allowMissingColumns=True,
+    name = Window.partitionBy(*key)
+    taken = F.array_sort(F.collect_set(F.when(F.col("kind") == 0, F.col("slot"))).over(name))
+    events = events.withColumns(
+        {"taken": taken, "timed": F.max(F.col("kind") == 2).over(name), "asked": F.max(F.col("kind") == 1).over(name)}
+    ).filter("asked")
+    # a blocked slot is skipped by every rank above the number of free slots before it
+    skipped = F.size(
+        F.filter(
+            F.transform("taken", lambda t, i: t - i - F.lit(1)), lambda free: free < F.col("rank")
         )
-        slots = events.groupBy(*key).applyInPandas(walk_slots, "id long, slot int")
-        done = done.unionByName(slots)
-        # numbered names handed out here are gone for the literal requests of the next level
-        given = slots.filter(F.col("slot") > 1).join(here, "id")
-        closes = closes.unionByName(
-            given.select(
-                "folder", _numbered(F.col("file_name"), F.col("slot"), suffix).alias("file_name"),
-                F.lit(1).alias("slot"), "at_us", "at_id",
-            )
-        )
-    return done
+    )
+    slot = F.col("rank") + skipped
+    plain = events.filter(~F.col("timed") & (F.col("kind") == 1)).select(
+        *key, "at_us", "at_id", F.when(slot <= LAST_SUFFIX, slot).cast("int").alias("slot")
+    )
+    walked = (
+        events.filter("timed")
+        .select(*key, "kind", "slot", "rank", "at_us", "at_id")
+        .groupBy(*key)
+        .applyInPandas(walk_slots, "folder string, file_name string, at_us long, at_id long, slot int")
+    )
+    return plain.unionByName(walked)
