@@ -50,7 +50,9 @@ def table_exists(spark: SparkSession, table: str) -> bool:
 
 def intake_files(spark: SparkSession, root: str) -> DataFrame:
     """Files of an intake tree as they arrive, at most 25 per cycle."""
-    files = binary_reader(spark.readStream).option("maxFilesPerTrigger", MAX_FILES_PER_CYCLE).load(root)
+    shape = "path string, modificationTime timestamp, length bigint, content binary"
+    reader = binary_reader(spark.readStream).schema(shape)
+    files = reader.option("maxFilesPerTrigger", MAX_FILES_PER_CYCLE).load(root)
     return manifest_rows(files, root).withColumn("seen_at", F.current_timestamp().cast("timestamp_ntz"))
 
 
@@ -64,15 +66,21 @@ def ingest_stream(manifest: DataFrame, ledger: str, checkpoint: str, **trigger)
     """
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = first_sightings(batch).withColumn("sha_prefix", F.substring("content_sha256", 1, 2))
+        prefix = F.concat(F.lit("p"), F.substring("content_sha256", 1, 2))
+        seen = first_sightings(batch).withColumn("sha_prefix", prefix).persist()
+        new = seen
         if table_exists(spark, ledger):
-            past = spark.read.parquet(ledger).filter(F.col("batch_id") < batch_id)
-            known = past.select("content_sha256", F.col("sha_prefix").cast("string").alias("sha_prefix"))
-            new = new.join(known, ["sha_prefix", "content_sha256"], "left_anti")
+            # at most 256 values: they decide which folders of the ledger are read at all
+            prefixes = [r[0] for r in seen.select("sha_prefix").distinct().collect()]
+            past = spark.read.parquet(ledger).filter(
+                (F.col("batch_id") < batch_id) & F.col("sha_prefix").isin(prefixes)
+            )
+            new = seen.join(past.select("content_sha256"), "content_sha256", "left_anti")
         rows = new.withColumns(
             {"state": F.lit("DISCOVERED"), "origin": F.lit("SCANNER"), "attempts": F.lit(0)}
         )
         rows.write.mode("overwrite").partitionBy("sha_prefix").parquet(f"{ledger}/batch_id={batch_id}")
+        seen.unpersist()
 
     return run_stream(manifest, checkpoint, each, trigger=trigger or None)
 
