@@ -175,18 +175,142 @@ def fn_nfkd(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFKD", s))
 
 
+def _hits(needle: np.ndarray, text: np.ndarray, words: int) -> np.ndarray:
+    """For each text position the needle positions holding the same character, as bit words."""
+    chars, slot = np.unique(needle, return_inverse=True)
+    table = np.zeros((len(chars) + 1, words), dtype=np.uint64)
+    at = np.arange(len(needle))
+    np.bitwise_or.at(table, (slot, at // _WORD), _ONE << (at % _WORD).astype(np.uint64))
+    where = np.searchsorted(chars, text)
+    where[where == len(chars)] = 0
+    return table[np.where(chars[where] == text, where, len(chars))]
+
+
+def _lcs_spans(hits: np.ndarray, starts: np.ndarray, spans: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Longest common subsequence of each stretch of text with its own needle.
+
+    ``hits`` holds the texts of many pairs end to end; a stretch is a start and a length, and
+    ``sizes`` is the length of its needle.  All stretches advance one character per step.
+    """
+    words = hits.shape[1]
+    order = np.argsort(-spans, kind="stable")
+    at, left = starts[order], spans[order]
+    state = np.full((words, len(at)), _FULL, dtype=np.uint64)
+    running = len(at)
+    for j in range(int(left[0]) if len(left) else 0):
+        while running and left[running - 1] <= j:
+            running -= 1
+        rows = hits[at[:running] + j]
+        carry = None
+        for w in range(words):
+            v = state[w, :running]
+            u = v & rows[:, w]
+            total = v + u
+            over = total < v
+            if carry is not None:
+                more = total + carry
+                over |= more < total
+                total = more
+            if w + 1 < words:
+                carry = over.astype(np.uint64)
+            state[w, :running] = total | (v - u)
+    size = sizes[order]
+    found = np.zeros(len(at), dtype=np.int64)
+    for w in range(words):
+        valid = np.clip(size - w * _WORD, 0, _WORD)
+        mask = np.where(valid >= _WORD, _FULL, (_ONE << np.minimum(valid, _WORD - 1).astype(np.uint64)) - _ONE)
+        found += np.bitwise_count(~state[w] & mask)
+    out = np.empty(len(at), dtype=np.int64)
+    out[order] = found
+    return out
+
+
+def _ranges(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``first[i], first[i] + 1, ...`` for each i, end to end."""
+    total = int(counts.sum())
+    ahead = np.repeat(np.cumsum(counts) - counts, counts)
+    return np.repeat(first, counts) + np.arange(total) - ahead
+
+
+def _windows_reach(pairs: list[tuple[np.ndarray, np.ndarray]], floor: float) -> np.ndarray:
+    """For each (needle, longer text) pair: does some full-width window reach ``floor``?
+
+    Windows inside a block share no longer subsequence with the needle than the block does, so
+    whole blocks are dropped first.  All pairs of the list are worked on together.
+    """
+    reached = np.zeros(len(pairs), dtype=bool)
+    words = -(-max(len(x) for x, _ in pairs) // _WORD)
+    m = np.array([len(x) for x, _ in pairs])
+    n = np.array([len(y) for _, y in pairs])
+    step = np.maximum(1, m // 2)
+    base = np.concatenate([[0], np.cumsum(n + m + step)])
+    hits = np.zeros((int(base[-1]), words), dtype=np.uint64)
+    for i, (x, y) in enumerate(pairs):
+        hits[base[i] : base[i] + n[i]] = _hits(x, y, words)
+    blocks = -(-(n - m + 1) // step)
+    owner = np.repeat(np.arange(len(pairs)), blocks)
+    first = _ranges(np.zeros(len(pairs), dtype=np.int64), blocks) * step[owner]
+    best = _lcs_spans(hits, base[owner] + first, (m + step - 1)[owner], m[owner])
+    good = best >= floor * m[owner] / 100.0 - 1e-9
+    owner, first = owner[good], first[good]
+    count = np.minimum(step[owner], n[owner] - m[owner] + 1 - first)
+    start = _ranges(first, count)
+    owner = np.repeat(owner, count)
+    for lo in range(0, len(owner), 500_000):
+        own, at = owner[lo : lo + 500_000], start[lo : lo + 500_000]
+        open_ = ~reached[own]
+        own, at = own[open_], at[open_]
+        lcs = _lcs_spans(hits, base[own] + at, m[own], m[own])
+        reached[own[100.0 * lcs / m[own] >= floor]] = True
+    return reached
+
+
+def reach_floor(quotes: list[str], texts: list[str], floor: float) -> np.ndarray:
+    """For each pair: is the partial ratio at least ``floor``?"""
+    out = np.zeros(len(quotes), dtype=bool)
+    left: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
+    for i, (a, b) in enumerate(zip(quotes, texts)):
+        if not a or not b:
+            out[i] = floor <= (100.0 if len(a) == len(b) else 0.0)
+            continue
+        if len(a) > len(b):
+            a, b = b, a
+        if a in b:
+            out[i] = floor <= 100.0
+        else:
+            left.setdefault(-(-len(a) // _WORD), []).append((i, _codes(a), _codes(b)))
+    for words, group in left.items():
+        batch: list[tuple[int, np.ndarray, np.ndarray]] = []
+        room = 4_000_000 // words
+        used = 0
+        for k, item in enumerate(group):
+            batch.append(item)
+            used += len(item[2])
+            if used >= room or k + 1 == len(group):
+                flags = _windows_reach([(x, y) for _, x, y in batch], floor)
+                for (i, x, y), flag in zip(batch, flags):
+                    out[i] = flag or _edge_scores(x, y) >= floor or (
+                        len(x) == len(y) and _edge_scores(y, x) >= floor
+                    )
+                batch, used = [], 0
+    return out
+
+
 @F.pandas_udf(IntegerType())
 def count_similar(quotes: pd.Series, text: pd.Series, floor: pd.Series) -> pd.Series:
     """How many of the quotes reach ``floor`` somewhere in the text; null quotes never do."""
-    return pd.Series(
-        [
-            0
-            if qs is None or t is None
-            else sum(1 for q in qs if q is not None and partial_ratio_of(q, t, f) >= f)
-            for qs, t, f in zip(quotes, text, floor)
-        ],
-        dtype="int32",
-    )
+    counts = np.zeros(len(text), dtype=np.int32)
+    rows, needles, bodies = [], [], []
+    for i, (qs, t) in enumerate(zip(quotes, text)):
+        if qs is not None and t is not None:
+            for q in qs:
+                if q is not None:
+                    rows.append(i)
+                    needles.append(q)
+                    bodies.append(t)
+    if rows:
+        np.add.at(counts, rows, reach_floor(needles, bodies, float(floor.iloc[0])).astype(np.int32))
+    return pd.Series(counts)
 
 
 @F.pandas_udf(BooleanType())

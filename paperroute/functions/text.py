@@ -13,6 +13,8 @@ WHITESPACE = (
 ILLEGAL_IN_NAME = r'[\\/:*?"<>|\x00-\x1f]'
 
 _WS_CLASS = "[" + "".join(f"\\u{ord(c):04x}" for c in WHITESPACE) + "]"
+# The one-byte part of the class is matched by table lookup, several times faster.
+_WS_LATIN = r"[\t-\r\x1c-\x20\x85\xa0]"
 
 
 def strip(col: Column) -> Column:
@@ -26,12 +28,15 @@ def blank_to_null(col: Column) -> Column:
 
 def collapse(col: Column) -> Column:
     """Lower case, white space runs to one blank, trimmed."""
-    return F.btrim(F.regexp_replace(F.lower(col), _WS_CLASS + "+", " "), F.lit(" "))
+    return F.btrim(squeeze(F.lower(col)), F.lit(" "))
 
 
 def squeeze(col: Column) -> Column:
     """White space runs to one blank; case and ends untouched."""
-    return F.regexp_replace(col, _WS_CLASS + "+", " ")
+    wide = col.rlike(r"[^\x00-\xff]")
+    return F.when(wide, F.regexp_replace(col, _WS_CLASS + "+", " ")).otherwise(
+        F.regexp_replace(col, _WS_LATIN + "+", " ")
+    )
 
 
 def digits(col: Column) -> Column:

@@ -218,9 +218,8 @@ def filing_plan(decisions: DataFrame, existing: DataFrame, policy: Policy = Poli
     key = ["folder", "file_name"]
     before, after = (re.escape(p) for p in suffix.split("{n}", 1))
     one = rf"{before}(?:[2-9]|[1-9][0-9]{{1,2}}){after}"
-    level = F.regexp_count(
-        F.regexp_extract(_stem(F.col("file_name")), rf"(?s)^.+?((?:{one})*)$", 1), F.lit(one)
-    )
+    tail = F.regexp_extract(_stem(F.col("file_name")), rf"(?s)^.+?((?:{one})*)$", 1)
+    level = F.when(F.col("file_name").rlike(one), F.regexp_count(tail, F.lit(one))).otherwise(F.lit(0))
     requests = decisions.select(
         F.col("id").cast("long").alias("at_id"), *key,
         F.unix_micros(F.col("filed_at").cast("timestamp")).alias("at_us"), level.alias("level"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from paperroute.functions.dates import parse_deadline
 from paperroute.functions.grouping import as_of, top_per_group, with_previous, with_running
 from paperroute.functions.numeric import with_exact_round
-from paperroute.functions.similarity import fn_nfkd, partial_ratio_of, seq_ratio_of
+from paperroute.functions.similarity import fn_nfkd, partial_ratio_of, reach_floor, seq_ratio_of
 from paperroute.functions.text import clerk_form, collapse, extension, phone_digits, strip
 
 
@@ -150,3 +150,20 @@ def test_top_per_group_is_exact_under_skew(spark):
     for key in {d[0] for d in data}:
         want = sorted((d for d in data if d[0] == key), key=lambda d: (-d[1].timestamp(), d[2]))[:20]
         assert [r.id for r in sorted((r for r in got if r.k == key), key=lambda r: r.rank)] == [d[2] for d in want]
+
+
+def test_batched_threshold_equals_brute_force():
+    rng = random.Random(13)
+    quotes, texts = [], []
+    for i in range(140):
+        size = rng.choice([0, 3, 30, 150, 250])
+        text = "".join(rng.choice("abcdefg ") for _ in range(size))
+        width = rng.choice([1, 5, 20, 64, 65, 130])
+        start = rng.randrange(len(text)) if text else 0
+        base = text[start : start + width] if rng.random() < 0.8 else "".join(rng.choice("abcdefg ") for _ in range(width))
+        keep = rng.choice([0.7, 0.8, 0.9])
+        quotes.append("".join(c if rng.random() < keep else rng.choice("xyz") for c in base))
+        texts.append(text)
+    got = reach_floor(quotes, texts, 80.0)
+    want = [brute_partial_ratio(q, t) >= 80.0 for q, t in zip(quotes, texts)]
+    assert list(got) == want and 20 < sum(want) < 130
