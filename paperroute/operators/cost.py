@@ -90,7 +90,8 @@ def cost_per_doc(usage: DataFrame) -> DataFrame:
     df = usage.withColumns(
         {
             "tracking_id": F.coalesce("tracking_id", F.lit("unknown")),
-            "__x": extract, "__n": n_calls, "__models": models, "__repairs": F.greatest(repairs, F.lit(0)),
+            "__x": extract, "__n": n_calls, "__models": F.array_join(models, "\n"),
+            "__repairs": F.greatest(repairs, F.lit(0)),
         }
     )
 
@@ -103,8 +104,9 @@ def cost_per_doc(usage: DataFrame) -> DataFrame:
 
     def named(stage: Column) -> Column:
         # distinct model lists, not calls: there are as many as combinations of models in use
-        sets = F.flatten(F.collect_set(F.when(stage, F.col("__models"))))
-        return F.array_join(F.array_sort(F.array_distinct(sets)), ", ")
+        lists = F.array_join(F.collect_set(F.when(stage, F.col("__models"))), "\n")
+        names = F.filter(F.split(lists, "\n"), lambda m: m != "")
+        return F.array_join(F.array_sort(F.array_distinct(names)), ", ")
 
     x = F.col("__x")
     first_file = F.min_by("file_name", F.when(F.coalesce("file_name", F.lit("")) != "", F.col("at")))

@@ -181,16 +181,20 @@ def override_signals(decisions: DataFrame, cls: DataFrame) -> DataFrame:
 
     All subtotals: a null category or folder with its ``all_`` flag set stands for every value.
     """
-    settled = decisions.filter(F.col("routing_status").isin(*FINAL)).select(
-        "doc_id", "suggested_folder",
-        F.coalesce(~F.col("final_folder").eqNullSafe(F.col("suggested_folder")), F.lit(False)).alias("__folder"),
-        F.coalesce("file_name_overridden", F.lit(False)).alias("__name"),
-    )
-    df = settled.join(cls.select("doc_id", "category"), "doc_id", "left")
-    fine = df.groupBy("category", "suggested_folder").agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col("__folder")).alias("f"),
-        F.count_if(F.col("__name")).alias("m"),
+    folder = F.coalesce(~F.col("final_folder").eqNullSafe(F.col("suggested_folder")), F.lit(False))
+    # counted per document and folder first, so a document decided very often joins as few rows
+    counted = (
+        decisions.filter(F.col("routing_status").isin(*FINAL))
+        .groupBy("doc_id", "suggested_folder")
+        .agg(
+            F.count("*").alias("n"), F.count_if(folder).alias("f"),
+            F.count_if(F.coalesce("file_name_overridden", F.lit(False))).alias("m"),
+        )
+    )
+    fine = (
+        counted.join(cls.select("doc_id", "category"), "doc_id", "left")
+        .groupBy("category", "suggested_folder")
+        .agg(F.sum("n").alias("n"), F.sum("f").alias("f"), F.sum("m").alias("m"))
     )
     cube = fine.cube("category", "suggested_folder").agg(
         F.grouping("category").cast("int").alias("all_categories"),
