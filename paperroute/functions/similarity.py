@@ -18,7 +18,6 @@ from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType
 
 _WORD = 64
 _ONE = np.uint64(1)
-_TOP = np.uint64(_WORD - 1)
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -26,43 +25,6 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def _lcs_columns(needle: np.ndarray, texts: np.ndarray) -> np.ndarray:
-    """Length of the longest common subsequence of ``needle`` with each row of ``texts``.
-
-    One machine word holds 64 needle positions; all rows advance together, one character at a
-    time.  A zero bit in the state marks a matched position.
-    """
-    rows, width = texts.shape
-    words = -(-len(needle) // _WORD)
-    alphabet = np.unique(needle)
-    # bit masks per known character, the last row (all zero) stands for any other character
-    masks = np.zeros((len(alphabet) + 1, words), dtype=np.uint64)
-    slot_of = np.searchsorted(alphabet, needle)
-    for i, slot in enumerate(slot_of):
-        masks[slot, i // _WORD] |= _ONE << np.uint64(i % _WORD)
-    slots = np.searchsorted(alphabet, texts)
-    slots[slots == len(alphabet)] = 0
-    known = alphabet[slots] == texts
-    slots = np.where(known, slots, len(alphabet))
-    state = np.full((words, rows), _FULL, dtype=np.uint64)
-    for j in range(width):
-        hit = masks[slots[:, j]]
-        carry = np.zeros(rows, dtype=np.uint64)
-        for w in range(words):
-            v = state[w]
-            u = v & hit[:, w]
-            total = v + u
-            over = total < v
-            with_carry = total + carry
-            over |= with_carry < total
-            carry = over.astype(np.uint64)
-            state[w] = with_carry | (v & ~hit[:, w])
-    tail = len(needle) - (words - 1) * _WORD
-    if tail < _WORD:
-        state[words - 1] |= _FULL << np.uint64(tail)
-    return np.bitwise_count(~state).sum(axis=0).astype(np.int64)
-
-
 def _edge_scores(needle: np.ndarray, text: np.ndarray) -> float:
     """Best score over the proper prefixes and suffixes of ``text`` shorter than the needle."""
     m = len(needle)
@@ -87,48 +49,38 @@ def _edge_scores(needle: np.ndarray, text: np.ndarray) -> float:
     return best
 
 
-def _window_best(needle: np.ndarray, text: np.ndarray, floor: float) -> float:
-    """Best full-width window score, exact whenever it is at least ``floor``.
+def _window_best(needle: np.ndarray, text: np.ndarray) -> float:
+    """Best score over the windows of the needle's length.
 
-    Two exact upper bounds discard most positions first: a window shares no longer
-    subsequence with the needle than a block around it does, and no more characters than the
-    two have in common.
+    A window shares no longer subsequence with the needle than the block around it does, so
+    after the most promising block only blocks that could still do better are looked at.
     """
     m, n = len(needle), len(text)
-    need = floor * m / 100.0
-    count = n - m + 1
-    keep = np.ones(count, dtype=bool)
-    if floor > 0 and n > 4 * m:
-        step = max(1, m // 2)
-        starts = np.arange(0, count, step)
-        span = m + step - 1
-        padded = np.concatenate([text, np.full(span, 0xFFFFFFFF, dtype=np.uint32)])
-        blocks = np.lib.stride_tricks.sliding_window_view(padded, span)[starts]
-        good = _lcs_columns(needle, blocks) >= need - 1e-9
-        keep = np.repeat(good, step)[:count]
-    if not keep.any():
-        return 0.0
-    best = 0.0
-    chosen = np.flatnonzero(keep)
-    if floor > 0:
-        shared = np.zeros(len(chosen), dtype=np.int64)
-        chars, needed = np.unique(needle, return_counts=True)
-        for ch, cap in zip(chars, needed):
-            run = np.concatenate([[0], np.cumsum(text == ch)])
-            shared += np.minimum(run[chosen + m] - run[chosen], cap)
-        chosen = chosen[shared >= need - 1e-9]
-    windows = np.lib.stride_tricks.sliding_window_view(text, m)
-    for lo in range(0, len(chosen), 65536):
-        lcs = _lcs_columns(needle, windows[chosen[lo : lo + 65536]])
-        best = max(best, 100.0 * int(lcs.max()) / m)
-    return best
+    words = -(-m // _WORD)
+    step = max(1, m // 2)
+    hits = np.zeros((n + m + step, words), dtype=np.uint64)
+    hits[:n] = _hits(needle, text, words)
 
+    def lcs(starts: np.ndarray, span: int) -> np.ndarray:
+        size = np.full(len(starts), m)
+        return _lcs_spans(hits, starts, np.full(len(starts), span), size)
 
-def partial_ratio_of(a: str, b: str, floor: float = 0.0) -> float:
-    """Best window similarity of two strings, 0 to 100.
+    blocks = np.arange(0, n - m + 1, step)
+    bound = lcs(blocks, m + step - 1)
 
-    Scores below ``floor`` may be reported as any smaller value, which allows early pruning.
-    """
+    def best_of(chosen: np.ndarray) -> int:
+        first = blocks[chosen]
+        return int(lcs(_ranges(first, np.minimum(step, n - m + 1 - first)), m).max())
+
+    top = best_of(np.array([int(bound.argmax())]))
+    rest = np.flatnonzero(bound > top)
+    if len(rest):
+        top = max(top, best_of(rest))
+    return 100.0 * top / m
+
+
+def partial_ratio_of(a: str, b: str) -> float:
+    """Best window similarity of two strings, 0 to 100."""
     if not a or not b:
         return 100.0 if len(a) == len(b) else 0.0
     if len(a) > len(b):
@@ -136,7 +88,7 @@ def partial_ratio_of(a: str, b: str, floor: float = 0.0) -> float:
     if a in b:
         return 100.0
     x, y = _codes(a), _codes(b)
-    best = max(_window_best(x, y, floor), _edge_scores(x, y))
+    best = max(_window_best(x, y), _edge_scores(x, y))
     if len(x) == len(y):
         best = max(best, _edge_scores(y, x))
     return best

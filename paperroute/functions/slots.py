@@ -12,7 +12,7 @@ def walk_slots(group: pd.DataFrame) -> pd.DataFrame:
 
     A group holds at most 999 requests and a closing or two per slot.
     """
-    never, always = (float("inf"), float("inf")), (float("-inf"), 0)
+    never = (float("inf"), float("inf"))
     closed: dict[int, tuple] = {}
     requests = group["kind"] == 1
     gone = group.loc[~requests]
@@ -20,11 +20,12 @@ def walk_slots(group: pd.DataFrame) -> pd.DataFrame:
         closed[int(slot)] = min(closed.get(int(slot), never), (ts, ident))
     out = group.loc[requests].sort_values("rank")[["folder", "file_name", "at_us", "at_id"]].copy()
     chosen = []
+    slot = 1
     for ts, ident in zip(out["at_us"], out["at_id"]):
-        free = (n for n in range(1, LAST_SUFFIX + 1) if closed.get(n, never) > (ts, ident))
-        slot = next(free, None)
-        if slot is not None:
-            closed[slot] = always
-        chosen.append(slot)
+        # requests come in time order and a slot never opens again, so the search only moves on
+        while slot <= LAST_SUFFIX and closed.get(slot, never) <= (ts, ident):
+            slot += 1
+        chosen.append(slot if slot <= LAST_SUFFIX else None)
+        slot += 1
     out["slot"] = pd.array(chosen, dtype="Int32")
     return out
