@@ -84,19 +84,18 @@ def verify_evidence(
 def exact_evidence(cls: DataFrame, texts: DataFrame, key: str = "doc_id") -> DataFrame:
     """The native part alone: the share of quotes contained word for word."""
     body = texts.select(key, collapse(F.col("text")).alias("__text"))
-    df = cls.join(body, key, "left")
-    found = F.filter(
-        "evidence",
-        lambda q: q.isNotNull() & (q != "") & F.contains(F.col("__text"), collapse(q)),
-    )
+    usable = F.filter("evidence", lambda q: q.isNotNull() & (q != ""))
+    df = cls.withColumn("__quotes", F.transform(usable, collapse)).join(body, key, "left")
+    # counted once: the two results below share it
+    df = df.withColumn("__found", F.size(F.filter("__quotes", lambda q: F.contains(F.col("__text"), q))))
     total = F.coalesce(F.size("evidence"), F.lit(0))
     return df.withColumns(
         {
             "quotes_total": total,
-            "quotes_exact": F.coalesce(F.size(found), F.lit(0)),
-            "evidence_score": F.when(total > 0, ratio(F.size(found), total)).otherwise(F.lit(0.5)),
+            "quotes_exact": F.greatest(F.coalesce("__found", F.lit(0)), F.lit(0)),
+            "evidence_score": F.when(total > 0, ratio(F.col("__found"), total)).otherwise(F.lit(0.5)),
         }
-    ).drop("__text")
+    ).drop("__text", "__quotes", "__found")
 
 
 def quote_scores(quotes: DataFrame, texts: DataFrame, key: str = "doc_id") -> DataFrame:

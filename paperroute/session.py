@@ -31,6 +31,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        # on one machine a broadcast side is built by one thread: shuffle anything but small tables
+        .config("spark.sql.autoBroadcastJoinThreshold", "1m")
     )
     for key, value in JOB_SETTINGS.items():
         builder = builder.config(key, value)
