@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import cost
-from ..session import work_dir
+from ..session import stream_session, work_dir
 from ..streaming import jobs
 from .catalog import TEST_PRICES, Get, query
 from .catalog_operations import SQL_READY, SQL_ROUTE
@@ -25,10 +25,11 @@ def _arrive(
 ) -> tuple[SparkSession, str]:
     """Write each part to an intake folder and run the stream over what is new."""
     spark = parts[0].sparkSession
+    streams = stream_session(spark)
     root = work_dir(spark, label)
     for part in parts:
         part.write.mode("append").parquet(f"{root}/in")
-        stream = spark.readStream.schema(part.schema).parquet(f"{root}/in")
+        stream = streams.readStream.schema(part.schema).parquet(f"{root}/in")
         start(stream, f"{root}/out", f"{root}/checkpoint").awaitTermination()
     return spark, f"{root}/out"
 

@@ -13,7 +13,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _bound(fn: Callable[[catalog.Get], DataFrame]) -> Query:
-    return lambda spark, sf_dir: fn(spark_views(spark, sf_dir))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        # the driver tables carry times without a zone, which the queries read as UTC
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark_views(spark, sf_dir))
+
+    return run
 
 
 def all_queries() -> dict[str, Query]:
