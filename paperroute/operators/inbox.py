@@ -46,7 +46,11 @@ def _first_with_source(*candidates: tuple[Column, str]) -> tuple[Column, Column]
 
 def inbox_rows(docs: DataFrame, cls: DataFrame, decisions: DataFrame, meta: DataFrame) -> DataFrame:
     """One summary row per document, each sender value with the source it came from."""
-    last = latest_decision(decisions).select(
+    # only what the row shows travels through the aggregate
+    shown = decisions.select(
+        "id", "doc_id", "decided_at", "routing_status", "suggested_folder", "suggested_file_name"
+    )
+    last = latest_decision(shown).select(
         "doc_id", "routing_status", "suggested_folder",
         F.col("suggested_file_name").alias("__decided_name"),
     )
