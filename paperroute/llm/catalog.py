@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from paperroute.session import work_dir
+
+from .binary import document_ids, write_ids
 from .common import table
 from .counting import token_counts
+from .packing import packed_documents
 from .sharding import mixed_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +25,18 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op3_exact_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_dir(spark, "packed-ids")
+    write_ids(table(spark, sf_dir, "documents"), path)
+    return document_ids(spark, path)
+
+
 @query
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))

@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,7 +88,7 @@ def token_counts(
             short = [t for t in texts if len(t) <= chunk]
             lengths = iter(len(ids) for ids in sp.encode(short, return_type="numpy", num_threads=1))
             tokens = np.array([next(lengths) if len(t) <= chunk else spliced_count(model, t, chunk, overlap) for t in texts], np.int64)
-            sizes = pa.compute.binary_length(column).cast(pa.int64())
+            sizes = pc.binary_length(column).cast(pa.int64())
             yield pa.record_batch(
                 [batch.column("doc_id"), sizes, pa.array(tokens), pa.array(tokens > limit)],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
