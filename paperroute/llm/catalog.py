@@ -10,8 +10,10 @@ from paperroute.session import work_dir
 
 from .binary import document_ids, write_ids
 from .common import table
+from .cotraining import quality_classes
 from .counting import token_counts
 from .packing import packed_documents
+from .quality import quality_rules
 from .sharding import mixed_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +44,16 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op9_mixed_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_shards(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classes(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
