@@ -15,6 +15,7 @@ from .counting import token_counts
 from .packing import packed_documents
 from .quality import quality_rules
 from .sharding import mixed_shards
+from .topk import top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +40,31 @@ def op5_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_ids(spark, path)
 
 
+@query
+def op6_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+# the whole inner products; the search itself must find the same rows without scoring them all
+ORACLE["op6_threshold_top_k"] = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+           CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM v AS q JOIN v AS c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+), ranked AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+           vec_id, score
+    FROM scored
+)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+
 @query
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
