@@ -12,6 +12,7 @@ from .binary import document_ids, write_ids
 from .common import table
 from .cotraining import quality_classes
 from .counting import token_counts
+from .neardup import near_duplicates
 from .packing import packed_documents
 from .quality import quality_rules
 from .sharding import mixed_shards
@@ -28,6 +29,35 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op2_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+# every pair that shares a shingle is compared; components by spreading the least id
+ORACLE["op2_minhash_join"] = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+    FROM documents
+), s AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+    FROM w
+), classes AS (
+    SELECT list_sort(s) AS s, len(s) AS n, min(doc_id) AS node FROM s WHERE len(s) > 0 GROUP BY 1, 2
+), e AS (SELECT node, n, unnest(s) AS x FROM classes), pairs AS (
+    SELECT a.node AS a, b.node AS b FROM e AS a JOIN e AS b ON a.x = b.x AND a.node < b.node
+    GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), both_ways AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs), reach(node, c) AS (
+    SELECT node, node FROM classes
+    UNION SELECT p.b, r.c FROM reach AS r JOIN both_ways AS p ON p.a = r.node WHERE p.b > r.c
+), named AS (SELECT node, min(c) AS c FROM reach GROUP BY node)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(named.c, s.doc_id) AS component_id,
+       s.doc_id = coalesce(named.c, s.doc_id) AS kept
+FROM s LEFT JOIN classes ON list_sort(s.s) = classes.s LEFT JOIN named ON classes.node = named.node
+"""
+
+
 @query
 def op3_exact_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"))
