@@ -16,6 +16,7 @@ from .neardup import near_duplicates
 from .packing import packed_documents
 from .quality import quality_rules
 from .sharding import mixed_shards
+from .suffixdup import without_repeats
 from .topk import top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +64,11 @@ def op3_exact_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_suffix_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark, "packed-ids")
