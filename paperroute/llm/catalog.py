@@ -12,6 +12,7 @@ from .binary import document_ids, write_ids
 from .common import table
 from .cotraining import quality_classes
 from .counting import token_counts
+from .dropout import encoded_documents
 from .neardup import near_duplicates
 from .packing import packed_documents
 from .quality import quality_rules
@@ -30,6 +31,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_documents(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
