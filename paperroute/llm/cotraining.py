@@ -6,7 +6,6 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,15 +67,15 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
 class Sample:
     """Bounded rows the views are fitted on: sparse n-gram counts, metadata, labels (-1: none)."""
 
-    def __init__(self, frame: pd.DataFrame):
-        frame = frame.sort_values(["doc_id", "size"], kind="stable").reset_index(drop=True)
-        self.lengths = np.array([len(x) for x in frame["bucket"]], np.int64)
-        empty = [np.zeros(0, np.int64)]
-        self.bucket = np.concatenate([*frame["bucket"], *empty]).astype(np.int64)
-        self.times = np.concatenate([*frame["times"], *empty]).astype(np.int64)
-        self.meta = np.stack(frame["meta"].to_list()) if len(frame) else np.zeros((0, SOURCES + LANGUAGES + NUMBERS))
-        self.y = frame["label"].fillna(-1).to_numpy(np.int64)
-        self.totals = np.maximum(row_sums(self.times, self.lengths), 1)
+    def __init__(self, rows: pa.Table):
+        rows = rows.sort_by([("doc_id", "ascending")]).combine_chunks()
+        counts = rows.column("bucket").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int32()))
+        times = rows.column("times").combine_chunks() if rows.num_rows else counts
+        self.lengths = counts.value_lengths().to_numpy().astype(np.int64)
+        self.bucket, self.times = counts.flatten().to_numpy(), times.flatten().to_numpy()
+        self.meta = np.array(rows.column("meta").to_pylist(), float).reshape(rows.num_rows, SOURCES + LANGUAGES + NUMBERS)
+        self.y = np.array([-1 if y is None else y for y in rows.column("label").to_pylist()], np.int64)
+        self.totals = np.maximum(row_sums(self.times.astype(np.int64), self.lengths), 1)
 
     def mean_of(self, table: np.ndarray) -> np.ndarray:
         return row_sums(table[self.bucket] * self.times, self.lengths) / self.totals / UNIT
@@ -129,7 +128,7 @@ def co_train(sample: Sample, rounds: int, confident: float) -> dict | None:
 
 
 def quality_classes(
-    docs: DataFrame, labels: DataFrame, labelled_rows: int = 6_000, pool_rows: int = 6_000, rounds: int = 3, confident: float = 0.95,
+    docs: DataFrame, labels: DataFrame, labelled_rows: int = 3_000, pool_rows: int = 3_000, rounds: int = 3, confident: float = 0.95,
     cut: float = 0.5, seed: int = 10, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
 ) -> DataFrame:
     """Probability of good quality of every document: ``doc_id, p_text, p_page, p_good, kept``.
@@ -147,7 +146,7 @@ def quality_classes(
     language is a value of its own, rows may repeat; every row gives one row.
     """
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang")
+        F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"),
     )
     lowest = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("fit_id")).agg(F.min("quality").alias("label"))
     ids = rows.select(F.col("doc_id").cast("long").alias("fit_id"))
@@ -174,7 +173,7 @@ def quality_classes(
     found = marked.select("doc_id", "text", "source", "lang", "label").mapInArrow(features, fit_schema)
     # one row for each id, so that an id that many rows repeat does not widen the sample
     one = found.groupBy("doc_id").agg(F.min_by(F.struct("size", "label", "bucket", "times", "meta"), F.struct("size", "bucket")).alias("x"))
-    model = co_train(Sample(one.select("doc_id", "x.*").toPandas()), rounds, confident)
+    model = co_train(Sample(one.select("doc_id", "x.*").toArrow()), rounds, confident)
     kind = rows.schema["doc_id"].dataType.simpleString()
     names = ["p_text", "p_page", "p_good"]
     schema = f"doc_id {kind}, p_text double, p_page double, p_good double, kept boolean"
