@@ -47,6 +47,19 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.octet_length(text_of(text_col)), text_of(text_col))
 
 
+def whole_row(docs: DataFrame, wanted: bool) -> list[Column]:
+    """All columns of the input as one struct, so that no name can clash with a result's."""
+    return [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if wanted else []
+
+
+def row_kind(rows: DataFrame) -> str:
+    return f", row {rows.schema['row'].dataType.simpleString()}" if "row" in rows.columns else ""
+
+
+def rows_of(batch: pa.RecordBatch) -> list[str]:
+    return ["row"] if "row" in batch.schema.names else []
+
+
 def model_file(name: str) -> str:
     """A path stays as it is; a bare name is one of the public tokenizer files of this machine."""
     if os.path.isabs(name):

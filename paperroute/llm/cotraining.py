@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, text_of
+from .common import in_slices, row_kind, rows_of, text_of, whole_row
 from .quality import SLICE, SYMBOLS, UNIT, chosen_ids
 from .words import Texts, grams, hashes, row_sums, together
 
@@ -130,6 +130,7 @@ def co_train(sample: Sample, rounds: int, confident: float) -> dict | None:
 def quality_classes(
     docs: DataFrame, labels: DataFrame, labelled_rows: int = 3_000, pool_rows: int = 3_000, rounds: int = 3, confident: float = 0.95,
     cut: float = 0.5, seed: int = 10, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
+    with_row: bool = False,
 ) -> DataFrame:
     """Probability of good quality of every document: ``doc_id, p_text, p_page, p_good, kept``.
 
@@ -143,10 +144,12 @@ def quality_classes(
     order.  Labels with a null id or a quality other than 0 and 1 are passed over; of several labels
     of a document the lowest counts.  With too few labels of a class nothing can be fitted: all
     probabilities are null and all documents are kept.  Null texts are empty, a null source or
-    language is a value of its own, rows may repeat; every row gives one row.
+    language is a value of its own, rows may repeat; every row gives one row.  ``with_row`` adds ``row``,
+    a struct of all columns of the input.
     """
     rows = docs.select(
         F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"),
+        *whole_row(docs, with_row),
     )
     lowest = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("fit_id")).agg(F.min("quality").alias("label"))
     ids = rows.select(F.col("doc_id").cast("long").alias("fit_id"))
@@ -176,13 +179,13 @@ def quality_classes(
     model = co_train(Sample(one.select("doc_id", "x.*").toArrow()), rounds, confident)
     kind = rows.schema["doc_id"].dataType.simpleString()
     names = ["p_text", "p_page", "p_good"]
-    schema = f"doc_id {kind}, p_text double, p_page double, p_good double, kept boolean"
+    schema = f"doc_id {kind}, p_text double, p_page double, p_good double, kept boolean" + row_kind(rows)
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, "text", SLICE):
             n = batch.num_rows
             if model is None:
-                yield pa.record_batch([batch.column("doc_id"), *[pa.nulls(n, pa.float64())] * 3, pa.array(np.ones(n, bool))], names=["doc_id", *names, "kept"])
+                yield pa.record_batch([batch.column("doc_id"), *[pa.nulls(n, pa.float64())] * 3, pa.array(np.ones(n, bool)), *(batch.column(c) for c in rows_of(batch))], names=["doc_id", *names, "kept", *rows_of(batch)])
                 continue
             texts = Texts(batch.column("text"))
             bucket, sizes = grams(texts, BUCKETS)
@@ -190,6 +193,6 @@ def quality_classes(
             # row by row in one fixed order, so that a row's score does not depend on its batch
             by_page = odds((metadata(texts, batch.column("source").to_pylist(), batch.column("lang").to_pylist()) * model["beta"]).sum(1), model["meta"])
             p = [1 / (1 + np.exp(-z)) for z in (by_text, by_page, (by_text + by_page) / 2)]
-            yield pa.record_batch([batch.column("doc_id"), *(pa.array(x) for x in p), pa.array(p[2] >= cut)], names=["doc_id", *names, "kept"])
+            yield pa.record_batch([batch.column("doc_id"), *(pa.array(x) for x in p), pa.array(p[2] >= cut), *(batch.column(c) for c in rows_of(batch))], names=["doc_id", *names, "kept", *rows_of(batch)])
 
     return rows.mapInArrow(score, schema)

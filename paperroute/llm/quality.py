@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, text_of
+from .common import in_slices, row_kind, rows_of, text_of, whole_row
 from .words import Texts, grams, hashes, row_sums, together
 
 BUCKETS = 1 << 15
@@ -104,6 +104,7 @@ def ratios(counts: np.ndarray, prior: float) -> np.ndarray:
 def quality_rules(
     docs: DataFrame, labels: DataFrame, threshold: float = -0.5, min_words: int = 50, max_repeat: int = 50, target_rows: int = 20_000,
     buckets: int = BUCKETS, prior: float = 10_000.0, seed: int = 8, id_col: str = "doc_id", text_col: str = "text",
+    with_row: bool = False,
 ) -> DataFrame:
     """Counts, the base rules and the verdict of every document.
 
@@ -115,15 +116,16 @@ def quality_rules(
 
     Null texts have no words and fail the base rules; labels with null ids or of other classes are
     passed over; without any trusted label every score is 0.  Every row gives one row, also rows
-    with null or repeated ids.  Columns other than the id and the text are not read.
+    with null or repeated ids.  Columns other than the id and the text are not read, unless
+    ``with_row`` asks for ``row``, a struct of all columns of the input.
     """
     trusted = labels.filter(F.col("quality") == 1).select(F.col("doc_id"))
     target = chosen_ids(trusted, "doc_id", target_rows, seed)
     table = ratios(gram_counts(docs, target, buckets, id_col, text_col), prior)
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), *whole_row(docs, with_row))
     kind = rows.schema["doc_id"].dataType.simpleString()
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    schema = f"doc_id {kind}, {', '.join(f'{n} bigint' for n in names)}, base_failed boolean, llr double, kept boolean"
+    schema = f"doc_id {kind}, {', '.join(f'{n} bigint' for n in names)}, base_failed boolean, llr double, kept boolean" + row_kind(rows)
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, "text", SLICE):
@@ -133,8 +135,9 @@ def quality_rules(
             llr = row_sums(table[bucket], sizes) / np.maximum(sizes, 1) / UNIT
             failed = (base["n_words"] < min_words) | (100 * base["n_repeat_words"] > max_repeat * base["n_words"])
             yield pa.record_batch(
-                [batch.column("doc_id"), *(pa.array(base[n].astype(np.int64)) for n in names), pa.array(failed), pa.array(llr), pa.array(~failed & (llr >= threshold))],
-                names=["doc_id", *names, "base_failed", "llr", "kept"],
+                [batch.column("doc_id"), *(pa.array(base[n].astype(np.int64)) for n in names), pa.array(failed), pa.array(llr), pa.array(~failed & (llr >= threshold)),
+                 *(batch.column(c) for c in rows_of(batch))],
+                names=["doc_id", *names, "base_failed", "llr", "kept", *rows_of(batch)],
             )
 
     return rows.mapInArrow(judge, schema)
