@@ -1,31 +1,39 @@
-"""First-free-slot assignment for one contested file name."""
+"""First-free-slot assignment among file names that share a base."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 import pandas as pd
 
 LAST_SUFFIX = 999  # fixed value: the bare name and numbers 2 to 999
+PARTS = re.compile(r"(?s)^(.+?)(\.[^.]*)?$")
 
 
-def walk_slots(group: pd.DataFrame) -> pd.DataFrame:
-    """Earliest free slot for each request of one name, when slots close at different times.
+def walker(suffix: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Serves the requests of one base in time order.
 
-    A group holds at most 999 requests and a closing or two per slot.
+    Rows without ``at_id`` are files already there.  A group holds at most 999 requests of each name.
+    A name never gets free again, so the search for a name goes on where its last one ended.
     """
-    never = (float("inf"), float("inf"))
-    closed: dict[int, tuple] = {}
-    requests = group["kind"] == 1
-    gone = group.loc[~requests]
-    for slot, ts, ident in zip(gone["slot"], gone["at_us"], gone["at_id"]):
-        closed[int(slot)] = min(closed.get(int(slot), never), (ts, ident))
-    out = group.loc[requests].sort_values("rank")[["folder", "file_name", "at_us", "at_id"]].copy()
-    chosen = []
-    slot = 1
-    for ts, ident in zip(out["at_us"], out["at_id"]):
-        # requests come in time order and a slot never opens again, so the search only moves on
-        while slot <= LAST_SUFFIX and closed.get(slot, never) <= (ts, ident):
-            slot += 1
-        chosen.append(slot if slot <= LAST_SUFFIX else None)
-        slot += 1
-    out["slot"] = pd.array(chosen, dtype="Int32")
-    return out
+
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        there = group["at_id"].isna()
+        taken = set(group.loc[there, "file_name"])
+        asked = group.loc[~there].astype({"at_id": "int64"}).sort_values(["at_us", "at_id"])
+        following: dict[str, int] = {}
+        ids, slots = [], []
+        for name, ident in zip(asked["file_name"], asked["at_id"], strict=True):
+            stem, ext = PARTS.match(name).groups(default="")
+            slot = following.get(name, 1)
+            while slot <= LAST_SUFFIX and (wanted := name if slot == 1 else stem + suffix.replace("{n}", str(slot)) + ext) in taken:
+                slot += 1
+            if slot <= LAST_SUFFIX:
+                taken.add(wanted)
+            following[name] = slot + 1
+            ids.append(ident)
+            slots.append(slot if slot <= LAST_SUFFIX else None)
+        return pd.DataFrame({"id": pd.array(ids, dtype="int64"), "slot": pd.array(slots, dtype="Int32")})
+
+    return walk

@@ -152,8 +152,8 @@ def review_queue(
     )
 
 
-def due_queue(ledger: DataFrame, now: str, limit: int | None = 25) -> DataFrame:
-    """Scanner rows ready for another attempt, oldest first."""
+def due_queue(ledger: DataFrame, now: str, limit: int | None = None) -> DataFrame:
+    """All scanner rows ready for another attempt, oldest first; at most ``limit`` if one is given."""
     due = ledger.filter(
         (F.col("origin") == "SCANNER")
         & F.col("state").isin(*WORKED_STATES)

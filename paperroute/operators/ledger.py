@@ -153,9 +153,9 @@ def duplicates(manifest: DataFrame, ledger: DataFrame) -> DataFrame:
 def retry_schedule(
     events: DataFrame, base_ms: int = RETRY_BASE_MS, max_attempts: int = MAX_ATTEMPTS
 ) -> DataFrame:
-    """Attempt number, state and next attempt after each failure, retry or filing event.
+    """Attempt number, state and next attempt after each failure, retry, ingestion or filing event.
 
-    Needs ``content_sha256``, ``event_id``, ``at`` and ``kind`` (FAILED, RETRY, FILED).  A retry
+    Needs ``content_sha256``, ``event_id``, ``at`` and ``kind`` (FAILED, RETRY, INGESTED, FILED).  A retry
     starts the count again and is refused once the row is filed.
     """
     failed, filed = F.col("kind") == "FAILED", F.col("kind") == "FILED"
@@ -178,6 +178,7 @@ def retry_schedule(
         F.when(F.col("__filed") == 1, F.when(F.col("kind") == "RETRY", F.lit("RETRY_REFUSED")).otherwise(F.lit("FILED")))
         .when(quarantined, F.lit("QUARANTINED"))
         .when(failed, F.lit("FAILED"))
+        .when(F.col("kind") == "INGESTED", F.lit("INGESTED"))
         .otherwise(F.lit("DISCOVERED"))
         .alias("state"),
         F.when(

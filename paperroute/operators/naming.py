@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grouping import top_per_group
 from ..functions.similarity import decompose
-from ..functions.slots import LAST_SUFFIX, walk_slots
+from ..functions.slots import LAST_SUFFIX, walker
 from ..functions.text import (
     ILLEGAL_IN_NAME, blank_to_null, drop_adjacent_repeats, extension, squeeze, strip,
 )
@@ -32,7 +32,7 @@ def _title(spec: Column) -> Column:
         F.split(spec, " "),
         lambda w: F.coalesce(
             F.try_element_at(table, F.btrim(F.lower(w), F.lit(".,"))),
-            F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 10_000)),
+            F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w))),
         ),
     )
     return F.array_join(words, " ")
@@ -211,51 +211,38 @@ def filing_plan(decisions: DataFrame, existing: DataFrame, policy: Policy = Poli
 
     Only the first 999 requests of a name can get a slot, so only those are ranked, however
     often a name is requested.  A name requested literally in numbered form competes with the
-    name it derives from; such names are resolved one level after it.  The data sets how many
-    levels there are, and one is the rule.
+    names it derives from, so all names that share a base, the name without any numbers, are one
+    group.  Where nobody asks for a numbered form, the slots follow from ranks; the other bases
+    are walked in time order, one group of names at a time, whatever the depth of numbers.
     """
     suffix = policy.collision_suffix
     key = ["folder", "file_name"]
     before, after = (re.escape(p) for p in suffix.split("{n}", 1))
     one = rf"{before}(?:[2-9]|[1-9][0-9]{{1,2}}){after}"
     tail = F.regexp_extract(_stem(F.col("file_name")), rf"(?s)^.+?((?:{one})*)$", 1)
-    level = F.when(F.col("file_name").rlike(one), F.regexp_count(tail, F.lit(one))).otherwise(F.lit(0))
+    stem = F.substring(_stem(F.col("file_name")), F.lit(1), F.length(_stem(F.col("file_name"))) - F.length(tail))
+    based = F.concat(stem, _ext(F.col("file_name")))
     requests = decisions.select(
-        F.col("id").cast("long").alias("at_id"), *key,
-        F.unix_micros(F.col("filed_at").cast("timestamp")).alias("at_us"), level.alias("level"),
+        F.col("id").cast("long").alias("at_id"), *key, based.alias("base"),
+        F.unix_micros(F.col("filed_at").cast("timestamp")).alias("at_us"), (F.length(tail) > 0).alias("numbered"),
     )
-    order = [F.col("at_us"), F.col("at_id")]
-    served = top_per_group(requests, [*key, "level"], order, LAST_SUFFIX, F.col("at_id"))
+    served = top_per_group(requests, [*key, "base", "numbered"], [F.col("at_us"), F.col("at_id")], LAST_SUFFIX, F.col("at_id"))
+    bases = served.groupBy("folder", "base").agg(F.max("numbered").alias("walked"))
+    served = served.join(bases, ["folder", "base"])
     parent, number = _parent(F.col("file_name"), suffix)
-    always = [F.lit(-1).cast("long").alias("at_us"), F.lit(0).cast("long").alias("at_id")]
     # slots gone before anything is filed: an existing file blocks its own name and, when it is
     # numbered, that number of the name it derives from
-    blocked = existing.select(*key, F.lit(1).alias("slot"), *always).unionByName(
-        existing.select("folder", parent.alias("file_name"), number.alias("slot"), *always).dropna(
-            subset=["file_name"]
-        )
-    )
-    # numbered names asked for literally close that number of their parent from then on
-    closing = (
-        requests.filter(F.col("level") > 0)
-        .groupBy(*key)
-        .agg(F.min(F.struct("at_us", "at_id")).alias("m"))
-        .select("folder", parent.alias("file_name"), number.alias("slot"), "m.*")
+    blocked = existing.select(*key, F.lit(1).alias("slot")).unionByName(
+        existing.select("folder", parent.alias("file_name"), number.alias("slot")).dropna(subset=["file_name"])
+    ).distinct()
+    plain = _slots(served.filter("NOT walked"), blocked)
+    names = existing.select(*key, based.alias("base")).distinct().join(bases.filter("walked").select("folder", "base"), ["folder", "base"], "left_semi")
+    walked = (
+        served.filter("walked").select("folder", "base", "file_name", "at_us", "at_id")
+        .unionByName(names, allowMissingColumns=True)
+        .groupBy("folder", "base").applyInPandas(walker(suffix), "id long, slot int")
     )
-    deepest = requests.agg(F.max("level")).first()[0] or 0
-    solved = None
-    for current in range(deepest + 1):
-        here = served.filter(F.col("level") == current).drop("level")
-        slots = _slots(here, blocked, closing)
-        mine = slots.select(F.col("at_id").alias("id"), "slot")
-        solved = mine if solved is None else solved.unionByName(mine)
-        # numbers handed out here are gone for the literal requests of the next level
-        closing = closing.unionByName(
-            slots.filter(F.col("slot") > 1).select(
-                "folder", _numbered(F.col("file_name"), F.col("slot"), suffix).alias("file_name"),
-                F.lit(1).alias("slot"), "at_us", "at_id",
-            )
-        )
+    solved = plain.select(F.col("at_id").alias("id"), "slot").unionByName(walked)
     chosen = (
         F.when(F.col("slot") == 1, F.col("file_name"))
         .when(F.col("slot").isNotNull(), _numbered(F.col("file_name"), F.col("slot"), suffix))
@@ -264,37 +251,23 @@ def filing_plan(decisions: DataFrame, existing: DataFrame, policy: Policy = Poli
     return decisions.join(solved, "id", "left").withColumn("final_file_name", chosen).drop("slot")
 
 
-def _slots(requests: DataFrame, blocked: DataFrame, closing: DataFrame) -> DataFrame:
-    """The slot of each ranked request; null when none is left.
+def _slots(requests: DataFrame, blocked: DataFrame) -> DataFrame:
+    """The slot of each ranked request whose name competes with no other; null when none is left.
 
-    Requests, blocked slots and timed closings of a name meet in one shuffle.  Without a timed
-    closing the i-th request takes the i-th slot that is not blocked, which needs no loop.
+    Requests and blocked slots of a name meet in one shuffle.  The i-th request takes the i-th slot
+    that is not blocked, which needs no loop.
     """
     key = ["folder", "file_name"]
-    events = (
-        requests.withColumn("kind", F.lit(1))
-        .unionByName(blocked.withColumn("kind", F.lit(0)), allowMissingColumns=True)
-        .unionByName(closing.withColumn("kind", F.lit(2)), allowMissingColumns=True)
+    events = requests.select(*key, "rank", "at_id").withColumn("asked", F.lit(True)).unionByName(
+        blocked.withColumn("asked", F.lit(False)), allowMissingColumns=True
     )
-    name = Window.partitionBy(*key)
-    taken = F.array_sort(F.collect_set(F.when(F.col("kind") == 0, F.col("slot"))).over(name))
-    events = events.withColumns(
-        {"taken": taken, "timed": F.max(F.col("kind") == 2).over(name), "asked": F.max(F.col("kind") == 1).over(name)}
-    ).filter("asked")
+    taken = F.array_sort(F.collect_set("slot").over(Window.partitionBy(*key)))
     # a blocked slot is skipped by every rank above the number of free slots before it
     skipped = F.size(
         F.filter(
             F.transform("taken", lambda t, i: t - i - F.lit(1)), lambda free: free < F.col("rank")
         )
     )
-    slot = F.col("rank") + skipped
-    plain = events.filter(~F.col("timed") & (F.col("kind") == 1)).select(
-        *key, "at_us", "at_id", F.when(slot <= LAST_SUFFIX, slot).cast("int").alias("slot")
-    )
-    walked = (
-        events.filter("timed")
-        .select(*key, "kind", "slot", "rank", "at_us", "at_id")
-        .groupBy(*key)
-        .applyInPandas(walk_slots, "folder string, file_name string, at_us long, at_id long, slot int")
-    )
-    return plain.unionByName(walked)
+    slot = F.col("rank") + F.col("skipped")
+    events = events.withColumn("taken", taken).filter("asked").withColumn("skipped", skipped)
+    return events.select("at_id", F.when(slot <= LAST_SUFFIX, slot).cast("int").alias("slot"))

@@ -404,7 +404,7 @@ def _(v: Get) -> DataFrame:
     return evaluation.resolve_labels(wanted, label_table(v), prefix="set/").select("doc_id", "label", "resolved_by")
 
 
-@query("snk_eval_report", f"SELECT file, category_pass, folder_pass, 'run-2' AS run_id FROM ({_SECOND})")
+@query("snk_eval_report", f"SELECT file, category_pass, folder_pass, 'run-2' AS run_id FROM ({_SECOND})".replace("run-2", "9"))
 def _(v: Get) -> DataFrame:
     a = results(v)
     folder = work_dir(a.sparkSession, "eval")
@@ -412,9 +412,9 @@ def _(v: Get) -> DataFrame:
         v("v_pred").filter("doc_id % 5 <> 0").withColumn("category", F.when(F.col("doc_id") % 7 == 0, F.lit("FORM")).otherwise(F.col("category"))),
         labels(v).filter("doc_id % 11 <> 3"),
     )
-    exports.write_eval_run(a, folder, "run-1")
-    exports.write_eval_run(b, folder, "run-2")
-    return exports.latest_eval_run(a.sparkSession, folder).select("file", "category_pass", "folder_pass", "run_id")
+    exports.write_eval_run(a, folder, "10")  # names are text: "9" is the greater one
+    exports.write_eval_run(b, folder, "9")
+    return exports.latest_eval_run(a.sparkSession, folder, "file string, category_pass boolean, folder_pass boolean").select("file", "category_pass", "folder_pass", "run_id")
 
 
 @query("snk_extraction_upsert", """

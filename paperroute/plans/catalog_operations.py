@@ -95,7 +95,7 @@ SELECT content_sha256, source_path, state, strftime(first_seen_at, '%Y-%m-%d') A
 WHERE origin = 'SCANNER' AND state IN ('DISCOVERED', 'FAILED', 'AWAITING_HYDRATION', 'UNSTABLE') AND (next_attempt_at IS NULL OR next_attempt_at <= TIMESTAMP '1996-01-01')
 ORDER BY first_seen_at, content_sha256""")
 def _(v: Get) -> DataFrame:
-    return inbox.due_queue(v("v_ledger"), "1996-01-01", limit=None).select(
+    return inbox.due_queue(v("v_ledger"), "1996-01-01").select(
         "content_sha256", "source_path", "state", F.date_format("first_seen_at", "yyyy-MM-dd").alias("first_seen")
     )
 
@@ -175,16 +175,16 @@ def _(v: Get) -> DataFrame:
 
 
 SQL_RETRY = """
-SELECT event_id, content_sha256, CAST(fails - base AS INT) AS attempt, CASE WHEN filed = 1 THEN CASE WHEN kind = 'RETRY' THEN 'RETRY_REFUSED' ELSE 'FILED' END WHEN kind = 'FAILED' AND fails - base >= 3 THEN 'QUARANTINED' WHEN kind = 'FAILED' THEN 'FAILED' ELSE 'DISCOVERED' END AS state,
+SELECT event_id, content_sha256, CAST(fails - base AS INT) AS attempt, CASE WHEN filed = 1 THEN CASE WHEN kind = 'RETRY' THEN 'RETRY_REFUSED' ELSE 'FILED' END WHEN kind = 'FAILED' AND fails - base >= 3 THEN 'QUARANTINED' WHEN kind = 'FAILED' THEN 'FAILED' WHEN kind = 'INGESTED' THEN 'INGESTED' ELSE 'DISCOVERED' END AS state,
  CASE WHEN filed = 0 AND kind = 'FAILED' AND fails - base < 3 THEN @ms(ts) + CAST(60000 * power(2, fails - base - 1) AS BIGINT) END AS next_attempt_ms
 FROM (SELECT *, max(CASE WHEN kind = 'RETRY' AND filed = 0 THEN fails ELSE 0 END) OVER w AS base FROM (
- SELECT *, sum(CASE WHEN kind = 'FAILED' THEN 1 ELSE 0 END) OVER w AS fails, max(CASE WHEN kind = 'FILED' THEN 1 ELSE 0 END) OVER w AS filed FROM @v_event WHERE kind <> 'INGESTED'
+ SELECT *, sum(CASE WHEN kind = 'FAILED' THEN 1 ELSE 0 END) OVER w AS fails, max(CASE WHEN kind = 'FILED' THEN 1 ELSE 0 END) OVER w AS filed FROM @v_event
  WINDOW w AS (PARTITION BY content_sha256 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) WINDOW w AS (PARTITION BY content_sha256 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))"""
 
 
 @query("wn_retry_schedule", SQL_RETRY)
 def _(v: Get) -> DataFrame:
-    ev = v("v_event").filter("kind <> 'INGESTED'").select("content_sha256", "event_id", F.col("ts").alias("at"), "kind")
+    ev = v("v_event").select("content_sha256", "event_id", F.col("ts").alias("at"), "kind")
     return ledger.retry_schedule(ev).select("event_id", "content_sha256", "attempt", "state", "next_attempt_ms")
 
 
@@ -310,7 +310,7 @@ def _(v: Get) -> DataFrame:
 
 @query("fn_partial_ratio")
 def _(v: Get) -> DataFrame:
-    return evidence.quote_scores(v("v_quote").filter("pos = 2"), v("documents")).select("doc_id", "pos", F.round("score", 6).alias("score"))
+    return evidence.quote_scores(v("v_quote"), v("documents")).select("doc_id", "pos", F.round("score", 6).alias("score"))
 
 
 @query("flt_boilerplate", rf"""

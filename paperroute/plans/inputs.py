@@ -156,12 +156,12 @@ UNION ALL SELECT concat('s', {_str('s_suppkey')}), 'core.responseFax', CASE WHEN
 SELECT p_partkey AS doc_id, CASE p_partkey % 7 WHEN 0 THEN 'ATORVASTATIN' WHEN 1 THEN 'atorvastatn' WHEN 2 THEN ' Metformin' WHEN 3 THEN 'OMEPRAZOL' WHEN 4 THEN upper(p_name) WHEN 5 THEN 'LEVOTHYROXINE SODUM' ELSE concat(upper(p_type), 'IN') END AS drug FROM @part""",
     "v_feedback": f"""
 SELECT conv_id AS doc_id, turn AS seq, CASE WHEN turn % 3 = 0 THEN ' up' WHEN turn % 3 = 1 THEN 'DOWN' WHEN conv_id % 2 = 0 THEN 'down ' ELSE 'maybe' END AS verdict,
- CASE WHEN turn % 4 = 1 THEN '  ' ELSE substr(text, 1, 60) END AS summary, CAST(DATE '1995-06-01' + CAST(conv_id % 300 + turn AS INT) AS TIMESTAMP) AS given_at FROM @conversations""",
+ CASE WHEN turn % 4 = 1 THEN '  ' ELSE text END AS summary, CAST(DATE '1995-06-01' + CAST(conv_id % 300 + turn AS INT) AS TIMESTAMP) AS given_at FROM @conversations""",
     "v_feedback_row": f"""
 SELECT CAST(DATE '2026-02-01' + CAST(conv_id % 50 AS INT) AS TIMESTAMP) AS created_at, CASE WHEN turn % 2 = 0 THEN 'UP' ELSE 'DOWN' END AS verdict,
  concat('t-', {_pad('conv_id', 6)}, '-', {_str('turn')}) AS tracking_id, concat('doc ', {_str('conv_id')}, '.pdf') AS original_file_name, CASE WHEN conv_id % 3 = 0 THEN NULL ELSE 'Name, 1.pdf' END AS ai_file_name,
  {_choose('conv_id % 11', _FOLDERS)} AS ai_folder, {_choose('conv_id % 11', _CODES)} AS ai_category, CAST(NULL AS STRING) AS ai_subtype,
- CASE WHEN conv_id % 4 <> 0 THEN concat('0.', {_pad('conv_id % 1000', 4)}) END AS ai_confidence, 'ROUTED' AS review_state, CASE WHEN turn % 2 = 1 THEN concat('said "', substr(text, 1, 30), '", ok') END AS summary FROM @conversations""",
+ CASE WHEN conv_id % 4 <> 0 THEN concat('0.', {_pad('conv_id % 1000', 4)}) END AS ai_confidence, 'ROUTED' AS review_state, CASE WHEN turn % 2 = 1 THEN concat('said "', text, '", ok') END AS summary FROM @conversations""",
     "v_confirm": f"""
 SELECT o_orderkey AS confirm_id, o_custkey AS doc_id, o_orderdate AS confirmed_at,
  CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE {_choose('o_orderkey % 11', _FOLDERS)} END AS folder,
@@ -203,7 +203,7 @@ SELECT o_orderkey AS id, concat('t-', {_str('o_orderkey')}) AS tracking_id, {_ch
     "v_taken": f"""
 SELECT {_choose('c_custkey % 11', _FOLDERS)} AS folder, CASE WHEN c_custkey % 2 = 0 THEN concat('Lab Result (', {_str('c_custkey % 90')}, ').pdf') ELSE concat('Report ', {_str('c_custkey % 30')}, '.pdf') END AS file_name FROM @customer""",
     "v_page": """
-SELECT CAST(floor(page_id / 4) AS BIGINT) AS doc_id, page_id % 4 AS page, substr(html, 1, 200) AS raw_text, substr(html, 50, CAST(100 + (page_id * 53) % 200 AS INT)) AS proc_text FROM @pages""",
+SELECT CAST(floor(page_id / 4) AS BIGINT) AS doc_id, page_id % 4 AS page, html AS raw_text, CASE WHEN page_id % 3 = 0 THEN concat('read again: ', html) ELSE translate(html, 'e', '') END AS proc_text FROM @pages""",
     "v_native": """
 SELECT DISTINCT CAST(floor(page_id / 4) AS BIGINT) AS doc_id, CASE CAST(floor(page_id / 4) AS BIGINT) % 3 WHEN 0 THEN '   short text  ' WHEN 1 THEN ' a native text layer with more than thirty characters ' END AS native_text FROM @pages""",
     "v_deadline": f"""

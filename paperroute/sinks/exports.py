@@ -130,19 +130,28 @@ def write_eval_run(results: DataFrame, path: str, run_id: str) -> None:
     ).partitionBy("run_id").json(path)
 
 
+def _run_table(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """The stored runs with their names as text; no file is opened to find a schema."""
+    return spark.read.schema(f"{columns}, run_id string").json(path)
+
+
 def eval_runs(spark: SparkSession, path: str) -> DataFrame:
     """The stored runs, newest name first, with their sizes."""
-    return (
-        spark.read.json(path).groupBy(F.col("run_id").cast("string").alias("run_id"))
-        .agg(F.count("*").alias("files")).orderBy(F.desc("run_id"))
-    )
+    return _run_table(spark, path, "file string").groupBy("run_id").agg(F.count("file").alias("files")).orderBy(F.desc("run_id"))
+
+
+def newest_run(spark: SparkSession, path: str) -> str | None:
+    """The greatest name, by text, among the folders of runs."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    names = [x.getPath().getName() for x in found if x.isDirectory() and x.getPath().getName().startswith("run_id=")]
+    unescaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    return max((unescaped(n.split("=", 1)[1]) for n in names), default=None)
 
 
-def latest_eval_run(spark: SparkSession, path: str) -> DataFrame:
-    """Results of the run with the greatest name; only its partition is read."""
-    runs = spark.read.json(path)
-    newest = runs.agg(F.max("run_id").alias("run_id"))
-    return runs.join(F.broadcast(newest), "run_id")
+def latest_eval_run(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """Results of the run with the greatest name; only its partition is listed and read."""
+    return _run_table(spark, path, columns).filter(F.col("run_id") == F.lit(newest_run(spark, path)))
 
 
 def upsert_latest(target: DataFrame | None, updates: DataFrame, key: str, order: str) -> DataFrame:

@@ -19,8 +19,6 @@ from ..sources.dimensions import Policy
 from ..sources.files import binary_reader, manifest_rows
 from .state import DAY_MS, LastSeen, LedgerRow, StatusMoves
 
-MAX_FILES_PER_CYCLE = 25
-
 
 def _write_batch(df: DataFrame, table: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
@@ -48,11 +46,13 @@ def table_exists(spark: SparkSession, table: str) -> bool:
 # ------------------------------------------------------------------ intake
 
 
-def intake_files(spark: SparkSession, root: str) -> DataFrame:
-    """Files of an intake tree as they arrive, at most 25 per cycle."""
+def intake_files(spark: SparkSession, root: str, most_per_cycle: int | None = None) -> DataFrame:
+    """Files of an intake tree as they arrive; all that are there, or at most so many, per cycle."""
     shape = "path string, modificationTime timestamp, length bigint, content binary"
     reader = binary_reader(spark.readStream).schema(shape)
-    files = reader.option("maxFilesPerTrigger", MAX_FILES_PER_CYCLE).load(root)
+    if most_per_cycle is not None:
+        reader = reader.option("maxFilesPerTrigger", most_per_cycle)
+    files = reader.load(root)
     return manifest_rows(files, root).withColumn("seen_at", F.current_timestamp().cast("timestamp_ntz"))
 
 

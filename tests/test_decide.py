@@ -175,6 +175,27 @@ def test_filing_plan_equals_one_by_one(spark):
     assert len(placed) == len(set(placed))
 
 
+def test_filing_plan_of_deep_numbers(spark):
+    """Eight levels of numbers are one pass; the plan does not grow with them."""
+    names = ["A" + " (2)" * k + ".pdf" for k in range(9)]
+    rows = [(i, f"t{i}", "F", names[(i * 7) % 9], T0 + timedelta(days=(i * 5) % 4)) for i in range(60)]
+    existing = [("F", names[3]), ("F", "A (3).pdf")]
+    assert run_plan(spark, rows, existing) == sequential_plan(rows, existing)
+    d = spark.createDataFrame(rows, "id long, tracking_id string, folder string, file_name string, filed_at timestamp_ntz")
+    e = spark.createDataFrame(existing, "folder string, file_name string")
+    lines = [filing_plan(x, e)._jdf.queryExecution().optimizedPlan().toString().count("\n") for x in (d.limit(1), d)]
+    assert abs(lines[0] - lines[1]) < 5
+
+
+def test_long_words_stay_whole(spark):
+    from pyspark.sql import functions as F
+
+    from paperroute.operators.naming import _title
+
+    word = "x" * 10_050
+    assert spark.range(1).select(_title(F.lit(word)).alias("t")).first().t == "X" + word[1:]
+
+
 def test_filing_plan_runs_out_of_numbers(spark):
     rows = [(i, f"t{i}", "F", "A.pdf", T0) for i in range(1, 1011)]
     got = run_plan(spark, rows, [("F", "A (5).pdf")])

@@ -114,6 +114,8 @@ def test_one_claim_per_content(spark):
 
 def test_retry_schedule(spark):
     kinds = ["FAILED", "FAILED", "RETRY", "FAILED", "FAILED", "FAILED", "RETRY", "FILED", "RETRY"]
+    ingested = spark.createDataFrame([("g", 1, T0, "INGESTED")], "content_sha256 string, event_id int, at timestamp_ntz, kind string")
+    assert retry_schedule(ingested).first().state == "INGESTED"
     rows = [("h", i, T0 + timedelta(hours=20 * i), k) for i, k in enumerate(kinds)]
     got = retry_schedule(spark.createDataFrame(rows, "content_sha256 string, event_id int, at timestamp_ntz, kind string")).orderBy("event_id").collect()
     assert [r.attempt for r in got][:6] == [1, 2, 0, 1, 2, 3]

@@ -227,10 +227,12 @@ def test_exports(spark, tmp_path):
     exports.write_feedback(exports.feedback_export(fb, "up"), str(tmp_path / "fb"))
     assert spark.read.text(str(tmp_path / "fb/rows")).count() == 1
     run = spark.createDataFrame([("a", True)], "file string, category_pass boolean")
-    for name in ("r1", "r2", "r2"):
+    for name in ("10", "9", "9", "2026-01-01"):
         exports.write_eval_run(run, str(tmp_path / "eval"), name)
-    assert exports.latest_eval_run(spark, str(tmp_path / "eval")).select("run_id").collect() == [("r2",)]
-    assert [tuple(r) for r in exports.eval_runs(spark, str(tmp_path / "eval")).collect()] == [("r2", 1), ("r1", 1)]
+    newest = exports.latest_eval_run(spark, str(tmp_path / "eval"), "file string, category_pass boolean")
+    assert newest.collect() == [("a", True, "9")]
+    assert "run_id#" in (plan := newest._jdf.queryExecution().executedPlan().toString()) and "PartitionFilters: [isnotnull(run_id" in plan
+    assert [tuple(r) for r in exports.eval_runs(spark, str(tmp_path / "eval")).collect()] == [("9", 1), ("2026-01-01", 1), ("10", 1)]
     exports.write_csv(run, str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).columns == ["file", "category_pass"]
 
