@@ -29,6 +29,8 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
     """``bits`` bits for each id, lowest first, without gaps; the last byte is filled with zeros."""
     if len(ids) and int(ids.max()) >> bits:
         raise ValueError(f"an id needs more than {bits} bits")
+    if bits % 8 == 0:  # whole bytes: the same layout by a copy
+        return ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : bits // 8].tobytes()
     spread = (ids.astype("<u4")[:, None] >> np.arange(bits, dtype=np.uint32)) & 1
     return np.packbits(spread.astype(np.uint8).ravel(), bitorder="little").tobytes()
 
@@ -37,6 +39,10 @@ def unpack(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray:
     """The ids at places ``start`` to ``stop`` of a packed block; only their bytes are looked at."""
     low, high = start * bits, stop * bits
     raw = np.frombuffer(payload, np.uint8)[low // 8 : (high + 7) // 8]
+    if bits % 8 == 0:
+        whole = np.zeros((stop - start, 4), np.uint8)
+        whole[:, : bits // 8] = raw.reshape(-1, bits // 8)
+        return whole.ravel().view("<u4")
     flat = np.unpackbits(raw, bitorder="little")[low % 8 : low % 8 + high - low].reshape(-1, bits)
     padded = np.zeros((len(flat), 32), np.uint8)
     padded[:, :bits] = flat
@@ -121,7 +127,8 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
-    return blocks.join(parts, "part").withColumn("start", F.col("earlier") + F.col("first")).drop("earlier")
+    # one row for each writing task: bounded by their number, not by the documents
+    return blocks.join(F.broadcast(parts), "part").withColumn("start", F.col("earlier") + F.col("first")).drop("earlier")
 
 
 def document_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -10,6 +11,8 @@ from .common import tokenizer
 
 REMEMBERED = 1_000_000
 AT_ONCE = 2_000
+# between a letter and ASCII punctuation both pre-tokenizers always cut, but for an apostrophe
+PARTED = re.compile(r"(\S*[^\W\d_])([!-&(-/:;=?@\[-`{}~]+)").fullmatch
 
 
 class WordEncoder:
@@ -32,8 +35,17 @@ class WordEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def _learn(self, known: dict[str, bytes], wanted: set[str]) -> None:
-        """Encodes new words in one string, each after a space, and tells their ids apart by place."""
+        """Encodes new words; one that ends in punctuation is its base and the punctuation."""
         new = [w for w in wanted - known.keys() if w and not (w[0].isspace() or w[-1].isspace())]
+        parted = [(w, *m.groups()) for w in new if (m := PARTED(w))]
+        plain = set(new).difference([w for w, _, _ in parted]).union([base for _, base, _ in parted])
+        self._encode_words(known, list(plain - known.keys()))
+        tails = list({tail for _, _, tail in parted} - self.heads.keys())
+        self.heads.update(zip(tails, self._whole(tails), strict=True))
+        known.update((w, known[base] + self.heads[tail]) for w, base, tail in parted)
+
+    def _encode_words(self, known: dict[str, bytes], new: list[str]) -> None:
+        """Encodes words in one string, each after a space, and tells their ids apart by place."""
         for k in range(0, len(new), AT_ONCE):
             words = new[k : k + AT_ONCE]
             found = self.tokenizer.encode(" " + " ".join(words), add_special_tokens=False)
