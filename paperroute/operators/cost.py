@@ -170,14 +170,15 @@ def exact_median(df: DataFrame, col: str) -> DataFrame:
 
 def cost_summary(per_doc: DataFrame) -> DataFrame:
     """Totals over all documents as (metric, value); unpriced documents are counted apart."""
-    spend = F.sum("total_usd")
+    exact = lambda c: F.col(c).cast("decimal(20,4)")  # noqa: E731  rounded amounts add up without error
+    spend = F.sum(exact("total_usd")).cast("double")
     priced = F.col("total_usd").isNotNull()
     one = per_doc.agg(
         F.count("*").alias("documents"), F.sum("calls").alias("calls"),
         F.sum("total_input").alias("input_tokens"), F.sum("total_output").alias("output_tokens"),
-        spend.alias("spend"), F.avg("total_usd").alias("mean_usd"),
+        spend.alias("spend"), (spend / F.count("total_usd")).alias("mean_usd"),
         F.min("total_usd").alias("min_usd"), F.max("total_usd").alias("max_usd"),
-        F.sum(F.when(priced, F.col("classify_usd"))).alias("classify_usd"),
+        F.sum(F.when(priced, exact("classify_usd"))).cast("double").alias("classify_usd"),
         F.sum("repairs").alias("repairs"), F.count_if(~priced).alias("unpriced"),
     )
     share = F.try_divide("classify_usd", F.when(F.col("spend") == 0, F.lit(1.0)).otherwise(F.col("spend")))

@@ -154,8 +154,8 @@ def label_universe(results: DataFrame) -> DataFrame:
 def confusion(results: DataFrame, dense: bool = True) -> DataFrame:
     """Expected against predicted, zero-filled over all labels seen when ``dense``.
 
-    The results shrink to label pairs at once; the dense form then spreads the label list,
-    which is as long as the taxonomy, not as the data.
+    The results shrink to label pairs at once; the dense form pairs the labels with each other, as
+    the matrix asks, and joins the counts to the pairs.
     """
     pairs = results.groupBy("expected_category", "predicted_category").agg(F.count("*").alias("n"))
     scored = (F.col("expected_category") != "") & (F.col("predicted_category") != "")
@@ -163,16 +163,15 @@ def confusion(results: DataFrame, dense: bool = True) -> DataFrame:
         return pairs.filter(scored).select(
             F.col("expected_category").alias("expected"), F.col("predicted_category").alias("predicted"), "n"
         )
-    cell = F.struct(F.col("expected_category").alias("expected"), F.col("predicted_category").alias("predicted"))
-    one = pairs.agg(
-        F.array_distinct(F.concat(F.collect_set("expected_category"), F.collect_set("predicted_category"))).alias("labels"),
-        F.map_from_entries(F.collect_list(F.when(scored, F.struct(cell, "n")))).alias("counts"),
+    seen = pairs.filter(scored).select(
+        F.col("expected_category").alias("expected"), F.col("predicted_category").alias("predicted"), "n"
     )
-    labels = F.filter("labels", lambda x: x != "")
-    return (
-        one.select(labels.alias("labels"), "counts", F.explode(labels).alias("expected"))
-        .select("counts", "expected", F.explode("labels").alias("predicted"))
-        .select("expected", "predicted", F.coalesce(F.try_element_at("counts", F.struct("expected", "predicted")), F.lit(0).cast("long")).alias("n"))
+    labels = label_universe(pairs)
+    # the label list once beside each label: as many rows as the dense matrix has
+    cells = labels.agg(F.collect_list("label").alias("labels")).select(F.explode("labels").alias("expected"), "labels")
+    cells = cells.select("expected", F.explode("labels").alias("predicted"))
+    return cells.join(seen, ["expected", "predicted"], "left").select(
+        "expected", "predicted", F.coalesce("n", F.lit(0).cast("long")).alias("n")
     )
 
 

@@ -13,7 +13,7 @@ from ..functions.slots import LAST_SUFFIX, walker
 from ..functions.text import (
     ILLEGAL_IN_NAME, blank_to_null, drop_adjacent_repeats, extension, squeeze, strip,
 )
-from ..sources.dimensions import CASING, LEGAL_SUFFIXES, SNAKE_WORDS, TAXONOMY, Policy, taxonomy
+from ..sources.dimensions import CASING, LEGAL_SUFFIXES, SNAKE_WORDS, Policy, taxonomy
 
 # Fixed values
 FALLBACK_SPECIFICATION = "Unclassified Fax"
@@ -81,15 +81,23 @@ def _facility(df: DataFrame, col: str) -> DataFrame:
     ).drop("__fac")
 
 
-def with_taxonomy(cls: DataFrame) -> DataFrame:
-    """Attach the taxonomy row; codes it does not know get the UNKNOWN row."""
-    dim = taxonomy(cls.sparkSession)
+def with_taxonomy(cls: DataFrame, dims: DataFrame | None = None) -> DataFrame:
+    """Attach the taxonomy row; codes it does not know get its UNKNOWN row.
+
+    ``dims`` has the columns of ``sources.dimensions.taxonomy``, which is the default; one row per code.
+    """
+    dim = taxonomy(cls.sparkSession) if dims is None else dims
     known = [r for r in dim.columns if r != "code"]
-    code = F.when(F.col("category").isin(*TAXONOMY), F.col("category")).otherwise(F.lit("UNKNOWN"))
+    table = dim.select(F.col("code").alias("__code"), *(F.col(c).alias(f"__known_{c}") for c in known))
+    other = dim.filter("code = 'UNKNOWN'").select(F.lit(True).alias("__lost"), *(F.col(c).alias(f"__other_{c}") for c in known)).limit(1)
+    joined = cls.join(table, F.col("category") == F.col("__code"), "left")
+    joined = joined.withColumn("__lost", F.col("__code").isNull()).join(F.broadcast(other), "__lost", "left")
+    found = F.col("__code").isNotNull()
     return (
-        cls.withColumn("__code", code)
-        .join(dim.withColumnRenamed("code", "__code"), "__code", "left")
-        .select(*cls.columns, F.col("__code").alias("taxonomy_code"), *known)
+        joined.select(
+            *cls.columns, F.coalesce("__code", F.lit("UNKNOWN")).alias("taxonomy_code"),
+            *(F.when(found, F.col(f"__known_{c}")).otherwise(F.col(f"__other_{c}")).alias(c) for c in known),
+        )
         .withColumn(
             "doctype_slug",
             F.coalesce(
@@ -100,14 +108,14 @@ def with_taxonomy(cls: DataFrame) -> DataFrame:
     )
 
 
-def suggest_names(cls: DataFrame, policy: Policy = Policy()) -> DataFrame:
+def suggest_names(cls: DataFrame, policy: Policy = Policy(), dims: DataFrame | None = None) -> DataFrame:
     """House style and underscore style names for each classified document.
 
     Needs ``category``, ``subtype``, ``specification``, ``original_file_name`` and
-    ``sender_organization``.
+    ``sender_organization``; ``dims`` is the taxonomy, as for ``with_taxonomy``.
     """
     keep = cls.columns
-    df = with_taxonomy(cls)
+    df = with_taxonomy(cls, dims)
     given = blank_to_null(F.col("specification"))
     df = df.withColumns(
         {

@@ -55,15 +55,29 @@ def missing_fields(parsed: DataFrame) -> DataFrame:
     return parsed.withColumn("missing", F.when(F.col("parsed").isNotNull(), F.array_except(required, keys)))
 
 
-def land_responses(raw: DataFrame, col: str = "raw") -> DataFrame:
-    """Every answer with its typed fields and its list of ``errors`` (empty when usable)."""
+def land_responses(raw: DataFrame, col: str = "raw", dims: DataFrame | None = None) -> DataFrame:
+    """Every answer with its typed fields and its list of ``errors`` (empty when usable).
+
+    Codes and subtypes are those of the taxonomy ``dims`` (``code``, ``subtype_slugs``), or of the default.
+    """
     df = missing_fields(parse_responses(raw, col))
-    codes = list(TAXONOMY)
-    subtypes = [s for row in TAXONOMY.values() for s in row[4]]
+    if dims is None:
+        df = df.withColumns(
+            {
+                "__codes": F.array(*[F.lit(c) for c in TAXONOMY]),
+                "__subtypes": F.array(*[F.lit(s) for row in TAXONOMY.values() for s in row[4]]),
+            }
+        )
+    else:
+        known = dims.agg(
+            F.collect_set("code").alias("__codes"), F.flatten(F.collect_list(F.map_keys("subtype_slugs"))).alias("__subtypes"), F.lit(1).alias("__one")
+        )
+        # a single row: the names of the categories
+        df = df.withColumn("__one", F.lit(1)).join(F.broadcast(known), "__one").drop("__one")
 
     def bad_code(path: str, error: str) -> Column:
         value = _text(path)
-        wrong = _given(path) & (value.isNull() | ((value != "") & ~value.isin(*codes)))
+        wrong = _given(path) & (value.isNull() | ((value != "") & ~F.array_contains("__codes", value)))
         return F.when(wrong, F.lit(error))
 
     def bad_confidence(key: str) -> Column:
@@ -118,7 +132,7 @@ def land_responses(raw: DataFrame, col: str = "raw") -> DataFrame:
         {
             "category": _text("$.documentCategory"),
             "subtype": subtype,
-            "subtype_known": F.coalesce(subtype.isin(*subtypes), F.lit(False)),
+            "subtype_known": F.coalesce(F.array_contains("__subtypes", subtype), F.lit(False)),
             "model_confidence": F.try_variant_get("parsed", "$.modelConfidence", "double"),
             "runner_up_confidence": F.try_variant_get("parsed", "$.runnerUpConfidence", "double"),
             "specification": spec,
@@ -129,7 +143,7 @@ def land_responses(raw: DataFrame, col: str = "raw") -> DataFrame:
             "routing_evidence": text_list("routingEvidence"),
             "naming_evidence": text_list("namingEvidence"),
         }
-    )
+    ).drop("__codes", "__subtypes")
 
 
 def split_responses(landed: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -15,10 +15,15 @@ from ..sources.dimensions import Policy, category_aliases, complete_rules, defau
 Rules = DataFrame | Sequence[Mapping[str, object]]
 
 
-def normalise_category(df: DataFrame, col: str = "category", out: str = "category_now") -> DataFrame:
-    """Current category of a possibly retired or misspelt code; anything else is UNKNOWN."""
+def normalise_category(
+    df: DataFrame, col: str = "category", out: str = "category_now", aliases: DataFrame | None = None
+) -> DataFrame:
+    """Current category of a possibly retired or misspelt code; anything else is UNKNOWN.
+
+    ``aliases`` (``alias``, ``current``; each alias once) may replace the default ones.
+    """
     key = F.upper(F.translate(strip(F.col(col)), "- ", "__"))
-    names = category_aliases(df.sparkSession)
+    names = category_aliases(df.sparkSession) if aliases is None else aliases.select("alias", "current")
     return (
         df.withColumn("__alias", key)
         .join(names.withColumnRenamed("alias", "__alias"), "__alias", "left")

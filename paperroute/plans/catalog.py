@@ -13,16 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import with_exact_round
-from ..functions.similarity import decompose, fn_partial_ratio, fn_seq_ratio
-from ..functions.text import base_name, collapse
-from ..operators import (
-    confidence, cost, dashboard, decisions, evaluation, evidence, fields, inbox, ledger, mapping,
-    naming, responses, routing, storage, texts,
-)
+from ..functions.text import base_name
+from ..operators import cost, evaluation, mapping, routing
 from ..session import work_dir
 from ..sinks import exports
 from ..sources import files as file_sources
-from ..sources.dimensions import DRUG_NAMES, Policy
+from ..sources.dimensions import Policy
 
 Get = Callable[[str], DataFrame]
 QUERIES: dict[str, Callable[[Get], DataFrame]] = {}

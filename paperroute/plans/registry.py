@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import catalog, catalog_operations, catalog_streams
+from ..session import prepared
 from .inputs import duckdb_sql, spark_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,8 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def _bound(fn: Callable[[catalog.Get], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         # the driver tables carry times without a zone, which the queries read as UTC
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        return fn(spark_views(spark, sf_dir))
+        return fn(spark_views(prepared(spark), sf_dir))
 
     return run
 
@@ -30,4 +30,4 @@ def all_oracles() -> dict[str, str]:
 
 
 def flagship_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog_operations.flagship(spark_views(spark, sf_dir))
+    return catalog_operations.flagship(spark_views(prepared(spark), sf_dir))

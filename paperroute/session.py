@@ -41,15 +41,20 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session in use with the settings that the jobs rely on."""
+    for key, value in JOB_SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def stream_session(spark: SparkSession) -> SparkSession:
     """A session beside the given one for streams that keep state.
 
     State keeps the number of partitions it starts with, so it is set to the cores at hand, and
     arbitrary state needs the RocksDB store.  The caller's own settings stay as they are.
     """
-    own = spark.newSession()
-    for key, value in JOB_SETTINGS.items():
-        own.conf.set(key, value)
+    own = prepared(spark.newSession())
     own.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
     return own
 

@@ -14,8 +14,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_LOCAL_ROWS = 10_000
-
 # ---------------------------------------------------------------- fixed values: taxonomy
 # code: (label, folder, slug, primary name template, {subtype: slug}, [vocabulary])
 TAXONOMY = {
@@ -260,11 +258,8 @@ def complete_rules(rules: Iterable[Mapping[str, object]], keys: Sequence[str]) -
 
 
 def local_table(spark: SparkSession, columns: Mapping[str, pa.Array]) -> DataFrame:
-    """A broadcast table from a short driver-side list."""
-    table = pa.table(dict(columns))
-    if table.num_rows > MAX_LOCAL_ROWS:
-        raise ValueError("too long for a local table: write it out and pass it as a DataFrame")
-    return F.broadcast(spark.createDataFrame(table))
+    """A table from a driver-side list; Spark knows its size and picks the join by it."""
+    return spark.createDataFrame(pa.table(dict(columns)))
 
 
 def category_aliases(spark: SparkSession) -> DataFrame:
@@ -295,6 +290,34 @@ def taxonomy(spark: SparkSession) -> DataFrame:
     )
 
 
+TAXONOMY_SHAPE = (
+    "code string, label string, taxonomy_folder string, slug string, primary_template string, alternate_template string, "
+    "default_specification string, subtype_slugs map<string, string>, vocabulary array<string>"
+)
+
+
+def taxonomy_from_json(spark: SparkSession, path: str) -> DataFrame:
+    """A taxonomy kept as JSON lines, one category each; what a line leaves out is filled as in the default.
+
+    It should have a row for UNKNOWN, which unknown codes are given.
+    """
+    rows = spark.read.schema(TAXONOMY_SHAPE).json(path)
+    return rows.withColumns(
+        {
+            "alternate_template": F.coalesce("alternate_template", F.lit(ALTERNATE_TEMPLATE)),
+            "primary_template": F.coalesce("primary_template", F.lit("{specification}")),
+            "default_specification": F.coalesce("default_specification", F.try_element_at("vocabulary", F.lit(1)), "label"),
+            "subtype_slugs": F.coalesce("subtype_slugs", F.create_map().cast("map<string, string>")),
+            "vocabulary": F.coalesce("vocabulary", F.array().cast("array<string>")),
+        }
+    )
+
+
+def aliases_from_json(spark: SparkSession, path: str) -> DataFrame:
+    """Old and other names of categories kept as JSON lines."""
+    return spark.read.schema("alias string, current string").json(path)
+
+
 def rules_from_json(spark: SparkSession, path: str) -> DataFrame:
     """A rule table kept as JSON lines, for rule sets too long for the driver."""
     return spark.read.schema("pos long, sender_fax string, category string, subtype string, folder string").json(path)

@@ -175,6 +175,39 @@ def test_filing_plan_equals_one_by_one(spark):
     assert len(placed) == len(set(placed))
 
 
+def test_names_by_another_taxonomy(spark, tmp_path):
+    """Categories, templates and words come from a file, with letters beyond ASCII."""
+    import json
+    import unicodedata
+
+    from paperroute.operators.naming import with_taxonomy
+    from paperroute.operators.responses import land_responses
+    from paperroute.operators.routing import normalise_category
+    from paperroute.sources.dimensions import aliases_from_json, taxonomy_from_json
+
+    lines = [
+        {"code": "INVOICE", "label": "Rechnung", "taxonomy_folder": "Rechnungen", "slug": "rechnung", "vocabulary": ["Stromrechnung"], "subtype_slugs": {"REMINDER": "mahnung"}},
+        {"code": "UNKNOWN", "label": "Unbekannt", "taxonomy_folder": "Eingang", "slug": "offen"},
+    ]
+    (tmp_path / "tax.json").write_text("\n".join(map(json.dumps, lines)))
+    (tmp_path / "alias.json").write_text(json.dumps({"alias": "BILL", "current": "INVOICE"}))
+    dims = taxonomy_from_json(spark, str(tmp_path / "tax.json"))
+    rows = [(1, "INVOICE", "REMINDER", "Größe É", "a.pdf", None), (2, "INVOICE", None, None, "b.tif", "Müller"), (3, "FORM", None, "x", "c", None), (4, None, None, "y", "d", None)]
+    cls = spark.createDataFrame(rows, "id int, category string, subtype string, specification string, original_file_name string, sender_organization string")
+    got = {r.id: r for r in with_taxonomy(cls, dims).collect()}
+    assert [got[i].taxonomy_folder for i in (1, 2, 3, 4)] == ["Rechnungen", "Rechnungen", "Eingang", "Eingang"]
+    assert [got[i].doctype_slug for i in (1, 2, 3, 4)] == ["mahnung", "rechnung", "offen", "offen"]
+    names = {r.id: r.suggested_file_name for r in suggest_names(cls, dims=dims).collect()}
+    plain = lambda x: unicodedata.normalize("NFC", x)
+    assert (plain(names[1]), plain(names[2])) == ("Größe É.pdf", "Müller_Stromrechnung.tif")
+    old = spark.createDataFrame([("bill",), ("FORM",)], "category string")
+    now = normalise_category(old, aliases=aliases_from_json(spark, str(tmp_path / "alias.json")))
+    assert {r.category: r.category_now for r in now.collect()} == {"bill": "INVOICE", "FORM": "UNKNOWN"}
+    raw = spark.createDataFrame([('{"documentCategory":"INVOICE","documentSubtype":"REMINDER"}',), ('{"documentCategory":"FORM"}',)], "raw string")
+    landed = {r.category: r for r in land_responses(raw, dims=dims).collect()}
+    assert "UNKNOWN_CATEGORY" in landed["FORM"].errors and "UNKNOWN_CATEGORY" not in landed["INVOICE"].errors and landed["INVOICE"].subtype_known
+
+
 def test_filing_plan_of_deep_numbers(spark):
     """Eight levels of numbers are one pass; the plan does not grow with them."""
     names = ["A" + " (2)" * k + ".pdf" for k in range(9)]
