@@ -11,6 +11,9 @@ import json
 import os
 import time
 
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
+
 from paperroute.plans.registry import all_queries
 from paperroute.session import local_session
 
@@ -22,7 +25,8 @@ HEADLINE = [
     "job_validate_fields", "ag_extraction_quality", "jn_field_truth", "jn_drug_lexicon", "job_redact",
     "ag_page_text", "jn_eval_labels", "ag_eval_by_block", "ag_gate_quality", "jn_run_compare",
     "jn_price_prefix", "ag_cost_per_doc", "ag_cost_summary", "ag_usage_scope", "jn_storage_reconcile",
-    "ag_folder_rollup",
+    "ag_folder_rollup", "st_ingest", "st_readiness", "st_ledger_state", "st_route", "st_dashboard", "st_usage", "st_upsert",
+    "st_throughput",
 ]
 
 
@@ -34,17 +38,22 @@ def main() -> None:
     wanted = os.environ.get("BENCH_QUERIES")
     names = wanted.split(",") if wanted else HEADLINE
     seconds: dict[str, float] = {}
+    rows: dict[str, int] = {}
     for name in names:
         for _ in range(2):
             start = time.perf_counter()
-            queries[name](spark, folder).write.format("noop").mode("overwrite").save()
+            seen = Observation()
+            result = queries[name](spark, folder).observe(seen, F.count(F.lit(1)).alias("rows"))
+            result.write.format("noop").mode("overwrite").save()
             seconds[name] = round(time.perf_counter() - start, 3)
+            rows[name] = seen.get["rows"]
     spark.stop()
     print(
         json.dumps(
             {
                 "metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec",
-                "queries": seconds, "sf": os.path.basename(folder.rstrip("/")),
+                "queries": seconds, "sf": os.path.basename(folder.rstrip("/")), "rows": rows,
+                "rows_per_sec": {n: round(rows[n] / max(s, 1e-3)) for n, s in seconds.items()},
             }
         )
     )
