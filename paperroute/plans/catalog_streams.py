@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import cost
 from ..session import stream_session, work_dir
 from ..streaming import jobs
-from .catalog import TEST_PRICES, Get, query
+from .catalog import SQL_PRICE, TEST_PRICES, Get, query
 from .catalog_operations import SQL_READY, SQL_ROUTE
 
 HALF = "2024-01-16"
@@ -92,13 +92,14 @@ def _(v: Get) -> DataFrame:
     return jobs.dashboard_counts(spark, table)
 
 
-@query("st_usage", """
-SELECT tracking_id, stage, count(*) AS lines, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, count(*) FILTER (WHERE model = 'other') = 0 AS priced FROM @v_usage GROUP BY 1, 2""")
+@query("st_usage", f"""
+SELECT tracking_id, stage, count(*) AS lines, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
+ CASE WHEN count(*) FILTER (WHERE model = 'other') = 0 THEN CAST(CAST(sum(CAST(({SQL_PRICE}) / 1000000 AS DECIMAL(24,10))) AS DECIMAL(34,10)) AS VARCHAR) END AS cost FROM @v_usage GROUP BY 1, 2""")
 def _(v: Get) -> DataFrame:
     lines = cost.price_calls(v("v_usage"), TEST_PRICES).select("tracking_id", "stage", "call_no", "input_tokens", "output_tokens", "cost_usd")
     spark, table = _arrive(_by_number(lines, "call_no"), "usage", lambda s, t, c: jobs.usage_stream(s, t, c))
     df = jobs.current_rows(spark, table, ["tracking_id", "stage"])
-    return df.select("tracking_id", "stage", "lines", "input_tokens", "output_tokens", F.col("cost_usd").isNotNull().alias("priced"))
+    return df.select("tracking_id", "stage", "lines", "input_tokens", "output_tokens", F.col("cost_usd").cast("string").alias("cost"))
 
 
 @query("st_upsert", "SELECT doc_id, seq, verdict FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY given_at DESC, seq DESC) AS rn FROM @v_feedback) WHERE rn = 1")

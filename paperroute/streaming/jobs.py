@@ -175,7 +175,7 @@ def usage_stream(lines: DataFrame, table: str, checkpoint: str, **trigger) -> St
     """Running token and cost totals per document and stage; a null total has an unpriced call."""
     totals = lines.groupBy("tracking_id", "stage").agg(
         F.count("*").alias("lines"), F.sum("input_tokens").alias("input_tokens"),
-        F.sum("output_tokens").alias("output_tokens"), F.sum(F.col("cost_usd").cast("decimal(20,6)")).alias("__cost"),
+        F.sum("output_tokens").alias("output_tokens"), F.sum(F.col("cost_usd").cast("decimal(24,10)")).alias("__cost"),
         F.count_if(F.col("cost_usd").isNull()).alias("__unpriced"),
     )
     totals = totals.select(
