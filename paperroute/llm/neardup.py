@@ -113,14 +113,49 @@ def _near(a: str, b: str, coordinates: int, matches: int, percent: int) -> Colum
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose whole sets are similar enough."""
-    first = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    second = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(first, "a").join(second, "b")
+    both = _with_sets(pairs, sets)
     common = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - F.col("common")
     return both.withColumn("common", common).filter(100 * F.col("common") >= percent * union).select("a", "b")
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    first = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    second = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    return pairs.join(first, "a").join(second, "b")
+
+
+def _around_centres(open_stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs around one centre that may be linked though one of them is not in the centre's component.
+
+    ``open_stars``: member ``a`` and centre ``b`` with their components ``ca`` and ``cb``.  A member is
+    held as its difference from the centre, the shingles that only one of the two has.  The
+    difference of two members is the difference of their differences, so a link means that these
+    have much in common: with x not linked to the centre, more than half of y's.  What they share first in
+    the order of rarity around the centre stands early in both, and what can still follow is bounded
+    by the places (prefix and positional filter).  Edits that only one member has are rare, so
+    members that differ by edits of their own never meet, however many there are.
+    """
+    p, q = 100 - percent, 100 + percent
+    rows = _with_sets(open_stars, sets).select(
+        "a", "b", "ca", "cb", F.xxhash64("sa").alias("va"), F.xxhash64("sb").alias("vb"), F.size("sa").alias("n"), F.size("sb").alias("nb"),
+        F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")).alias("own"),
+    ).withColumn("d", F.size("own"))
+    rows = rows.select("a", "b", "ca", "cb", "va", "vb", "n", "nb", "d", F.explode("own").alias("e"))
+    rare = rows.groupBy("b", "vb", "e").agg(F.count("*").alias("f"))
+    order = Window.partitionBy("a", "va", "b", "vb").orderBy("f", "e")
+    rows = rows.join(rare, ["b", "vb", "e"]).withColumn("i", F.row_number().over(order))
+    rows = rows.filter(F.col("i") <= F.floor(F.col("n") * p / percent) + 1).drop("f")
+    slack = p / q * (F.col("n") * (1 + 100 / percent - percent / 100) - F.col("nb"))
+    rows = saved(rows.withColumn("half", F.col("i") <= (F.col("d") + 2 + slack) / 2 + 1), "differences")
+    x, y = rows.filter("ca <> cb").alias("x"), rows.filter("half").alias("y")
+    ahead = 1 + F.least(F.col("x.d") - F.col("x.i"), F.col("y.d") - F.col("y.i"))
+    enough = q * (F.col("x.d") + F.col("y.d") - 2 * ahead) <= p * (F.col("x.n") + F.col("y.n"))
+    same = (F.col("x.b") == F.col("y.b")) & (F.col("x.vb") == F.col("y.vb")) & (F.col("x.e") == F.col("y.e"))
+    met = x.join(y, same & (F.col("x.ca") != F.col("y.ca")) & enough)
+    return met.select(F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, percent: int = 85, coordinates: int = 64, matches: int = 38, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -131,11 +166,12 @@ def near_duplicates(
        go.  Signatures that agree in ``matches`` of the ``coordinates`` must share one of the
        ``coordinates - matches + 1`` rarest values of each, so only that prefix is posted; classes
        that share too few values for any match are skipped.
-    3. In each list the class with the most collisions is paired with all others, and the pairs with
-       enough collisions are confirmed on whole sets.  Members of a list that are not in its centre's
-       component by then are paired with all members of other components.  So no two texts that
-       share a list go uncompared unless they are in one component already, and a list of one large
-       group is not paired with itself.
+    3. In each list the class with the most collisions is the centre and is paired with all others; the
+       pairs with enough collisions are confirmed on whole sets.  Members near a centre but not in
+       its component by then are compared with its other members by what they differ in
+       (``_around_centres``); members far from the centre of a list with all others of the list.  So
+       no two texts that share a list go uncompared unless they are in one component already, and a
+       large group of copies is never paired with itself.
     4. Components of the confirmed links.
 
     With a similarity of 0.85 a signature agrees in 54 of 64 coordinates on the mean, and in fewer than
@@ -170,23 +206,25 @@ def near_duplicates(
 
     centre = posts.groupBy("post").agg(F.max(F.struct("central", (-F.col("node")).alias("order"), "node", "n", *LANES)).alias("c"), F.count("*").alias("k"))
     centre = saved(centre.filter("k > 1").select("post", "c.*"), "centres")
-    pair = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
     near = _near("x", "y", coordinates, matches, percent)
-    stars = posts.alias("x").join(centre.alias("y"), "post").filter((F.col("x.node") != F.col("y.node")) & near).select(*pair).distinct()
+    around = posts.alias("x").join(centre.alias("y"), "post").filter(F.col("x.node") != F.col("y.node"))
+    stars = saved(around.filter(near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "stars")
     links = saved(_confirmed(stars, sets, percent), "star-links")
     found = connected_components(links)
 
-    member = posts.join(found, "node", "left")
-    member = member.withColumn("component", F.coalesce("component", "node"))
-    main = centre.select("post", "node").join(found, "node", "left").select("post", F.coalesce("component", "node").alias("main"))
-    member = saved(member.join(main, "post").select("post", "node", "n", "component", "main", *LANES), "members")
-    strays = member.filter(F.col("component") != F.col("main"))
-    crossing = (
-        strays.alias("x").join(member.alias("y"), "post")
-        .filter((F.col("x.component") != F.col("y.component")) & near)
-        .select(*pair).distinct().join(stars, ["a", "b"], "left_anti")
-    )
-    more = _confirmed(crossing, sets, percent)
+    def component(of: str, name: str) -> DataFrame:
+        return found.select(F.col("node").alias(of), F.col("component").alias(name))
+
+    # members that are near their centre, where some are not in its component
+    placed = stars.join(component("a", "ca"), "a", "left").join(component("b", "cb"), "b", "left")
+    placed = saved(placed.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")), "star-components")
+    open_centres = placed.filter("ca <> cb").select("b").distinct()
+    more = _around_centres(placed.join(open_centres, "b", "left_semi"), sets, percent)
+    # members that are far from the centre of a list, with all others of the list
+    far = around.filter(~near).select("post", "x.node", "x.n", *(f"x.{c}" for c in LANES))
+    strange = far.alias("x").join(posts.alias("y"), "post").filter((F.col("x.node") != F.col("y.node")) & near)
+    strange = strange.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    more = _confirmed(more.unionByName(strange).distinct(), sets, percent)
     # an id whose rows are in several classes joins them
     several = linked.join(classes.select("f0", "f1", "n", "node"), ["f0", "f1", "n"]).groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b")
     several = linked.select("doc_id", "f0", "f1", "n").join(several.select("doc_id", "a"), "doc_id").join(classes.select("f0", "f1", "n", F.col("node").alias("b")), ["f0", "f1", "n"]).select("a", "b")
