@@ -200,8 +200,8 @@ def near_duplicates(
     )
     posts = saved(chosen.join(classes.select("node", "f0", "n", *LANES), ["node", "f0"]).select("post", "node", "n", "central", *LANES), "posts")
 
-    # the whole sets of all classes that are posted
-    wanted = posts.select(F.col("node").alias("doc_id")).distinct()
+    # the whole sets of all classes that are posted; the ids are hashed, so the texts are never sorted
+    wanted = posts.select(F.col("node").alias("doc_id")).distinct().hint("shuffle_hash")
     sets = saved(shingle_rows(rows.join(wanted, "doc_id", "left_semi")), "sets")
 
     centre = posts.groupBy("post").agg(F.max(F.struct("central", (-F.col("node")).alias("order"), "node", "n", *LANES)).alias("c"), F.count("*").alias("k"))
