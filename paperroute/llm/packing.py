@@ -172,10 +172,9 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     """
     spark = pieces.sparkSession
     counts = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    slots = spark.createDataFrame(slots_of(pack_lengths(counts, capacity)))
-    cells = spark.createDataFrame(
-        pd.DataFrame({"length": pd.Series(list(counts), dtype="int64"), "cells": pd.Series([-(-n // CELL_ROWS) for n in counts.values()], dtype="int64")})
-    )
+    table = slots_of(pack_lengths(counts, capacity))
+    slots = spark.createDataFrame(table.values.tolist(), ", ".join(f"{c} bigint" for c in table.columns))
+    cells = spark.createDataFrame([(length, -(-n // CELL_ROWS)) for length, n in counts.items()], "length bigint, cells bigint")
     key = F.xxhash64("doc_id", "piece", "ids_crc32")
     rows = pieces.join(F.broadcast(cells), "length").withColumn("cell", F.pmod(key, "cells")).drop("cells")
     before = Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
