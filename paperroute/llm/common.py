@@ -43,8 +43,8 @@ def text_of(name: str) -> Column:
 
 
 def row_key(id_col: str, text_col: str) -> Column:
-    """Tells rows apart that carry one id with different texts."""
-    return F.xxhash64(F.col(id_col), F.octet_length(text_of(text_col)), text_of(text_col))
+    """Tells rows apart that carry one id with different texts; short, as many rows carry it."""
+    return F.hash(F.xxhash64(text_of(text_col)), F.octet_length(text_of(text_col)))
 
 
 def whole_row(docs: DataFrame, wanted: bool) -> list[Column]:
