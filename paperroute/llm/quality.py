@@ -64,12 +64,23 @@ def chosen_ids(ids: DataFrame, column: str, most: int, seed: int) -> DataFrame:
     return ids.orderBy(draw, column).limit(most)
 
 
-def gram_counts(docs: DataFrame, target_ids: DataFrame, buckets: int, id_col: str, text_col: str) -> np.ndarray:
+def with_trust(rows: DataFrame, target_ids: DataFrame, narrow_ids: int) -> DataFrame:
+    """``text, trusted`` of every row of ``doc_id, text``; trusted if the id is one of the target's, however many they are."""
+    ids = target_ids.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("target_id")).distinct()
+    known, marks = F.col("doc_id").isNotNull(), ids.withColumn("part", F.lit(0))
+    # only the way of joining depends on the number of ids; beyond it texts are shuffled once and never sorted
+    marks = F.broadcast(marks) if ids.count() <= narrow_ids else marks.hint("shuffle_hash")
+    # rows without an id match nothing and are dealt out by their texts
+    part = F.when(known, 0).otherwise(1 + F.pmod(F.xxhash64("text"), F.lit(1000))).cast("int")
+    rows = rows.select(F.coalesce("doc_id", F.lit(0)).alias("key"), part.alias("own_part"), "text")
+    joined = rows.join(marks, (F.col("key") == F.col("target_id")) & (F.col("own_part") == F.col("part")), "left")
+    return joined.select("text", F.col("target_id").isNotNull().alias("trusted"))
+
+
+def gram_counts(docs: DataFrame, target_ids: DataFrame, buckets: int, id_col: str, text_col: str, narrow_ids: int) -> np.ndarray:
     """N-gram counts by bucket of all texts (row 0) and of the texts of the target (row 1)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    # bounded by the number of target ids
-    marks = F.broadcast(target_ids.select(F.col("doc_id").alias("target_id")))
-    rows = rows.join(marks, F.col("doc_id") == F.col("target_id"), "left").select("text", F.col("target_id").isNotNull().alias("trusted"))
+    rows = with_trust(rows, target_ids, narrow_ids)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros((2, buckets), np.int64)
@@ -102,17 +113,17 @@ def ratios(counts: np.ndarray, prior: float) -> np.ndarray:
 
 
 def quality_rules(
-    docs: DataFrame, labels: DataFrame, threshold: float = -0.5, min_words: int = 50, max_repeat: int = 50, target_rows: int = 20_000,
-    buckets: int = BUCKETS, prior: float = 10_000.0, seed: int = 8, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, labels: DataFrame, threshold: float = -0.5, min_words: int = 50, max_repeat: int = 50,
+    buckets: int = BUCKETS, prior: float = 10_000.0, narrow_ids: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text",
     with_row: bool = False,
 ) -> DataFrame:
     """Counts, the base rules and the verdict of every document.
 
     Two multinomials over hashed byte trigrams are compared: the raw corpus, counted over all texts,
-    and a trusted target, the documents labelled ``quality = 1``, of which ``target_rows`` at most
-    are taken in a seeded order.  The score ``llr`` is the mean log ratio of a text's trigrams.  A
-    document is kept if no base rule fails and its score is at least ``threshold``, the same fixed
-    number for every document.
+    and a trusted target, all documents labelled ``quality = 1``.  The score ``llr`` is the mean log
+    ratio of a text's trigrams.  A document is kept if no base rule fails and its score is at least
+    ``threshold``, the same fixed number for every document.  Up to ``narrow_ids`` trusted ids are
+    sent to the texts; more of them meet the texts in a shuffled join.
 
     Null texts have no words and fail the base rules; labels with null ids or of other classes are
     passed over; without any trusted label every score is 0.  Every row gives one row, also rows
@@ -120,8 +131,7 @@ def quality_rules(
     ``with_row`` asks for ``row``, a struct of all columns of the input.
     """
     trusted = labels.filter(F.col("quality") == 1).select(F.col("doc_id"))
-    target = chosen_ids(trusted, "doc_id", target_rows, seed)
-    table = ratios(gram_counts(docs, target, buckets, id_col, text_col), prior)
+    table = ratios(gram_counts(docs, trusted, buckets, id_col, text_col, narrow_ids), prior)
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), *whole_row(docs, with_row))
     kind = rows.schema["doc_id"].dataType.simpleString()
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

@@ -151,6 +151,17 @@ def test_quality_without_labels(spark):
     assert Counter((r.doc_id, r.text) for r in rows) == Counter((i, t) for i, t, *_ in EDGES)
 
 
+def test_quality_target_of_many_labels(spark):
+    """Every one of 30,000 trusted documents counts, also a language that a single one holds, however the ids are joined."""
+    rare = [(40_000 + i, f"{chr(0x3B1 + i) * 2}{chr(0x3C1 + i) * 2}{chr(0x3B1 + i) * 3}") for i in range(12)]
+    rows = [(i, "the plain words") for i in range(30_000)] + rare + [(None, "no id, no trust")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 1, 0) for i, _ in rows] + [(40_000, 1, 0)], "doc_id long, quality int, toxic int")
+    for more in ({}, {"narrow_ids": 5}):
+        got = {r.doc_id: r.llr for r in quality_rules(docs, marks, prior=10.0, **more).collect()}
+        assert all(got[i] > -0.01 for i, _ in rare) and got[None] < -3
+
+
 def test_classifier_on_held_out_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     marks = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
