@@ -175,6 +175,22 @@ def test_classifier_on_held_out_labels(spark):
     assert again == {i: r.p_good for i, r in got.items()}
 
 
+def test_classifier_rounds_take_every_unlabelled_row(spark):
+    """Eight rare kinds of junk, each with words of its own in 2 of 12,016 unlabelled rows, all reach the text view."""
+    rng = random.Random(4)
+    plain = lambda: " ".join(rng.choice(["river", "stone", "garden", "letter", "window", "summer"]) for _ in range(12))
+    junk = lambda word: "\n".join([word + " 99 ## $$"] * 9)
+    rows = [(i, plain() if i % 2 else junk(f"buy{i}"), "en", "ab"[i % 2 - 1]) for i in range(200)]
+    rows += [(1000 + i, plain(), "en", "a") for i in range(12_000)]
+    words = [f"{chr(0x3B1 + k) * 3}{chr(0x430 + k) * 3}" * 3 for k in range(8)]
+    rare = [(20_000 + i, junk(words[i % 8]), "en", "b") for i in range(16)]
+    probes = [(30_000 + k, w, None, None) for k, w in enumerate(words)]
+    marks = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    kind = "doc_id long, text string, lang string, source string"
+    without, got = ({r.doc_id: r.p_text for r in quality_classes(spark.createDataFrame(x + probes, kind), marks).collect()} for x in (rows, rows + rare))
+    assert all(got[30_000 + k] < without[30_000 + k] - 0.1 for k in range(8))
+
+
 def test_classifier_edges(spark):
     few = spark.createDataFrame([(1, 1, 0), (None, 0, 0), (3, None, 0), (4, 5, 0)], "doc_id long, quality int, toxic int")
     for marks in (few, no_labels(spark)):
