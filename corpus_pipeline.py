@@ -24,8 +24,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier takes for good."""
-    judged = quality_classes(docs, table(spark, sf_dir, "labels"), with_row=True)
+    """Documents that the classifier, co-trained on all documents, takes for good; the stage before left no bad label to learn from."""
+    judged = quality_classes(docs, table(spark, sf_dir, "labels"), with_row=True, training=table(spark, sf_dir, "documents"))
     return judged.filter("kept").select(*(F.col(f"row.{c}") for c in COLUMNS))
 
 

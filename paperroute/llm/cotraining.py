@@ -249,7 +249,7 @@ def co_train(sample: Sample, pool: Pool, rounds: int) -> dict | None:
 def quality_classes(
     docs: DataFrame, labels: DataFrame, labelled_rows: int = 6_000, rounds: int = 3, confident: float = 0.95,
     cut: float = 0.5, seed: int = 10, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
-    with_row: bool = False,
+    with_row: bool = False, training: DataFrame | None = None,
 ) -> DataFrame:
     """Probability of good quality of every document: ``doc_id, p_text, p_page, p_good, kept``.
 
@@ -259,6 +259,9 @@ def quality_classes(
     calibrated on labelled rows that neither saw, the two log odds are averaged, and a document is
     kept if the result is at least ``cut``.  Every document is scored.
 
+    Both views are fitted on ``training``, a table with the same columns, of which ``docs`` may be what
+    earlier steps kept; without it on ``docs`` itself.
+
     The first fit takes at most ``labelled_rows`` labelled rows in a seeded order.  Every other row
     takes part in the rounds as unlabelled, however many there are; a round opens a further
     part of them, the last one all.  Their pseudo-labels stay in Spark: n-gram counts by bucket and
@@ -270,17 +273,21 @@ def quality_classes(
     language is a value of its own, rows may repeat; every row gives one row.  ``with_row`` adds ``row``,
     a struct of all columns of the input.
     """
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"),
-        *whole_row(docs, with_row),
-    )
+    def columns(df: DataFrame, wanted: bool) -> DataFrame:
+        return df.select(
+            F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"),
+            *whole_row(df, wanted),
+        )
+
+    rows = columns(docs, with_row)
+    fitted = columns(docs if training is None else training, False)
     lowest = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("fit_id")).agg(F.min("quality").alias("label"))
     known = chosen_ids(lowest, "fit_id", labelled_rows, seed).join(lowest, "fit_id")
     marks = F.broadcast(known.select("fit_id", F.col("label").cast("int").alias("label")))  # bounded by the number of rows
     same = F.col("doc_id").cast("long") == F.col("fit_id")
-    marked = rows.join(marks, same)
+    marked = fitted.join(marks, same)
     turn = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id").cast("long"), F.octet_length("text")), F.lit(max(rounds, 1))).cast("int")
-    pool = Pool(rows.join(marks, same, "left_anti").select("text", "source", "lang", turn.alias("turn")), confident)
+    pool = Pool(fitted.join(marks, same, "left_anti").select("text", "source", "lang", turn.alias("turn")), confident)
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, "text", SLICE):

@@ -274,6 +274,19 @@ def test_top_k_of_huge_components(spark):
     assert got == [(1, 2**63 - 1), (3, 1024 * 1024 * int(3e15) + 1024 * 1024), (2, -(2**63))] or [i for i, _ in got] == [1, 3, 2]
 
 
+def test_pipeline_classifier_rejects(spark):
+    """Bad documents planted behind the first stage go, good ones stay: the stage is fitted on all documents, not on what is left."""
+    sf = "/root/testdata/sf0.01"
+    docs, marks = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "labels"))
+    labelled = docs.join(marks.filter("doc_id % 2 = 0"), "doc_id")
+    kept = docs.join(marks.filter("quality = 0"), "doc_id", "left_anti").limit(300)
+    bad = labelled.filter("quality = 0").selectExpr("doc_id + 1000000 AS doc_id", "text", "lang", "source", "n_chars")
+    stage = corpus_pipeline.STAGES[1][1](spark, kept.unionByName(bad), sf)
+    got = [r.doc_id for r in stage.select("doc_id").collect()]
+    planted = sum(i >= 1_000_000 for i in got)
+    assert planted < 0.3 * bad.count() and len(got) - planted > 200
+
+
 def plain_stage_rows(rows, got):
     return sorted((str(r["doc_id"]), r["text"]) for r in rows) == sorted((str(r.doc_id), r.text) for r in got)
 
