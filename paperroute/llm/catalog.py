@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from paperroute.session import work_dir
 
@@ -13,6 +14,7 @@ from .common import table
 from .cotraining import quality_classes
 from .counting import token_counts
 from .dropout import encoded_documents
+from .infilling import fill_in_middle, restored
 from .neardup import near_duplicates
 from .packing import packed_documents
 from .quality import quality_rules
@@ -125,3 +127,42 @@ def op9_mixed_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classes(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+# lines as the text split at line feeds, without the empty rest behind the last one
+ORACLE["op11_fill_in_middle"] = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), parts AS (SELECT *, string_split(text, chr(10)) AS p FROM t
+), lines AS (
+    SELECT doc_id, text, h, CASE WHEN p[len(p)] = '' THEN p[1:len(p) - 1] ELSE p END AS p, p[len(p)] = '' AS closed FROM parts
+), units AS (
+    SELECT doc_id, text, h, len(p) AS n, list_transform(p, lambda x, i: x || CASE WHEN i < len(p) OR closed THEN chr(10) ELSE '' END) AS u
+    FROM lines
+), drawn AS (
+    SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS c1, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS c2,
+           CAST('0x' || h[17:24] AS BIGINT) % 100 AS d3, CAST('0x' || h[25:32] AS BIGINT) % 100 AS d4
+    FROM units
+), cut AS (
+    SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR d3 >= 100 THEN 'plain'
+                   WHEN d4 < 50 THEN 'spm' ELSE 'psm' END AS form,
+           array_to_string(u[1:least(c1, c2)], '') AS pre, array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], '') AS mid,
+           array_to_string(u[greatest(c1, c2) + 1:n], '') AS suf
+    FROM drawn
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid
+                        ELSE '<P>' || pre || '<S>' || suf || '<M>' || mid END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM cut
+"""
