@@ -1,6 +1,7 @@
 """Fill-in-middle, hard negatives and the n-gram join against plain versions."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -8,6 +9,8 @@ import pytest
 from cases import EDGES, edge_docs, no_docs
 from pyspark.sql import functions as F
 
+from paperroute.llm import hardnegatives
+from paperroute.llm.hardnegatives import hard_negatives
 from paperroute.llm.infilling import fill_in_middle, restored, unit_ends
 
 
@@ -67,3 +70,48 @@ def test_infilling_random():
         text = "".join(rng.choice("ab\n\r é<") for _ in range(rng.randrange(30)))
         ends = [m.end() for m in re.finditer(r"[^\n]*\n|[^\n]+", text)]
         assert unit_ends(text) == ends
+
+
+def plain_negatives(rows, k=10, positives=5, every=100, scale=256, low=30, high=90):
+    """Every window on its own, over all rows."""
+    good = [(i, lab, tuple(math.floor(scale * x) for x in v)) for i, v, lab in rows if None not in (i, v, lab) and all(x is not None and math.isfinite(x) for x in v)]
+    anchors = {}
+    for i, lab, v in good:
+        if i % every == 0:
+            anchors[i] = max(anchors.get(i, ((), 0)), (v, lab)) if i in anchors else (v, lab)
+    out = []
+    for a, (v, lab) in anchors.items():
+        scored = sorted((-max(-(2**56), min(2**56, sum(x * y for x, y in zip(v, w, strict=True)))), i, m == lab) for i, m, w in good if i != a and len(w) == len(v))
+        for nth, (p, i, _) in enumerate([x for x in scored if x[2]][:positives], 1):
+            window = [x for x in scored if not x[2] and low * -p <= 100 * -x[0] <= high * -p][:k]
+            out += [(a, i, r, x[1], -p, -x[0], nth) for r, x in enumerate(window, 1)]
+    return sorted(out)
+
+
+VECTORS = "vec_id long, embedding array<float>, label int"
+
+
+def test_hard_negatives_edges(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [
+        (0, [1.0, 0.5], 1), (0, [1.0, 0.25], 2), (0, [1.0, 0.25], 2), (1, [1.0, 0.5], 1), (2, [1.0, 0.5], 1), (3, [0.5, 0.25], 2), (4, [0.5, 0.25], 3),
+        (5, None, 1), (6, [1.0, None], 1), (7, [nan, 1.0], 1), (8, [inf, 1.0], 2), (9, [0.5, 0.5], None), (None, [0.5, 0.5], 1), (10, [], 1),
+        (11, [0.5], 2), (100, [-1.0, -1.0], 1), (101, [0.0, 0.0], 4), (200, [0.0, 0.0], 4), (201, [0.0, 0.0], 4), (300, [], 2), (301, [], 2), (302, [], 3),
+        (400, [3e38, 3e38], 5), (401, [3e38, 3e38], 5), (402, [1e38, -1e38], 6), (-100, [1.0, 0.5], 1), (3, [0.5, 0.25], 2),
+    ]
+    docs = spark.createDataFrame(rows, VECTORS).selectExpr("*", "'clash' AS slot", "1 AS part", "2 AS n", "3 AS rank")
+    saturated = [(i, v if v is None else [x if x is None or not math.isfinite(x) else max(-(2.0**63) / 256, min((2.0**63 - 1024) / 256, x)) for x in v], lab) for i, v, lab in rows]
+    assert sorted(map(tuple, hard_negatives(docs).collect())) == plain_negatives(saturated)
+    assert hard_negatives(spark.createDataFrame([], VECTORS)).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_hard_negatives_random(spark, seed, monkeypatch):
+    monkeypatch.setattr(hardnegatives, "BLOCK_ROWS", 37)
+    monkeypatch.setattr(hardnegatives, "ANCHOR_ROWS", 5)
+    rng = random.Random(seed)
+    hot = lambda: 0 if rng.random() < 0.4 else rng.randrange(4)
+    values = [[rng.randrange(-4, 9) / 8 for _ in range(4)] if seed else [0.5] * 4 for _ in range(400)]  # few values: many ties
+    rows = [(i, v, hot()) for i, v in enumerate(values)]
+    got = hard_negatives(spark.createDataFrame(rows, VECTORS).repartition(5), k=3 + seed, positives=2 + seed, every=20, low_percent=20 + 5 * seed, high_percent=95)
+    assert sorted(map(tuple, got.collect())) == plain_negatives(rows, 3 + seed, 2 + seed, 20, 256, 20 + 5 * seed, 95)
