@@ -14,6 +14,7 @@ from .common import table
 from .cotraining import quality_classes
 from .counting import token_counts
 from .dropout import encoded_documents
+from .groupjoin import jaccard_components
 from .hardnegatives import hard_negatives
 from .infilling import fill_in_middle, restored
 from .neardup import near_duplicates
@@ -199,3 +200,15 @@ FROM positives AS p JOIN scored AS n
   ON p.anchor_id = n.anchor_id AND NOT n.same AND 30 * p.positive_score <= 100 * n.score AND 100 * n.score <= 90 * p.positive_score
 QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id) <= 10
 """
+
+
+@query
+def op13_group_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+# every pair that shares a shingle is compared; components by spreading the least id
+ORACLE["op13_group_prefix_join"] = (
+    ORACLE["op2_minhash_join"].replace("len(w) < 5", "len(w) < 4").replace("len(w) - 3", "len(w) - 2").replace("i + 4", "i + 3")
+    .replace(" AS component_id,\n       s.doc_id = coalesce(named.c, s.doc_id) AS kept", " AS component_id")
+)

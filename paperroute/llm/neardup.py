@@ -11,41 +11,48 @@ from pyspark.sql import functions as F
 
 from .common import in_slices, saved, text_of
 from .components import connected_components
-from .words import LOWER, Texts, hashes, mixed, together
+from .words import LOWER, Texts, mixed, run_hashes, together
 
 SLICE = 1 << 20
 WORDS = 5
 LANES = ["l0", "l1", "l2", "l3"]
 
 
-def shingles(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of all rows, in order of row and hash, and how many each row has.
+def raw_shingles(texts: Texts, length: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of all rows, and the row of each.
 
-    A shingle is five words in a row, A-Z in lower case; fewer words are one shingle as a whole.
+    A shingle is ``length`` words in a row, A-Z in lower case; fewer words are one shingle as a whole.
     """
     begins, ends = texts.words()
-    word = hashes(texts.sums(LOWER[texts.bytes]), begins, ends)
+    word = run_hashes(LOWER[texts.bytes], begins, ends)
     row = texts.row_of(begins)
     n_words = np.bincount(row, minlength=texts.rows)
     first = np.concatenate([[0], np.cumsum(n_words)[:-1]]) if texts.rows else n_words
-    found, owner = [], []
-    if len(word) >= WORDS:
-        at = np.flatnonzero(row[: 1 - WORDS] == row[WORDS - 1 :])
-        found.append(together(*(word[at + i] for i in range(WORDS))))
+    found, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    if len(word) >= length:
+        at = np.flatnonzero(row[: 1 - length] == row[length - 1 :]) if length > 1 else np.arange(len(word))
+        found.append(together(*(word[at + i] for i in range(length))))
         owner.append(row[at])
-    for n in range(1, WORDS):
+    for n in range(1, length):
         short = np.flatnonzero(n_words == n)
         if len(short):
             found.append(together(*(word[first[short] + i] for i in range(n)), np.full(len(short), n, np.uint64)))
             owner.append(short)
-    if not found:
-        return np.zeros(0, np.uint64), np.zeros(texts.rows, np.int64)
-    value, of = np.concatenate(found), np.concatenate(owner)
+    return np.concatenate(found), np.concatenate(owner)
+
+
+def distinct_by_row(value: np.ndarray, of: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of all rows, in order of row and value, and how many each row has."""
     order = np.lexsort((value, of))
     value, of = value[order], of[order]
     new = np.ones(len(value), bool)
     new[1:] = (value[1:] != value[:-1]) | (of[1:] != of[:-1])
-    return value[new], np.bincount(of[new], minlength=texts.rows)
+    return value[new], np.bincount(of[new], minlength=rows)
+
+
+def shingles(texts: Texts, length: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of all rows, in order of row and hash, and how many each row has."""
+    return distinct_by_row(*raw_shingles(texts, length), texts.rows)
 
 
 def signatures(value: np.ndarray, counts: np.ndarray, coordinates: int) -> tuple[np.ndarray, np.ndarray]:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_slices, row_kind, rows_of, text_of, whole_row
-from .words import Texts, grams, hashes, row_sums, together
+from .words import Texts, grams, row_sums, run_hashes, together
 
 BUCKETS = 1 << 15
 UNIT = 1 << 20  # ratios are added as whole numbers of 1 / UNIT, so that sums do not depend on their order
@@ -22,8 +22,7 @@ SYMBOLS[list(b"#*$%&|<>")] = True
 def base_counts(texts: Texts) -> dict[str, np.ndarray]:
     """The counts of the base rules for each row; words and lines are compared by 64-bit hashes."""
     begins, ends = texts.words()
-    sums = texts.sums()
-    word = hashes(sums, begins, ends)
+    word = run_hashes(texts.bytes, begins, ends)
     row = texts.row_of(begins)
     n_words = np.bincount(row, minlength=texts.rows)
     inside = np.zeros(len(texts.bytes) + 1, np.int8)
@@ -36,7 +35,7 @@ def base_counts(texts: Texts) -> dict[str, np.ndarray]:
     with_word = np.searchsorted(begins, line_ends) > np.searchsorted(begins, line_begins)
     line_begins, line_ends = line_begins[with_word], line_ends[with_word]
     line_row = texts.row_of(line_begins)
-    line = together(line_row.astype(np.uint64), hashes(sums, line_begins, line_ends))
+    line = together(line_row.astype(np.uint64), run_hashes(texts.bytes, line_begins, line_ends))
     first = np.unique(line, return_index=True)[1]
     n_dup = np.bincount(line_row, minlength=texts.rows) - np.bincount(line_row[first], minlength=texts.rows)
 

@@ -49,16 +49,22 @@ def documents(spark: SparkSession) -> DataFrame:
     return spark.read.parquet(f"{SF}/documents.parquet")
 
 
-def shingle_set(text: str | None) -> frozenset:
+def shingle_set(text: str | None, k: int = 5) -> frozenset:
     w = WORDS.findall((text or "").translate(LOWER))
-    return frozenset() if not w else frozenset([tuple(w)]) if len(w) < 5 else frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    return frozenset() if not w else frozenset([tuple(w)]) if len(w) < k else frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
 
 
-def plain_near_duplicates(docs: list[tuple[int, str | None]]) -> dict[int, int]:
+def complements(power: int) -> tuple[str, str]:
+    """Two words of 2**power letters, complements of each other, whose polynomial hashes modulo 2**64 are equal from 2**10 on."""
+    bits = [i.bit_count() & 1 for i in range(1 << power)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def plain_near_duplicates(docs: list[tuple[int, str | None]], k: int = 5, percent: int = 85) -> dict[int, int]:
     """Component of every id by comparing all pairs."""
     sets: dict[int, list[frozenset]] = defaultdict(list)
     for i, text in docs:
-        sets[i].append(shingle_set(text))
+        sets[i].append(shingle_set(text, k))
     parent = {i: i for i in sets}
 
     def find(i: int) -> int:
@@ -69,7 +75,7 @@ def plain_near_duplicates(docs: list[tuple[int, str | None]]) -> dict[int, int]:
     ids = sorted(sets)
     for x, a in enumerate(ids):
         for b in ids[x + 1 :]:
-            if any(s and t and 100 * len(s & t) >= 85 * len(s | t) for s in sets[a] for t in sets[b]):
+            if any(s and t and 100 * len(s & t) >= percent * len(s | t) for s in sets[a] for t in sets[b]):
                 p, q = find(a), find(b)
                 parent[max(p, q)] = min(p, q)
     return {i: find(i) for i in ids}

@@ -6,12 +6,15 @@ import random
 import re
 
 import pytest
-from cases import EDGES, edge_docs, no_docs
+from cases import EDGES, complements, documents, edge_docs, no_docs, plain_counts, plain_near_duplicates, shingle_set
 from pyspark.sql import functions as F
 
-from paperroute.llm import hardnegatives
+from paperroute.llm import groupjoin, hardnegatives
+from paperroute.llm.groupjoin import jaccard_components
 from paperroute.llm.hardnegatives import hard_negatives
 from paperroute.llm.infilling import fill_in_middle, restored, unit_ends
+from paperroute.llm.neardup import near_duplicates
+from paperroute.llm.quality import quality_rules
 
 
 def plain_infilling(doc_id, text, seed=7, percent=100, spm=50):
@@ -115,3 +118,101 @@ def test_hard_negatives_random(spark, seed, monkeypatch):
     rows = [(i, v, hot()) for i, v in enumerate(values)]
     got = hard_negatives(spark.createDataFrame(rows, VECTORS).repartition(5), k=3 + seed, positives=2 + seed, every=20, low_percent=20 + 5 * seed, high_percent=95)
     assert sorted(map(tuple, got.collect())) == plain_negatives(rows, 3 + seed, 2 + seed, 20, 256, 20 + 5 * seed, 95)
+
+
+def components_of(spark, docs, **how):
+    df = spark.createDataFrame(docs, "doc_id long, text string") if isinstance(docs, list) else docs
+    return {(r.doc_id, r.n_shingles): r.component_id for r in jaccard_components(df, **how).collect()}
+
+
+def plain_components(docs, k=4, percent=85):
+    whole = plain_near_duplicates([(i, t) for i, t in docs if i is not None], k, percent)
+    return {(i, len(shingle_set(t, k))): whole.get(i) for i, t in docs}
+
+
+def test_group_join_edges(spark):
+    assert components_of(spark, edge_docs(spark)) == plain_components([(i, t) for i, t, *_ in EDGES])
+    assert jaccard_components(edge_docs(spark)).count() == len(EDGES)
+    assert jaccard_components(no_docs(spark)).collect() == []
+
+
+def test_group_join_documents(spark):
+    docs = [(r.doc_id, r.text) for r in documents(spark).select("doc_id", "text").collect()]
+    assert components_of(spark, docs) == plain_components(docs)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_group_join_random(spark, seed, monkeypatch):
+    """Near copies of a few texts at similarities around the threshold, exact copies, and lists that need several rounds."""
+    monkeypatch.setattr(groupjoin, "WORK", 0 if seed % 2 else 8)
+    monkeypatch.setattr(groupjoin, "HUB", 3)
+    rng = random.Random(seed)
+    bases = [[f"w{rng.randrange(60)}" for _ in range(rng.choice([3, 12, 40, 90]))] for _ in range(6)]
+    docs = []
+    for i in range(220):
+        words = list(rng.choice(bases[:1 + rng.randrange(6)]))
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+            at = rng.randrange(len(words))
+            words[at : at + rng.choice([0, 1, 1])] = [f"e{rng.randrange(40)}"]
+        docs.append((rng.randrange(200), " ".join(words)))
+    percent = rng.choice([85, 85, 70, 95])
+    bits = 3 if seed == 3 else 18  # a poor order must give the same links
+    assert components_of(spark, docs, percent=percent, bits=bits) == plain_components(docs, percent=percent)
+
+
+def test_group_join_same_prefix(spark):
+    """Sets of one size whose rare shingles are the same and whose frequent ones are not: one group, several units."""
+    common = [[f"{x}{i}" for i in range(30)] for x in "pqrst"]
+    filler = [(1000 + 10 * g + j, " ".join(c)) for g, c in enumerate(common) for j in range(9)]
+    rare = [f"rare{i}" for i in range(12)]
+    docs = filler + [(g * 3 + j, " ".join(rare + c[: 29 - j] + [f"z{j}"] * (j + 1))) for g, c in enumerate(common) for j in range(3)]
+    assert components_of(spark, docs) == plain_components(docs)
+
+
+def pairs_verified(spark, docs, monkeypatch):
+    """How many pairs of sets are fetched in all, and the components."""
+    seen = []
+    keep = groupjoin.with_both_sets
+
+    def counted(pairs, sets):
+        pairs = groupjoin.saved(pairs.select("a", "b").distinct(), "counted")
+        seen.append(pairs.count())
+        return keep(pairs, sets)
+
+    monkeypatch.setattr(groupjoin, "with_both_sets", counted)
+    got = components_of(spark, docs)
+    monkeypatch.setattr(groupjoin, "with_both_sets", keep)
+    return sum(seen), got
+
+
+@pytest.mark.parametrize("own", [150, 12, 3])
+def test_group_join_work_grows_in_proportion(spark, own, monkeypatch):
+    """Documents of one template and words of their own, far from each other or nearly linked, are not all compared."""
+    def made(n):
+        rng = random.Random(own)
+        docs = []
+        for i in range(n):
+            words = [f"t{i}" for i in range(240)]
+            for k in rng.sample(range(240), own):
+                words[k] = f"own{rng.randrange(10**9)}"
+            docs.append((i, " ".join(words)))
+        return docs
+
+    small, _ = pairs_verified(spark, made(100), monkeypatch)
+    large, got = pairs_verified(spark, docs := made(400), monkeypatch)
+    if own == 3:  # edits of several documents at one place of the template do meet
+        assert large < 400 * 399 / 2 / 5
+        assert got == plain_components(docs)
+    else:
+        assert large <= 5 * small + 100
+
+
+def test_complements_are_told_apart(spark):
+    """Words and lines with equal polynomial hashes are different words and lines."""
+    a, b = complements(11)
+    docs = spark.createDataFrame([(1, a), (2, b), (3, f"{a}\n{b}")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 3}
+    assert components_of(spark, [(1, a), (2, b)]) == {(1, 1): 1, (2, 1): 2}
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.n_dup_lines for r in quality_rules(docs, labels).collect()}
+    assert got == {1: 0, 2: 0, 3: plain_counts(f"{a}\n{b}")[3]}
