@@ -10,6 +10,7 @@ from __future__ import annotations
 import difflib
 import unicodedata
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -122,6 +123,20 @@ def fn_seq_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     )
 
 
+@lru_cache(maxsize=16)
+def seq_ratio_from(floor: float):
+    """``fn_seq_ratio`` for callers that only need ratios of ``floor`` or more; others may come out as 0."""
+
+    @F.pandas_udf(DoubleType())
+    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series(
+            [None if a is None or b is None else seq_ratio_of(a, b, floor) for a, b in zip(left, right)],
+            dtype="float64",
+        )
+
+    return ratio
+
+
 @F.pandas_udf(StringType())
 def fn_nfkd(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFKD", s))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio, with_exact_round
 from ..functions.dates import parse_deadline
-from ..functions.similarity import each_has_similar, fn_seq_ratio
+from ..functions.similarity import each_has_similar, seq_ratio_from
 from ..functions.text import digits, phone_digits, strip
 from ..sources.dimensions import DRUG_NAMES
+from .lexicon import match_lexicon
 
 # The rule for a field by the end of its key, first match wins.
 KEY_RULES = [
@@ -166,7 +167,7 @@ def _reason(method: str, value: Column, items: Column, key: Column, today: Colum
     raise ValueError(method)
 
 
-def validate_fields(fields: DataFrame, today: str, lexicon: list[str] | None = None) -> DataFrame:
+def validate_fields(fields: DataFrame, today: str, lexicon: list[str] | DataFrame | None = None) -> DataFrame:
     """Apply the rule of each field and adjust its confidence.
 
     Needs ``field_key``, ``value`` (text), ``items`` (strings of a list, else null) and
@@ -180,7 +181,7 @@ def validate_fields(fields: DataFrame, today: str, lexicon: list[str] | None = N
         "method", F.when(F.col("value").isNull(), F.lit("NONE")).otherwise(method_for(F.col("field_key")))
     )
     drug = F.when(F.col("method") == "DRUG", F.upper(strip(F.col("value"))))
-    df = match_lexicon(df.withColumn("__drug", drug), "__drug", lexicon or DRUG_NAMES).drop("__drug", "similarity")
+    df = match_lexicon(df.withColumn("__drug", drug), "__drug", DRUG_NAMES if lexicon is None else lexicon, LEXICON_CUTOFF).drop("__drug", "similarity")
     day = F.lit(today).cast("date")
     fail = F.when(
         F.col("method") == "DRUG", F.when(F.col("canonical").isNull(), F.lit("not in the name list"))
@@ -227,35 +228,6 @@ def validation_block(validated: DataFrame) -> DataFrame:
     )
 
 
-def match_lexicon(df: DataFrame, col: str, lexicon: list[str], cutoff: float = LEXICON_CUTOFF) -> DataFrame:
-    """Best entry of a word list for each value: exact, else the most similar above the cutoff.
-
-    Adds ``canonical`` and ``similarity``.  Each distinct value is compared once, and only with
-    entries whose length allows the cutoff; values equal to an entry are not compared at all.
-    """
-    entries = F.array(*[F.lit(x) for x in sorted(set(lexicon))])
-    exact = F.array_contains(entries, F.col(col))
-    pending = df.filter(F.col(col).isNotNull() & ~exact).select(F.col(col).alias("__word")).distinct()
-    n = F.length("__word")
-    near = F.filter(
-        entries,
-        lambda e: F.lit(2.0) * F.least(n, F.length(e)) / (n + F.length(e)).cast("double") >= cutoff,
-    )
-    pairs = pending.select("__word", F.explode(near).alias("__entry"))
-    best = (
-        pairs.withColumn("__ratio", fn_seq_ratio("__entry", "__word"))
-        .filter(F.col("__ratio") >= cutoff)
-        .groupBy("__word")
-        .agg(F.max(F.struct("__ratio", "__entry")).alias("__best"))
-    )
-    joined = df.join(best, F.col(col) == F.col("__word"), "left")
-    return joined.select(
-        *df.columns,
-        F.when(exact, F.col(col)).otherwise(F.col("__best.__entry")).alias("canonical"),
-        F.when(exact, F.lit(1.0)).otherwise(F.col("__best.__ratio")).alias("similarity"),
-    )
-
-
 def extraction_quality(validated: DataFrame) -> DataFrame:
     """Passes, failures and mean confidence per rule and field, with totals per rule and overall."""
     fine = validated.groupBy("method", "field_key").agg(
@@ -304,7 +276,7 @@ def score_fields(extracted: DataFrame, labels: DataFrame) -> DataFrame:
         F.coalesce(F.col("fuzzy"), F.lit(False)) & ~is_list & ~F.coalesce(phone, F.lit(False)) & (want != got)
         & (want != "") & (got != "")
     )
-    df = df.withColumn("__ratio", fn_seq_ratio(F.when(residue, want), F.when(residue, got)))
+    df = df.withColumn("__ratio", seq_ratio_from(FUZZY_CUTOFF)(F.when(residue, want), F.when(residue, got)))
     plain = F.when(phone, we == wa).otherwise(
         (want == got) | F.coalesce(F.col("__ratio") >= FUZZY_CUTOFF, F.lit(False))
     )

@@ -10,7 +10,7 @@ from ..functions.similarity import decompose, fn_partial_ratio, fn_seq_ratio
 from ..functions.numeric import with_exact_round
 from ..functions.text import clerk_form
 from ..operators import (
-    confidence, cost, dashboard, decisions, evidence, fields, inbox, ledger, naming, responses,
+    confidence, cost, dashboard, decisions, evidence, fields, inbox, ledger, lexicon, naming, responses,
     routing, storage, texts,
 )
 from ..sinks import exports
@@ -675,12 +675,35 @@ def _(v: Get) -> DataFrame:
     return fields.field_metrics(fields.score_fields(field_values(v), field_labels(v)))
 
 
-@query("jn_drug_lexicon", """
-SELECT doc_id, upper(trim(drug)) AS drug, CASE doc_id % 7 WHEN 0 THEN 'ATORVASTATIN' WHEN 1 THEN 'ATORVASTATIN' WHEN 2 THEN 'METFORMIN' WHEN 3 THEN 'OMEPRAZOLE' WHEN 5 THEN 'LEVOTHYROXINE SODIUM' END AS canonical,
- round(CASE doc_id % 7 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 22.0::DOUBLE / 23 WHEN 2 THEN 1.0::DOUBLE WHEN 3 THEN 18.0::DOUBLE / 19 WHEN 5 THEN 38.0::DOUBLE / 39 END, 6) AS similarity FROM @v_drug""")
+def sql_closest(words: str, entries: str, cutoff: float) -> str:
+    """Similarity by longest common blocks, block by block in a recursion; pairs whose letters rule out the cutoff are left out."""
+    return f"""
+WITH RECURSIVE lexicon AS (SELECT DISTINCT entry FROM ({entries}) WHERE entry <> ''), asked AS ({words}),
+w AS (SELECT DISTINCT word FROM asked WHERE word <> '' AND word NOT IN (SELECT entry FROM lexicon)),
+la AS (SELECT word, unnest(list_distinct(string_split(word, ''))) AS c FROM w), lb AS (SELECT entry, unnest(list_distinct(string_split(entry, ''))) AS c FROM lexicon),
+na AS (SELECT word, c, length(word) - length(replace(word, c, '')) AS n FROM la), nb AS (SELECT entry, c, length(entry) - length(replace(entry, c, '')) AS n FROM lb),
+pairs AS (SELECT word, entry FROM na JOIN nb USING (c) GROUP BY word, entry HAVING 2.0 * sum(least(na.n, nb.n)) >= {cutoff} * (length(word) + length(entry))),
+seg(word, entry, alo, ahi, blo, bhi, m) AS (
+ SELECT word, entry, 0::BIGINT, length(entry), 0::BIGINT, length(word), 0::BIGINT FROM pairs
+ UNION ALL SELECT word, entry, unnest([alo, x.i - x.nk]), unnest([x.i, ahi]), unnest([blo, x.j - x.nk]), unnest([x.j, bhi]), unnest([-x.nk, 0])
+ FROM (SELECT *, list_sort(flatten(list_transform(range(alo, ahi), lambda i: list_transform(range(blo, bhi), lambda j:
+  {{'nk': -len(list_filter(range(1, least(ahi - i, bhi - j) + 1), lambda k: entry[i + 1:i + k] = word[j + 1:j + k])), 'i': i, 'j': j}}))))[1] AS x FROM seg WHERE ahi > alo AND bhi > blo) WHERE x.nk < 0),
+best AS (SELECT word, max({{'r': r, 'entry': entry}}) AS x FROM (SELECT word, entry, 2.0::DOUBLE * sum(m) / (length(word) + length(entry)) AS r FROM seg GROUP BY word, entry) WHERE r >= {cutoff} GROUP BY word)
+SELECT a.*, CASE WHEN l.entry IS NOT NULL THEN l.entry ELSE b.x.entry END AS canonical, round(CASE WHEN l.entry IS NOT NULL THEN 1.0::DOUBLE ELSE b.x.r END, 6) AS similarity
+FROM asked a LEFT JOIN lexicon l ON a.word = l.entry LEFT JOIN best b ON a.word = b.word"""
+
+
+@query("jn_drug_lexicon", "SELECT doc_id, word AS drug, canonical, similarity FROM (" + sql_closest(
+    "SELECT doc_id, upper(trim(drug)) AS word FROM @v_drug", "SELECT unnest([" + ", ".join(f"'{x}'" for x in DRUG_NAMES) + "]) AS entry", 0.75) + ")")
 def _(v: Get) -> DataFrame:
     df = v("v_drug").withColumn("drug", F.upper(F.trim("drug")))
-    return fields.match_lexicon(df, "drug", DRUG_NAMES).select("doc_id", "drug", "canonical", F.round("similarity", 6).alias("similarity"))
+    return lexicon.match_lexicon(df, "drug", DRUG_NAMES, fields.LEXICON_CUTOFF).select("doc_id", "drug", "canonical", F.round("similarity", 6).alias("similarity"))
+
+
+@query("jn_term_lexicon", sql_closest("SELECT doc_id, word FROM @v_misspelt", "SELECT term AS entry FROM @v_term", 0.8))
+def _(v: Get) -> DataFrame:
+    """Misspelt words of all documents against a list that grows with the tables."""
+    return lexicon.match_lexicon(v("v_misspelt"), "word", v("v_term"), 0.8).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("fn_seq_ratio")

@@ -154,6 +154,13 @@ UNION ALL SELECT concat('p', {_str('p_partkey')}), 'categoryData.remark', CASE p
 UNION ALL SELECT concat('s', {_str('s_suppkey')}), 'core.responseFax', CASE WHEN s_suppkey % 2 = 0 THEN '2125550199' END, false FROM @supplier""",
     "v_drug": f"""
 SELECT p_partkey AS doc_id, CASE p_partkey % 7 WHEN 0 THEN 'ATORVASTATIN' WHEN 1 THEN 'atorvastatn' WHEN 2 THEN ' Metformin' WHEN 3 THEN 'OMEPRAZOL' WHEN 4 THEN upper(p_name) WHEN 5 THEN 'LEVOTHYROXINE SODUM' ELSE concat(upper(p_type), 'IN') END AS drug FROM @part""",
+    "v_term": """
+SELECT DISTINCT translate(split_part(split_part(text, ' ', 2 + CAST(item_id % 30 AS INT)), '.', 1), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS term FROM @benchmark
+UNION SELECT DISTINCT translate(split_part(text, ' ', 4), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') FROM @documents UNION SELECT DISTINCT translate(split_part(text, ' ', 9), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') FROM @documents""",
+    "v_misspelt": """
+SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN w WHEN length(w) < 5 THEN concat(w, 'E') WHEN doc_id % 6 = 1 THEN concat(substr(w, 1, k - 1), substr(w, k + 1)) WHEN doc_id % 6 = 2 THEN concat(substr(w, 1, k), 'E', substr(w, k + 1))
+ WHEN doc_id % 6 = 3 THEN concat(substr(w, 1, k - 1), 'Q', substr(w, k + 1)) WHEN doc_id % 6 = 4 THEN concat(substr(w, 1, k - 1), substr(w, k + 1, 1), substr(w, k, 1), substr(w, k + 2)) WHEN doc_id % 18 = 5 THEN NULL ELSE concat(w, ' ', w) END AS word
+FROM (SELECT doc_id, w, 2 + CAST(doc_id % (length(w) + 1) AS INT) % 7 AS k FROM (SELECT doc_id, translate(split_part(text, ' ', 4), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS w FROM @documents) AS a) AS b""",
     "v_feedback": f"""
 SELECT conv_id AS doc_id, turn AS seq, CASE WHEN turn % 3 = 0 THEN ' up' WHEN turn % 3 = 1 THEN 'DOWN' WHEN conv_id % 2 = 0 THEN 'down ' ELSE 'maybe' END AS verdict,
  CASE WHEN turn % 4 = 1 THEN '  ' ELSE text END AS summary, CAST(DATE '1995-06-01' + CAST(conv_id % 300 + turn AS INT) AS TIMESTAMP) AS given_at FROM @conversations""",
@@ -249,6 +256,8 @@ def duckdb_sql(sql: str) -> str:
     body = _translate(sql.strip(), functions, str)
     if not ctes:
         return body
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + ",\n".join(ctes) + ",\n" + body[15:]
     if body[:5].upper() == "WITH ":
         return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
     return "WITH " + ",\n".join(ctes) + "\n" + body
