@@ -11,8 +11,9 @@ from .common import tokenizer
 
 REMEMBERED = 1_000_000
 AT_ONCE = 2_000
-# between a letter and ASCII punctuation both pre-tokenizers always cut, but for an apostrophe
-PARTED = re.compile(r"(\S*[^\W\d_])([!-&(-/:;=?@\[-`{}~]+)").fullmatch
+# between an ASCII letter and ASCII punctuation both pre-tokenizers always cut, but for an apostrophe; other
+# letters may be decomposed first and then end in a mark, where the cut is another
+PARTED = re.compile(r"(\S*[A-Za-z])([!-&(-/:;=?@\[-`{}~]+)").fullmatch
 
 
 class WordEncoder:

@@ -1,5 +1,6 @@
 """Merge-dropout, token counts, packing and packed files against the tokenizer libraries."""
 
+import unicodedata
 import zlib
 
 import numpy as np
@@ -187,3 +188,15 @@ def test_exact_complements():
     assert sum(t for _, t in pack_lengths({70: 2, 15: 2, 9: 2, 6: 2}, 100)) == 2
     assert pack_lengths({}, 100) == []
     assert sum(t for _, t in pack_lengths({1: 10**12}, 4096)) == -(-(10**12) // 4096)
+
+
+@pytest.mark.parametrize("model", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_every_letter_before_punctuation(model):
+    """Words that end in a letter and punctuation, for every letter that decomposes and many others."""
+    letters = [chr(c) for c in range(0x80, 0x30000) if chr(c).isalpha() and (unicodedata.normalize("NFKD", chr(c)) != chr(c) or c % 97 == 0) and not 0xAC00 <= c < 0xD7A0]
+    marks = "!.,;:)]}\"#$%&*+-/=?@[\\^_`{~"
+    texts = [f"x AL{c}{m} next VEL{c}{m}" for c in letters for m in (marks if unicodedata.decomposition(c)[:1] not in ("", "<") else marks[:3])]
+    plain = tokenizer(model)
+    got = WordEncoder(model).encode(texts)
+    want = [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
