@@ -10,41 +10,45 @@ from ..functions.similarity import seq_ratio_from
 GRAM_LENGTHS = (3, 2, 1)
 
 
-def _numbered(grams: Column) -> Column:
-    """Each gram with how often it stood before, so that two lists of them share as many as the strings do."""
-    return F.transform(grams, lambda g, i: F.struct(g.alias("g"), F.size(F.filter(F.slice(grams, 1, i), lambda h: h == g)).alias("nth")))
-
-
-def _grams(words: DataFrame, name: str) -> DataFrame:
-    """``name, q, g, nth``: the grams of all lengths of each word."""
-    parts = []
-    for q in GRAM_LENGTHS:
-        long_enough = words.filter(F.length(name) >= q)
-        places = F.sequence(F.lit(1), F.length(name) - (q - 1))
-        grams = F.transform(places, lambda i, q=q: F.substring(F.col(name), i, F.lit(q)))
-        parts.append(long_enough.select(name, F.lit(q).alias("q"), F.inline(_numbered(grams))))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-
-def _by_rarity(grams: DataFrame, counts: DataFrame, name: str) -> DataFrame:
-    """``name, q, ordered``: grams of each word and length from rare to frequent in the list; unknown ones first."""
-    known = grams.join(counts, ["q", "g", "nth"], "left")
-    return known.groupBy(name, "q").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "g", "nth"))).alias("ordered"))
+def _letters(name: str) -> list[Column]:
+    """The letters of a word as bits, up to four of each of 32 kinds, and how many more there are."""
 
+    def counted(kinds: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.size(F.filter(kinds, lambda x: x == k)))
 
-def _letters(name: str, tag: str) -> list[Column]:
-    """The letters of a word as bits, up to four of each of 32 kinds, and how many more there are."""
     kinds = F.transform(F.split(F.col(name), ""), lambda c: F.pmod(F.ascii(c), F.lit(32)))
-    kinds = F.filter(kinds, lambda k: k.isNotNull())
-    each = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.size(F.filter(kinds, lambda x: x == k)))
+    each = F.element_at(F.transform(F.array(kinds), counted), 1)
 
     def bits(first: int) -> Column:
-        part = F.slice(each, first + 1, 16)
-        filled = F.transform(part, lambda n, i: F.call_function("shiftleft", F.call_function("shiftleft", F.lit(1).cast("long"), F.least(n, F.lit(4))) - 1, i * 4))
+        filled = F.transform(
+            F.slice(each, first + 1, 16),
+            lambda n, i: F.call_function("shiftleft", F.call_function("shiftleft", F.lit(1).cast("long"), F.least(n, F.lit(4))) - 1, i * 4),
+        )
         return F.aggregate(filled, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x))
 
     more = F.aggregate(each, F.lit(0), lambda acc, n: acc + F.greatest(n - 4, F.lit(0)))
-    return [bits(0).alias(f"{tag}0"), bits(16).alias(f"{tag}1"), more.alias(f"{tag}2")]
+    return [F.length(name).alias("size"), bits(0).alias("low"), bits(16).alias("high"), more.alias("more")]
+
+
+KEPT = ["word", "size", "low", "high", "more"]
+
+
+def _grams(words: DataFrame, *more: str) -> DataFrame:
+    """``word, size, low, high, more, q, g, nth``: the letters of each word and its grams of all lengths."""
+
+    def cut(q: int) -> Column:
+        places = F.sequence(F.lit(1), F.col("size") - (q - 1))
+        grams = F.transform(places, lambda i: F.struct(F.lit(q).alias("q"), F.substring(F.col("word"), i, F.lit(q)).alias("g")))
+        numbered = F.transform(grams, lambda x, i: F.struct(x["q"].alias("q"), x["g"].alias("g"), F.size(F.filter(F.slice(grams, 1, i), lambda h: h == x)).alias("nth")))
+        return F.when(F.col("size") >= q, numbered).otherwise(F.array().cast("array<struct<q:int,g:string,nth:int>>"))
+
+    return words.select("word", *_letters("word"), *more).select(*KEPT, *more, F.inline(F.concat(*(cut(q) for q in GRAM_LENGTHS))))
+
+
+def _by_rarity(grams: DataFrame, counts: DataFrame, *more: str) -> DataFrame:
+    """The grams of each word and length, ``ordered`` from rare to frequent in the list; unknown ones first."""
+    known = grams.join(counts, ["q", "g", "nth"], "left")
+    return known.groupBy(*KEPT, *more, "q").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "g", "nth"))).alias("ordered"))
 
 
 def _matched_least(total: Column, cutoff: float) -> Column:
@@ -69,32 +73,29 @@ def similar_pairs(words: DataFrame, entries: DataFrame, cutoff: float) -> DataFr
     a gram stands in the list decides what is rare.  Places in that order bound what can follow, and the
     letters of both bound what can match at all; both are plain arithmetic in the condition of the join.
     """
-    grams = _grams(entries, "entry")
+    grams = _grams(entries.select(F.col("entry").alias("word")))
     counts = grams.groupBy("q", "g", "nth").agg(F.count("*").alias("times"))
-    posted = _by_rarity(grams, counts, "entry").select("entry", "q", F.length("entry").alias("lb"), F.posexplode("ordered").alias("ib", "x"))
-    posted = posted.select("entry", "q", "lb", F.col("ib") + 1, "x.g", "x.nth").toDF("entry", "q", "lb", "ib", "g", "nth")
-    posted = posted.join(entries.select("entry", *_letters("entry", "b")), "entry")
+    posted = _by_rarity(grams, counts).select(*KEPT, "q", F.posexplode("ordered").alias("at", "x"))
+    posted = posted.select(F.col("word").alias("entry"), "q", F.col("size").alias("other"), *(F.col(c).alias(f"e_{c}") for c in KEPT[2:]), F.col("at").alias("e_at"), "x.g", "x.nth")
 
-    lengths = entries.select(F.length("entry").alias("lb")).distinct()
+    lengths = entries.select(F.length("entry").alias("other")).distinct()
     n = F.length("word")
     span = F.sequence(F.ceil(n * cutoff / (2 - cutoff) - 1e-9).cast("int"), F.floor(n * (2 - cutoff) / cutoff + 1e-9).cast("int"))
-    asked = words.select("word", n.alias("la"), F.explode(span).alias("lb")).join(lengths, "lb")
-    total = F.col("la") + F.col("lb")
+    fitting = words.select("word", F.explode(span).alias("other")).join(lengths, "other").groupBy("word").agg(F.sort_array(F.collect_list("other")).alias("others"))
+    n = F.col("size")
+    total = n + F.col("other")
     choice = F.lit(1)
     for q in reversed(GRAM_LENGTHS[:-1]):  # the longest wins
-        choice = F.when((_shared_least(total, q, cutoff) >= 1) & (F.least("la", "lb") >= q), F.lit(q)).otherwise(choice)
-    asked = asked.withColumn("q", choice)
-    asked = asked.withColumn("least", _shared_least(F.col("la") + F.col("lb"), F.col("q"), cutoff)).filter(F.col("least") <= F.least("la", "lb") - F.col("q") + 1)
-    own = _by_rarity(_grams(asked.select("word").distinct(), "word"), counts, "word")
-    wanted = asked.join(own, ["word", "q"])
-    upto = (F.col("la") - F.col("q") + 2 - F.col("least")).cast("int")
-    wanted = wanted.select("word", "la", "lb", "q", "least", F.posexplode(F.slice("ordered", F.lit(1), upto)).alias("ia", "x"))
-    wanted = wanted.select("word", "la", "lb", "q", "least", F.col("ia") + 1, "x.g", "x.nth").toDF("word", "la", "lb", "q", "least", "ia", "g", "nth")
-    wanted = wanted.join(words.select("word", *_letters("word", "a")), "word")
-    behind = F.least(F.col("la") - F.col("q") + 1 - F.col("ia"), F.col("lb") - F.col("q") + 1 - F.col("ib"))
-    alike = F.bit_count(F.col("a0").bitwiseAND(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseAND(F.col("b1"))) + F.least("a2", "b2")
-    near = (1 + behind >= F.col("least")) & (alike >= _matched_least(F.col("la") + F.col("lb"), cutoff))
-    return wanted.join(posted, ["lb", "q", "g", "nth"]).filter(near).select("word", "entry").distinct()
+        choice = F.when((_shared_least(total, q, cutoff) >= 1) & (F.least(n, F.col("other")) >= q), F.lit(q)).otherwise(choice)
+    asked = _by_rarity(_grams(fitting, "others"), counts, "others").withColumn("other", F.explode("others")).filter(F.col("q") == choice)
+    asked = asked.withColumn("least", _shared_least(total, F.col("q"), cutoff)).filter(F.col("least") <= F.least(n, F.col("other")) - F.col("q") + 1)
+    upto = (n - F.col("q") + 2 - F.col("least")).cast("int")
+    asked = asked.select(*KEPT, "q", "other", "least", F.posexplode(F.slice("ordered", F.lit(1), upto)).alias("at", "x"))
+    asked = asked.select(*KEPT, "q", "other", "least", "at", "x.g", "x.nth")
+    behind = F.least(n - F.col("q") - F.col("at"), F.col("other") - F.col("q") - F.col("e_at"))
+    alike = F.bit_count(F.col("low").bitwiseAND(F.col("e_low"))) + F.bit_count(F.col("high").bitwiseAND(F.col("e_high"))) + F.least("more", "e_more")
+    near = (1 + behind >= F.col("least")) & (alike >= _matched_least(total, cutoff))
+    return asked.join(posted, ["other", "q", "g", "nth"]).filter(near).select("word", "entry").distinct()
 
 
 def best_entries(words: DataFrame, entries: DataFrame, cutoff: float) -> DataFrame:

@@ -4,21 +4,22 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.grouping import top_per_group
 from ..functions.similarity import decompose
-from ..functions.slots import LAST_SUFFIX, walker
 from ..functions.text import (
     ILLEGAL_IN_NAME, blank_to_null, drop_adjacent_repeats, extension, squeeze, strip,
 )
+from ..session import work_dir
 from ..sources.dimensions import CASING, LEGAL_SUFFIXES, SNAKE_WORDS, Policy, taxonomy
 
 # Fixed values
 FALLBACK_SPECIFICATION = "Unclassified Fax"
 MAX_STEM = 80
 MAX_FACILITY = 38
+LAST_SUFFIX = 999  # the bare name and numbers 2 to 999
 
 
 def _lookup(table: dict[str, str]) -> Column:
@@ -200,13 +201,23 @@ def _numbered(name: Column, n: Column, suffix: str) -> Column:
     return F.concat(_stem(name), F.lit(before), n.cast("string"), F.lit(after), _ext(name))
 
 
+def _suffix_pattern(suffix: str) -> str:
+    before, after = (re.escape(p) for p in suffix.split("{n}", 1))
+    return rf"{before}([2-9]|[1-9][0-9]{{1,2}}){after}"
+
+
 def _parent(name: Column, suffix: str) -> tuple[Column, Column]:
     """The name a numbered name derives from, and its number; null when it is not numbered."""
-    before, after = (re.escape(p) for p in suffix.split("{n}", 1))
-    pattern = rf"(?s)^(.+){before}([2-9]|[1-9][0-9]{{1,2}}){after}(\.[^.]*)?$"
-    numbered = name.rlike(pattern)
-    parent = F.regexp_replace(name, pattern, "$1$3")
-    return F.when(numbered, parent), F.when(numbered, F.regexp_extract(name, pattern, 2).cast("int"))
+    pattern = rf"(?s)^(.+){_suffix_pattern(suffix)}$"
+    numbered = _stem(name).rlike(pattern)
+    parent = F.concat(F.regexp_extract(_stem(name), pattern, 1), _ext(name))
+    return F.when(numbered, parent), F.when(numbered, F.regexp_extract(_stem(name), pattern, 2).cast("int"))
+
+
+def _depth(name: Column, suffix: str) -> Column:
+    """How many numbers a name ends in."""
+    tail = F.regexp_extract(_stem(name), rf"(?s)^.+?((?:{_suffix_pattern(suffix)})*)$", 1)
+    return F.regexp_count(tail, F.lit(_suffix_pattern(suffix))).cast("int")
 
 
 def filing_plan(decisions: DataFrame, existing: DataFrame, policy: Policy = Policy()) -> DataFrame:
@@ -217,40 +228,39 @@ def filing_plan(decisions: DataFrame, existing: DataFrame, policy: Policy = Poli
     ``filed_at``, ``id`` order: the bare name, then numbers 2 to 999, then the tracking id as a
     prefix.  Result: ``final_file_name``.
 
-    Only the first 999 requests of a name can get a slot, so only those are ranked, however
-    often a name is requested.  A name requested literally in numbered form competes with the
-    names it derives from, so all names that share a base, the name without any numbers, are one
-    group.  Where nobody asks for a numbered form, the slots follow from ranks; the other bases
-    are walked in time order, one group of names at a time, whatever the depth of numbers.
+    Only the first 999 requests of a name can get a slot, so only those are ranked, however often a
+    name is requested.  A name requested literally in numbered form contests that slot of the name it derives
+    from.  Its first request either takes the slot or finds it taken, so from that time on the slot
+    is gone for the shorter name, whoever has it: a name depends on the first requests of its numbered
+    forms only, and those depend on what the shorter name took.  So names are solved by the number
+    of their suffixes, each level in one aggregate over all names and, if there are several, one written
+    table: at most 999 requests and 999 slots that are gone at some time meet in a row, and runs of free
+    slots between these follow from ranks.
     """
     suffix = policy.collision_suffix
     key = ["folder", "file_name"]
-    before, after = (re.escape(p) for p in suffix.split("{n}", 1))
-    one = rf"{before}(?:[2-9]|[1-9][0-9]{{1,2}}){after}"
-    tail = F.regexp_extract(_stem(F.col("file_name")), rf"(?s)^.+?((?:{one})*)$", 1)
-    stem = F.substring(_stem(F.col("file_name")), F.lit(1), F.length(_stem(F.col("file_name"))) - F.length(tail))
-    based = F.concat(stem, _ext(F.col("file_name")))
+    depth = _depth(F.col("file_name"), suffix)
+    deepest = decisions.select(F.max(depth)).first()[0] or 0
     requests = decisions.select(
-        F.col("id").cast("long").alias("at_id"), *key, based.alias("base"),
-        F.unix_micros(F.col("filed_at").cast("timestamp")).alias("at_us"), (F.length(tail) > 0).alias("numbered"),
+        F.col("id").cast("long").alias("at_id"), *key, depth.alias("depth"), F.unix_micros(F.col("filed_at").cast("timestamp")).alias("at_us")
     )
-    served = top_per_group(requests, [*key, "base", "numbered"], [F.col("at_us"), F.col("at_id")], LAST_SUFFIX, F.col("at_id"))
-    bases = served.groupBy("folder", "base").agg(F.max("numbered").alias("walked"))
-    served = served.join(bases, ["folder", "base"])
+    served = top_per_group(requests, [*key, "depth"], [F.col("at_us"), F.col("at_id")], LAST_SUFFIX, F.col("at_id"))
     parent, number = _parent(F.col("file_name"), suffix)
-    # slots gone before anything is filed: an existing file blocks its own name and, when it is
-    # numbered, that number of the name it derives from
-    blocked = existing.select(*key, F.lit(1).alias("slot")).unionByName(
-        existing.select("folder", parent.alias("file_name"), number.alias("slot")).dropna(subset=["file_name"])
+    always = [F.lit(-(2**63)).alias("at_us"), F.lit(-(2**63)).alias("at_id")]
+    # an existing file takes its own name and, when it is numbered, that slot of the name it derives from
+    gone = existing.select(*key, F.lit(1).alias("slot"), *always).unionByName(
+        existing.select("folder", parent.alias("file_name"), number.alias("slot"), *always).dropna(subset=["file_name"])
     ).distinct()
-    plain = _slots(served.filter("NOT walked"), blocked)
-    names = existing.select(*key, based.alias("base")).distinct().join(bases.filter("walked").select("folder", "base"), ["folder", "base"], "left_semi")
-    walked = (
-        served.filter("walked").select("folder", "base", "file_name", "at_us", "at_id")
-        .unionByName(names, allowMissingColumns=True)
-        .groupBy("folder", "base").applyInPandas(walker(suffix), "id long, slot int")
-    )
-    solved = plain.select(F.col("at_id").alias("id"), "slot").unionByName(walked)
+    firsts = requests.filter("depth > 0").groupBy(*key).agg(F.min(F.struct("at_us", "at_id")).alias("first"))
+    gone = gone.unionByName(firsts.select("folder", parent.alias("file_name"), number.alias("slot"), "first.at_us", "first.at_id"))
+    solved, taken = None, None
+    for level in range(deepest + 1):
+        slots = _slots(served.filter(F.col("depth") == level), gone if taken is None else gone.unionByName(taken))
+        slots = _written(slots) if deepest else slots
+        numbered = _numbered(F.col("file_name"), F.col("slot"), suffix).alias("file_name")
+        taken = slots.filter("slot > 1").select("folder", numbered, F.lit(1).alias("slot"), "at_us", "at_id")
+        out = slots.select(F.col("at_id").alias("id"), "slot")
+        solved = out if solved is None else solved.unionByName(out)
     chosen = (
         F.when(F.col("slot") == 1, F.col("file_name"))
         .when(F.col("slot").isNotNull(), _numbered(F.col("file_name"), F.col("slot"), suffix))
@@ -259,23 +269,37 @@ def filing_plan(decisions: DataFrame, existing: DataFrame, policy: Policy = Poli
     return decisions.join(solved, "id", "left").withColumn("final_file_name", chosen).drop("slot")
 
 
-def _slots(requests: DataFrame, blocked: DataFrame) -> DataFrame:
-    """The slot of each ranked request whose name competes with no other; null when none is left.
+def _written(df: DataFrame) -> DataFrame:
+    path = work_dir(df.sparkSession, "slots")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _slots(requests: DataFrame, gone: DataFrame) -> DataFrame:
+    """The slot of each ranked request: ``folder, file_name, at_us, at_id, slot``; null when none is left.
 
-    Requests and blocked slots of a name meet in one shuffle.  The i-th request takes the i-th slot
-    that is not blocked, which needs no loop.
+    ``gone``: slots of a name and the time from which on they cannot be had.  In order of slots, the i-th
+    request comes to a slot when i - 1 slots before it were had; it has to skip the slot if that was gone by then.
+    The other requests take the free slots between in order.
     """
     key = ["folder", "file_name"]
-    events = requests.select(*key, "rank", "at_id").withColumn("asked", F.lit(True)).unionByName(
-        blocked.withColumn("asked", F.lit(False)), allowMissingColumns=True
+    at = F.struct("at_us", "at_id")
+    names = requests.select(*key).distinct()
+    events = requests.select(*key, at.alias("asked")).unionByName(
+        gone.join(names, key, "left_semi").groupBy(*key, "slot").agg(F.min(at).alias("since")), allowMissingColumns=True
     )
-    taken = F.array_sort(F.collect_set("slot").over(Window.partitionBy(*key)))
-    # a blocked slot is skipped by every rank above the number of free slots before it
-    skipped = F.size(
-        F.filter(
-            F.transform("taken", lambda t, i: t - i - F.lit(1)), lambda free: free < F.col("rank")
-        )
+    rows = events.groupBy(*key).agg(
+        F.array_sort(F.collect_list("asked")).alias("asked"),
+        F.array_sort(F.collect_list(F.when(F.col("since").isNotNull(), F.struct("slot", "since")))).alias("gone"),
     )
-    slot = F.col("rank") + F.col("skipped")
-    events = events.withColumn("taken", taken).filter("asked").withColumn("skipped", skipped)
-    return events.select("at_id", F.when(slot <= LAST_SUFFIX, slot).cast("int").alias("slot"))
+
+    def skip(acc: Column, x: Column) -> Column:
+        nth = x["slot"] - F.size(acc)
+        late = (nth > F.size("asked")) | (F.get(F.col("asked"), nth - 1) > x["since"])
+        return F.when(late, F.concat(acc, F.array(x["slot"]))).otherwise(acc)
+
+    rows = rows.filter(F.size("asked") > 0).withColumn("skipped", F.aggregate("gone", F.array().cast("array<int>"), skip))
+    before = F.transform("skipped", lambda t, i: t - i - F.lit(1))  # free slots before each
+    rows = rows.withColumn("before", before).select(*key, "before", F.posexplode("asked").alias("nth", "at"))
+    slot = F.col("nth") + 1 + F.size(F.filter("before", lambda free: free <= F.col("nth")))
+    return rows.select(*key, "at.at_us", "at.at_id", F.when(slot <= LAST_SUFFIX, slot).cast("int").alias("slot"))

@@ -363,20 +363,35 @@ def _(v: Get) -> DataFrame:
     return v("documents").select("doc_id", F.length(decompose(F.col("text"))).alias("decomposed_chars"), F.length("text").alias("chars"))
 
 
-@query("wn_collision_suffix")
+# the requests of a base, the name without numbers, one after another, with all names that are taken by then
+@query("wn_collision_suffix", r"""
+WITH RECURSIVE parts AS (SELECT *, regexp_extract(file_name, '(?s)^(.+?)(\.[^.]*)?$', 1) AS stem, regexp_extract(file_name, '(?s)^(.+?)(\.[^.]*)?$', 2) AS ext FROM (SELECT folder, file_name, id, tracking_id, filed_at FROM @v_plan UNION ALL SELECT DISTINCT folder, file_name, NULL, NULL, NULL FROM @v_taken)),
+ based AS (SELECT *, regexp_extract(stem, '(?s)^(.+?)(?: \((?:[2-9]|[1-9][0-9]{1,2})\))*$', 1) || ext AS base FROM parts),
+ asked AS (SELECT *, row_number() OVER (PARTITION BY folder, base ORDER BY filed_at, id) AS i FROM based WHERE id IS NOT NULL),
+ walk(folder, base, i, taken, id, final) AS (
+ SELECT folder, base, 0::BIGINT, coalesce(list(file_name) FILTER (WHERE id IS NULL), []), NULL::BIGINT, NULL::VARCHAR FROM based GROUP BY folder, base
+ UNION ALL SELECT folder, base, i, list_append(taken, final), id, final FROM (
+  SELECT folder, base, i, taken, id, CASE WHEN free = 1 THEN file_name WHEN free <= 999 THEN concat(stem, ' (', free, ')', ext) ELSE concat(tracking_id, '__', file_name) END AS final FROM (
+   SELECT w.folder, w.base, a.i, w.taken, a.id, a.tracking_id, a.file_name, a.stem, a.ext, 1 + len(list_filter(list_transform(list_sort(list_distinct(list_transform(
+     list_filter(w.taken, lambda t: t = a.file_name OR (starts_with(t, a.stem || ' (') AND ends_with(t, ')' || a.ext) AND regexp_full_match(t[length(a.stem) + 3:length(t) - length(a.ext) - 1], '[2-9]|[1-9][0-9]{1,2}'))),
+     lambda t: CASE WHEN t = a.file_name THEN 1 ELSE CAST(t[length(a.stem) + 3:length(t) - length(a.ext) - 1] AS INT) END))), lambda s, k: s - k), lambda d: d = 0)) AS free
+   FROM walk w JOIN asked a ON a.folder = w.folder AND a.base = w.base AND a.i = w.i + 1)))
+SELECT w.id, w.folder, a.file_name, w.final AS final_file_name FROM walk w JOIN asked a ON a.id = w.id""")
 def _(v: Get) -> DataFrame:
     return naming.filing_plan(v("v_plan"), v("v_taken")).select("id", "folder", "file_name", "final_file_name")
 
 
 @query("wn_collision_suffix_plain", """
-WITH p AS (SELECT *, row_number() OVER (PARTITION BY folder, file_name ORDER BY filed_at, id) AS rk FROM @v_plan WHERE file_name NOT LIKE '%)%'),
+WITH p AS (SELECT *, row_number() OVER (PARTITION BY folder, file_name ORDER BY filed_at, id) AS rk FROM (SELECT id, tracking_id, folder, regexp_replace(file_name, ' \\\\(.*\\\\)', '') AS file_name, filed_at FROM @v_plan)),
  used AS (SELECT DISTINCT folder, CASE WHEN file_name LIKE '% (%' THEN concat(split_part(file_name, ' (', 1), '.pdf') ELSE file_name END AS file_name, CASE WHEN file_name LIKE '% (%' THEN CAST(regexp_extract(file_name, '\\((\\d+)\\)', 1) AS INT) ELSE 1 END AS slot FROM @v_taken),
  free AS (SELECT k.folder, k.file_name, s.slot, row_number() OVER (PARTITION BY k.folder, k.file_name ORDER BY s.slot) AS rk FROM (SELECT DISTINCT folder, file_name FROM p) k CROSS JOIN (SELECT CAST(unnest(range(1, 1000)) AS INT) AS slot) s
   WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.folder = k.folder AND u.file_name = k.file_name AND u.slot = s.slot AND (u.slot = 1 OR u.slot >= 2)))
 SELECT p.id, p.folder, p.file_name, CASE WHEN f.slot IS NULL THEN concat(p.tracking_id, '__', p.file_name) WHEN f.slot = 1 THEN p.file_name ELSE replace(p.file_name, '.pdf', concat(' (', CAST(f.slot AS VARCHAR), ').pdf')) END AS final_file_name
 FROM p LEFT JOIN free f ON f.folder = p.folder AND f.file_name = p.file_name AND f.rk = p.rk""".replace("\\\\", "\\"))
 def _(v: Get) -> DataFrame:
-    return naming.filing_plan(v("v_plan").filter("file_name NOT LIKE '%)%'"), v("v_taken")).select("id", "folder", "file_name", "final_file_name")
+    """All requests by their names without numbers."""
+    plain = v("v_plan").withColumn("file_name", F.regexp_replace("file_name", r" \(.*\)", ""))
+    return naming.filing_plan(plain, v("v_taken")).select("id", "folder", "file_name", "final_file_name")
 
 
 # ================================================================== people
