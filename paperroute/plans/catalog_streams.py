@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import cost
 from ..session import stream_session, work_dir
+from ..sources.files import inbound_manifest
 from ..streaming import jobs
 from .catalog import SQL_PRICE, TEST_PRICES, Get, query
 from .catalog_operations import SQL_READY, SQL_ROUTE
@@ -48,7 +49,44 @@ SELECT content_sha256, 'DISCOVERED' AS state, 'SCANNER' AS origin, count(*) AS c
 def _(v: Get) -> DataFrame:
     rows = v("v_manifest").withColumn("day", F.dayofmonth("seen_at"))
     spark, table = _arrive(_by_number(rows, "day"), "ingest", lambda s, t, c: jobs.ingest_stream(s.drop("day"), t, c))
-    return spark.read.parquet(table).groupBy("content_sha256", "state", "origin").agg(F.count("*").alias("claims"))
+    return jobs.ledger_rows(spark, table, rows.drop("day")).groupBy("content_sha256", "state", "origin").agg(F.count("*").alias("claims"))
+
+
+SQL_FILES = """
+SELECT file_no, sha256(string_agg(concat(doc_id, ',', n_chars, ',', md5(coalesce(text, ''))), chr(10) ORDER BY doc_id) || chr(10)) AS content_sha256,
+ CAST(sum(length(concat(doc_id, ',', n_chars, ',', md5(coalesce(text, '')))) + 1) AS BIGINT) AS size_bytes FROM (SELECT *, CAST(floor(doc_id / 25) AS BIGINT) AS file_no FROM @documents) GROUP BY file_no"""
+
+
+def _as_files(docs: DataFrame, root: str) -> None:
+    """Twenty-five documents to a file, as files of an intake tree with the ending of an accepted type."""
+    rows = docs.select(F.floor(F.col("doc_id") / 25).cast("long").alias("file_no"), "doc_id", "n_chars", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+    rows = rows.repartition("file_no").sortWithinPartitions("file_no", "doc_id")
+    rows.write.mode("append").partitionBy("file_no").option("extension", "pdf").csv(root)
+
+
+@query("src_inbound_files", f"SELECT file_no, content_sha256, size_bytes AS source_size_bytes, 1 AS depth FROM ({SQL_FILES})")
+def _(v: Get) -> DataFrame:
+    """The manifest of real files, listed and read by the file source."""
+    docs = v("documents")
+    root = work_dir(docs.sparkSession, "files")
+    _as_files(docs, root)
+    found = inbound_manifest(docs.sparkSession, root)
+    number = F.regexp_extract("relative_path", r"file_no=(\d+)/", 1).cast("long")
+    return found.select(number.alias("file_no"), "content_sha256", "source_size_bytes", (F.size(F.split("relative_path", "/")) - 1).alias("depth"))
+
+
+@query("st_ingest_files", f"SELECT content_sha256, min(size_bytes) AS size_bytes, count(DISTINCT content_sha256) AS claims FROM ({SQL_FILES}) GROUP BY 1")
+def _(v: Get) -> DataFrame:
+    """Real files in two instalments, the second with all files of the first under other names; the stream reads them as they come."""
+    docs = v("documents")
+    streams = stream_session(docs.sparkSession)
+    root = work_dir(streams, "ingest-files")
+    for part in (docs.filter(F.floor(F.col("doc_id") / 25) % 2 == 0), docs):
+        _as_files(part, f"{root}/in")
+        files = jobs.intake_files(streams, f"{root}/in")
+        jobs.ingest_stream(files, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    rows = jobs.ledger_rows(docs.sparkSession, f"{root}/out", inbound_manifest(docs.sparkSession, f"{root}/in").withColumn("seen_at", F.current_timestamp().cast("timestamp_ntz")))
+    return rows.groupBy("content_sha256").agg(F.min("source_size_bytes").alias("size_bytes"), F.count("*").alias("claims"))
 
 
 @query("st_readiness", SQL_READY)

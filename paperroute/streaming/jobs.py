@@ -17,6 +17,7 @@ from ..operators.ledger import MAX_ATTEMPTS, RETRY_BASE_MS, first_sightings, rea
 from ..operators.routing import filing_outcome, route
 from ..sources.dimensions import Policy
 from ..sources.files import binary_reader, manifest_rows
+from .claims import claim, claimed
 from .state import DAY_MS, LastSeen, LedgerRow, StatusMoves
 
 
@@ -59,32 +60,24 @@ def intake_files(spark: SparkSession, root: str, most_per_cycle: int | None = No
 def ingest_stream(manifest: DataFrame, ledger: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Claim every content hash exactly once, whatever its file is called.
 
-    Identity lives in the ledger table, not in stream state, so it neither grows the state nor is
-    forgotten.  The ledger is laid out by the first two hex digits of the hash.  Only the hashes
-    of the current batch are looked up, and only earlier batches count, so a replay claims the
-    same rows again.
+    Identity lives in a table (``claims``), not in stream state, so it neither grows the state nor
+    is forgotten.  Only the hashes of the current batch are looked up, and only earlier batches count,
+    so a replay claims the same rows again.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        prefix = F.concat(F.lit("p"), F.substring("content_sha256", 1, 2))
-        seen = first_sightings(batch).withColumn("sha_prefix", prefix).persist()
-        new = seen
-        if table_exists(spark, ledger):
-            # at most 256 values: they decide which folders of the ledger are read at all
-            prefixes = [r[0] for r in seen.select("sha_prefix").distinct().collect()]
-            past = spark.read.parquet(ledger).filter(
-                (F.col("batch_id") < batch_id) & F.col("sha_prefix").isin(prefixes)
-            )
-            new = seen.join(past.select("content_sha256"), "content_sha256", "left_anti")
-        rows = new.withColumns(
-            {"state": F.lit("DISCOVERED"), "origin": F.lit("SCANNER"), "attempts": F.lit(0)}
-        )
-        rows.write.mode("overwrite").partitionBy("sha_prefix").parquet(f"{ledger}/batch_id={batch_id}")
+        seen = first_sightings(batch).persist()
+        claim(seen, ledger, batch_id, state=F.lit("DISCOVERED"), origin=F.lit("SCANNER"), attempts=F.lit(0))
         seen.unpersist()
 
     return run_stream(manifest, checkpoint, each, trigger=trigger or None)
 
 
+def ledger_rows(spark: SparkSession, ledger: str, manifest: DataFrame) -> DataFrame:
+    """The rows that a stream over such a manifest has claimed."""
+    shape = first_sightings(manifest).withColumns({"state": F.lit(""), "origin": F.lit(""), "attempts": F.lit(0)}).schema
+    return claimed(spark, ledger, shape)
+
+
 # ------------------------------------------------------------------ readiness
 
 

@@ -1,6 +1,8 @@
 from datetime import datetime
 
-from paperroute.streaming import jobs
+from pyspark.sql import functions as F
+
+from paperroute.streaming import claims, jobs
 
 
 def test_intake_claims_content_once_across_batches(spark, tmp_path):
@@ -12,7 +14,8 @@ def test_intake_claims_content_once_across_batches(spark, tmp_path):
 
     def run():
         jobs.ingest_stream(jobs.intake_files(spark, str(root)), str(tmp_path / "ledger"), str(tmp_path / "cp")).awaitTermination()
-        return sorted(r.source_file_name for r in spark.read.parquet(str(tmp_path / "ledger")).collect())
+        rows = jobs.ledger_rows(spark, str(tmp_path / "ledger"), jobs.intake_files(spark, str(root)))
+        return sorted(r.source_file_name for r in rows.collect())
 
     drop("a.pdf", b"%PDF one")
     drop("copy of a.pdf", b"%PDF one")
@@ -34,3 +37,42 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
     assert jobs.upserted(spark, str(tmp_path / "t"), "doc_id", ["given_at", "seq"]).first().seq == 2
     jobs.compact(spark, str(tmp_path / "t"), str(tmp_path / "t2"), "doc_id", ["given_at", "seq"])
     assert spark.read.parquet(str(tmp_path / "t2")).count() == 1
+
+
+def hashes(spark, ids):
+    return spark.createDataFrame([(f"{i * 7919 % 100003:064x}", i) for i in ids], "content_sha256 string, n long")
+
+
+def test_claims_over_many_batches(spark, tmp_path, monkeypatch):
+    """Fifty batches: few folders and files, every hash once, the same rows on replay, nothing read of a broken run."""
+    monkeypatch.setattr(claims, "TAIL", 4)
+    table = str(tmp_path / "t")
+    shape = hashes(spark, [0]).withColumn("state", F.lit("x")).schema
+    files = []
+    for b in range(50):
+        claims.claim(hashes(spark, range(5 * b, 5 * b + 10)).coalesce(1), table, b, state=F.lit("D"))  # half are new
+        files.append(len(claims.claimed(spark, table, shape).inputFiles()))
+    assert max(files[25:]) <= max(files[:25]) + 2 and max(files) <= 10
+    assert len(list((tmp_path / "t" / "tail").iterdir())) <= 2 * 4 + 1
+    rows = claims.claimed(spark, table, shape)
+    assert rows.count() == rows.select("content_sha256").distinct().count() == 49 * 5 + 10
+    before = sorted(map(tuple, rows.collect()))
+    (tmp_path / "t" / "runs" / "0-99-5").mkdir()  # a writer was lost before the end of this one
+    claims.claim(hashes(spark, range(245, 255)).coalesce(1), table, 49, state=F.lit("D"))
+    assert sorted(map(tuple, claims.claimed(spark, table, shape).collect())) == before
+    runs = claims._runs(spark, table)[0]
+    assert [r.first for r in runs[1:]] == [r.last + 1 for r in runs[:-1]] and len(runs) <= 5
+
+
+def test_lookups_reach_the_files(spark, tmp_path, monkeypatch):
+    """Few hashes are pushed down to sorted files with Bloom filters; many are joined."""
+    monkeypatch.setattr(claims, "TAIL", 1)
+    table = str(tmp_path / "t")
+    claims.claim(hashes(spark, range(2000)), table, 0, state=F.lit("D"))
+    claims.claim(hashes(spark, range(1990, 2003)), table, 1, state=F.lit("D"))
+    claims.claim(hashes(spark, range(0, 3500)), table, 2, state=F.lit("D"))
+    shape = hashes(spark, [0]).withColumn("state", F.lit("x")).schema
+    got = claims.claimed(spark, table, shape)
+    assert {(r.n, r.batch_id) for r in got.collect()} == {(i, 0 if i < 2000 else 1 if i < 2003 else 2) for i in range(3500)}
+    plan = claims.claimed(spark, table, shape, 9).filter(F.col("content_sha256").isin(["a", "b"]))._jdf.queryExecution().executedPlan().toString()
+    assert "In(content_sha256, [a,b])" in plan
