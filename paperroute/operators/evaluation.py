@@ -117,29 +117,42 @@ def policy_gate(threshold: Column | float) -> Column:
     )
 
 
-def gate_quality(results: DataFrame, thresholds: Sequence[float] = (GATE,)) -> DataFrame:
+def gate_quality(results: DataFrame, thresholds: Sequence[float] = (GATE,), disabled: Sequence[str] = ()) -> DataFrame:
     """Filed or held against right or wrong, for the band gate and each policy threshold.
 
-    All gates are judged in the same pass over the results.
+    With ``disabled`` categories the policy gates come twice: ``policy`` for the scores alone and
+    ``policy_enabled`` with predictions of those categories held back (no prediction counts as
+    UNKNOWN).  One pass counts the results by how many thresholds their score reaches; every
+    gate follows from that histogram, whose size depends on the number of thresholds only.
     """
-    ok = F.coalesce("category_pass", F.lit(False))
-    band = F.coalesce("auto_routable", F.lit(False))
-    gates = [("band", None, band)] + [("policy", float(t), policy_gate(float(t))) for t in thresholds]
-
-    def cells(gate: Column) -> list[Column]:
-        return [F.count_if(gate & ok), F.count_if(gate & ~ok), F.count_if(~gate & ok), F.count_if(~gate & ~ok)]
-
-    names = ["auto_correct", "auto_wrong", "review_correct", "review_wrong"]
-    wide = results.agg(
-        *[
-            F.struct(
-                F.lit(kind).alias("gate"), F.lit(t).cast("double").alias("threshold"),
-                *[c.alias(n) for c, n in zip(cells(g), names)],
-            ).alias(f"g{i}")
-            for i, (kind, t, g) in enumerate(gates)
-        ]
+    steps = sorted({float(t) for t in thresholds})
+    levels = F.array(*[F.lit(t) for t in steps]).cast("array<double>")
+    score = F.coalesce(F.col("calibrated_confidence").cast("double"), F.lit(0.0))
+    reached = F.size(F.filter(levels, lambda t: t <= score))
+    eligible = F.col("confidence_band").eqNullSafe("HIGH") & ~F.coalesce("force_manual_review", F.lit(False))
+    shape = {
+        "step": F.when(eligible, reached).otherwise(0), "band": F.coalesce("auto_routable", F.lit(False)),
+        "open": ~F.coalesce("predicted_category", F.lit("UNKNOWN")).isin(*disabled) if disabled else F.lit(True),
+        "ok": F.coalesce("category_pass", F.lit(False)),
+    }
+    counted = results.groupBy(*[c.alias(n) for n, c in shape.items()]).agg(F.count("*").alias("n"))
+    none = results.sparkSession.range(1).selectExpr("0 AS step", "false AS band", "true AS open", "true AS ok", "0L AS n")
+
+    def gates(kind: str, also: Column) -> Column:
+        at = F.sequence(F.lit(1), F.lit(len(steps)))
+        return F.transform(at, lambda i: F.struct(F.lit(kind).alias("gate"), F.element_at(levels, i).alias("threshold"), ((F.col("step") >= i) & also).alias("auto")))
+
+    band = F.array(F.struct(F.lit("band").alias("gate"), F.lit(None).cast("double").alias("threshold"), F.col("band").alias("auto")))
+    parts = [band, *([gates("policy", F.lit(True))] if steps else []), *([gates("policy_enabled", F.col("open"))] if steps and disabled else [])]
+    wide = counted.unionByName(none).select("ok", "n", F.inline(F.concat(*parts)))
+
+    def cell(auto: bool, ok: bool) -> Column:
+        return F.sum(F.when((F.col("auto") == auto) & (F.col("ok") == ok), F.col("n")).otherwise(0))
+
+    return wide.groupBy("gate", "threshold").agg(
+        cell(True, True).alias("auto_correct"), cell(True, False).alias("auto_wrong"),
+        cell(False, True).alias("review_correct"), cell(False, False).alias("review_wrong"),
     )
-    return wide.select(F.inline(F.array(*[F.col(f"g{i}") for i in range(len(gates))])))
 
 
 def label_universe(results: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from ..sources.dimensions import REVIEW_FOLDER
 TERMINAL_STATES = ["FILED", "QUARANTINED", "SKIPPED_DUPLICATE"]
 OPEN_STATES = ["DISCOVERED", "AWAITING_HYDRATION", "UNSTABLE", "INGESTED", "PROCESSING", "FAILED"]
 WORKED_STATES = ["DISCOVERED", "FAILED", "AWAITING_HYDRATION", "UNSTABLE"]
+MOST_ROWS = 1_000  # of a page
 SETTLED_DOCUMENT_STATES = ["CLASSIFIED", "ROUTED", "ERRORED"]
 
 
@@ -101,12 +102,45 @@ def inbox_rows(docs: DataFrame, cls: DataFrame, decisions: DataFrame, meta: Data
     )
 
 
+def inbox_page(
+    docs: DataFrame, cls: DataFrame, decisions: DataFrame, meta: DataFrame, size: int = 20,
+    after: tuple[str, int] | None = None, **filters: str | None,
+) -> DataFrame:
+    """One page of the inbox in full, newest first, and only what the page shows is joined.
+
+    ``after`` is time and id of the last row of the page before, so a later page costs no more than the
+    first.  The ids of the page, at most ``size`` and bounded by ``MOST_ROWS``, are read first; as
+    literals they reach the scans of all four tables, instead of joining whole tables for a few rows.
+    """
+    df = _matching(docs, cls, **filters)
+    if after is not None:
+        time, last = F.lit(after[0]).cast("timestamp_ntz"), F.lit(after[1]).cast("long")
+        df = df.filter((F.col("created_at") < time) | ((F.col("created_at") == time) & (F.col("id") < last)))
+    top = df.select("id", "created_at").orderBy(F.desc("created_at"), F.desc("id")).limit(min(size, MOST_ROWS))
+    ids = [r["id"] for r in top.collect()]
+
+    def shown(table: DataFrame, key: str) -> DataFrame:
+        return table.filter(F.col(key).isin(ids) if ids else F.lit(False))
+
+    rows = inbox_rows(shown(docs, "id"), shown(cls, "doc_id"), shown(decisions, "doc_id"), shown(meta, "doc_id"))
+    return rows.orderBy(F.desc("created_at"), F.desc("doc_id"))
+
+
 def inbox_search(
     docs: DataFrame, cls: DataFrame, status: str | None = None, category: str | None = None,
     q: str | None = None, date_from: str | None = None, date_to: str | None = None,
     page: int = 0, size: int = 20,
 ) -> DataFrame:
     """One page of documents, newest first; every filter is optional."""
+    df = _matching(docs, cls, status, category, q, date_from, date_to)
+    return df.orderBy(F.desc("created_at"), F.desc("id")).offset(page * size).limit(size)
+
+
+def _matching(
+    docs: DataFrame, cls: DataFrame, status: str | None = None, category: str | None = None,
+    q: str | None = None, date_from: str | None = None, date_to: str | None = None,
+) -> DataFrame:
+    """Documents with their category that pass all filters given."""
     df = docs
     if status and status.strip():
         df = df.filter(F.col("processing_status") == status.upper())
@@ -121,7 +155,7 @@ def inbox_search(
         df = df.join(side.filter(F.col("category") == category), "id")
     else:
         df = df.join(side, "id", "left")
-    return df.orderBy(F.desc("created_at"), F.desc("id")).offset(page * size).limit(size)
+    return df
 
 
 def review_queue(

@@ -304,6 +304,20 @@ def _(v: Get) -> DataFrame:
     return evaluation.gate_quality(results(v), thresholds=(0.85, 0.9, 0.95))
 
 
+DISABLED = ("ROI_CONSENT", "UNKNOWN")
+
+
+@query("ag_gate_curve", f"""
+WITH res AS ({SQL_RESULTS}), t AS (SELECT CAST(unnest(range(0, 101)) AS DOUBLE) / 100 AS threshold),
+ judged AS (SELECT threshold, category_pass, {SQL_GATE.format(t='threshold')} AS p, {SQL_GATE.format(t='threshold')} AND coalesce(predicted_category, 'UNKNOWN') NOT IN ('ROI_CONSENT', 'UNKNOWN') AS e FROM res CROSS JOIN t)
+SELECT 'band' AS gate, CAST(NULL AS DOUBLE) AS threshold, {_CELLS} FROM (SELECT *, auto_routable AS g FROM res)
+UNION ALL SELECT 'policy', threshold, {_CELLS} FROM (SELECT *, p AS g FROM judged) GROUP BY threshold
+UNION ALL SELECT 'policy_enabled', threshold, {_CELLS} FROM (SELECT *, e AS g FROM judged) GROUP BY threshold""")
+def _(v: Get) -> DataFrame:
+    """A hundred and one thresholds, with and without the categories that are never filed by themselves."""
+    return evaluation.gate_quality(results(v), [i / 100 for i in range(101)], DISABLED)
+
+
 @query("ag_confusion", f"""
 WITH res AS ({SQL_RESULTS}), u AS (SELECT expected_category AS label FROM res WHERE expected_category <> '' UNION SELECT predicted_category FROM res WHERE predicted_category <> '')
 SELECT a.label AS expected, b.label AS predicted, count(res.file) AS n FROM u a CROSS JOIN u b LEFT JOIN res ON res.expected_category = a.label AND res.predicted_category = b.label GROUP BY 1, 2""")

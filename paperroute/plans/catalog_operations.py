@@ -71,6 +71,14 @@ def _(v: Get) -> DataFrame:
     )
 
 
+@query("jn_inbox_page", f"""
+SELECT {', '.join(_INBOX_COLS)} FROM ({_INBOX}) WHERE doc_id IN (SELECT id FROM @v_docs WHERE processing_status = 'ROUTED' AND (created_at < TIMESTAMP '2026-05-01' OR (created_at = TIMESTAMP '2026-05-01' AND id < 400)) ORDER BY created_at DESC, id DESC LIMIT 50)""")
+def _(v: Get) -> DataFrame:
+    """The page behind a given row: its ids first, then only their rows of the other tables."""
+    page = inbox.inbox_page(v("v_docs"), v("v_scored"), v("v_decision"), v("v_meta"), 50, ("2026-05-01 00:00:00", 400), status="routed")
+    return page.select(*_INBOX_COLS)
+
+
 @query("flt_inbox_search", """
 SELECT d.id, d.tracking_id, s.category, strftime(d.created_at, '%Y-%m-%d') AS created_on FROM @v_docs d JOIN @v_scored s ON s.doc_id = d.id
 WHERE processing_status = 'ROUTED' AND s.category = 'FORM' AND lower(original_file_name) LIKE '%pm.pdf%' AND created_at >= TIMESTAMP '2026-01-10' AND created_at <= TIMESTAMP '2026-06-30'
