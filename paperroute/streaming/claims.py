@@ -1,4 +1,4 @@
-"""The table of claimed content hashes: sorted runs of geometric sizes and a short tail of batches.
+"""Tables in which every key is claimed once, such as content hashes: sorted runs of geometric sizes and a short tail of batches.
 
 ``tail/b<batch>`` holds what a micro-batch claimed, ``runs/<first>-<last>-<rows>`` the batches from first to
 last, sorted by hash, with a Bloom filter in every file.  A run counts once its ``_SUCCESS`` file
@@ -73,7 +73,7 @@ def claimed(spark: SparkSession, table: str, schema: StructType, before: int | N
     return rows if before is None else rows.filter(F.col("batch_id") < before)
 
 
-def fold(spark: SparkSession, table: str, schema: StructType, batch_id: int) -> bool:
+def fold(spark: SparkSession, table: str, schema: StructType, batch_id: int, key: str = KEY) -> bool:
     """Fold the tail before a batch into a run, together with runs that are not much larger.
 
     So sizes of runs stay geometric: there are as many as the logarithm of the rows, and a row is
@@ -95,20 +95,25 @@ def fold(spark: SparkSession, table: str, schema: StructType, batch_id: int) ->
             break
         paths, first, rows = [r.path, *paths], r.first, rows + r.rows
     files = max(1, -(-rows // FILE_ROWS))
-    merged = _read(spark, paths, schema).repartitionByRange(files, KEY).sortWithinPartitions(KEY)
-    writer = merged.write.mode("overwrite").option(f"parquet.bloom.filter.enabled#{KEY}", "true").option(f"parquet.bloom.filter.expected.ndv#{KEY}", str(FILE_ROWS))
+    merged = _read(spark, paths, schema).repartitionByRange(files, key).sortWithinPartitions(key)
+    writer = merged.write.mode("overwrite").option(f"parquet.bloom.filter.enabled#{key}", "true").option(f"parquet.bloom.filter.expected.ndv#{key}", str(FILE_ROWS))
     writer.parquet(f"{table}/runs/{first}-{batch_id - 1}-{rows}")
     return True
 
 
-def claim(seen: DataFrame, table: str, batch_id: int, **columns) -> None:
-    """Write the rows of a batch whose hash no earlier batch has; ``seen`` has one row per hash."""
+def claim(seen: DataFrame, table: str, batch_id: int, key: str = KEY, **columns) -> None:
+    """Write the rows of a batch whose key no earlier batch has; ``seen`` has one row per key.
+
+    Only files whose range of keys meets that of the batch are read; with keys that begin with a time these
+    are the files of that time.
+    """
     spark = seen.sparkSession
-    new = seen.withColumns(columns)
-    fold(spark, table, new.schema, batch_id)
-    past = claimed(spark, table, new.schema, batch_id).select(KEY)
-    few = [r[0] for r in seen.select(KEY).limit(LOOKUPS + 1).collect()]  # at most LOOKUPS + 1 hashes
+    new = seen.withColumns(columns) if columns else seen
+    fold(spark, table, new.schema, batch_id, key)
+    low, high = seen.agg(F.min(key), F.max(key)).first()
+    past = claimed(spark, table, new.schema, batch_id).select(key).filter(F.col(key).between(low, high))
+    few = [r[0] for r in seen.select(key).limit(LOOKUPS + 1).collect()]  # at most LOOKUPS + 1 keys
     if len(few) <= LOOKUPS:  # sorted files and Bloom filters then leave out most of the table
-        past = past.filter(F.col(KEY).isin(few))
-    rows = new.join(past, KEY, "left_anti").withColumn("batch_id", F.lit(batch_id).cast("long"))
+        past = past.filter(F.col(key).isin(few) if few else F.lit(False))
+    rows = new.join(past, key, "left_anti").withColumn("batch_id", F.lit(batch_id).cast("long"))
     rows.select(*new.columns, "batch_id").write.mode("overwrite").parquet(f"{table}/tail/b{batch_id:09d}")

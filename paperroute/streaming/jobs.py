@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.grouping import latest_by
+from ..functions.grouping import earliest_by, latest_by
 from ..operators.ledger import MAX_ATTEMPTS, RETRY_BASE_MS, first_sightings, readiness_rule, throughput
 from ..operators.routing import filing_outcome, route
 from ..sources.dimensions import Policy
@@ -164,18 +164,36 @@ def dashboard_counts(spark: SparkSession, table: str) -> DataFrame:
 # ------------------------------------------------------------------ usage
 
 
+def _usage_rows(lines: DataFrame) -> DataFrame:
+    """One row per line with its key: its time, then a hash of all that it says."""
+    key = F.concat_ws("|", F.coalesce(F.col("used_at").cast("string"), F.lit("")), F.sha2(F.to_json(F.struct(*lines.columns)), 256))
+    rows = lines.select("tracking_id", "stage", "input_tokens", "output_tokens", "cost_usd", key.alias("line"))
+    return earliest_by(rows, ["line"], ["input_tokens", "output_tokens"]).withColumn("cost_usd", F.col("cost_usd").cast("decimal(24,10)"))
+
+
 def usage_stream(lines: DataFrame, table: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Running token and cost totals per document and stage; a null total has an unpriced call."""
-    totals = lines.groupBy("tracking_id", "stage").agg(
-        F.count("*").alias("lines"), F.sum("input_tokens").alias("input_tokens"),
-        F.sum("output_tokens").alias("output_tokens"), F.sum(F.col("cost_usd").cast("decimal(24,10)")).alias("__cost"),
-        F.count_if(F.col("cost_usd").isNull()).alias("__unpriced"),
+    """Every usage line once, however often it is sent: lines of an earlier batch are left out.
+
+    Lines are claimed in a table by time and call, so no state is kept in the stream, for open or closed
+    documents, and a replay years later is still known.
+    """
+    def each(batch: DataFrame, batch_id: int) -> None:
+        rows = _usage_rows(batch).persist()
+        claim(rows, table, batch_id, "line")
+        rows.unpersist()
+
+    return run_stream(lines, checkpoint, each, trigger=trigger or None)
+
+
+def usage_totals(spark: SparkSession, table: str, lines: DataFrame) -> DataFrame:
+    """Token and cost totals per document and stage of such a stream; a null total has an unpriced call."""
+    totals = claimed(spark, table, _usage_rows(lines).schema).groupBy("tracking_id", "stage").agg(
+        F.count("*").alias("lines"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
+        F.sum("cost_usd").alias("__cost"), F.count_if(F.col("cost_usd").isNull()).alias("__unpriced"),
     )
-    totals = totals.select(
-        "tracking_id", "stage", "lines", "input_tokens", "output_tokens",
-        F.when(F.col("__unpriced") == 0, F.col("__cost")).alias("cost_usd"),
+    return totals.select(
+        "tracking_id", "stage", "lines", "input_tokens", "output_tokens", F.when(F.col("__unpriced") == 0, F.col("__cost")).alias("cost_usd")
     )
-    return run_stream(totals, checkpoint, lambda df, i: _write_batch(df, table, i), "update", trigger or None)
 
 
 # ------------------------------------------------------------------ upserts

@@ -76,3 +76,19 @@ def test_lookups_reach_the_files(spark, tmp_path, monkeypatch):
     assert {(r.n, r.batch_id) for r in got.collect()} == {(i, 0 if i < 2000 else 1 if i < 2003 else 2) for i in range(3500)}
     plan = claims.claimed(spark, table, shape, 9).filter(F.col("content_sha256").isin(["a", "b"]))._jdf.queryExecution().executedPlan().toString()
     assert "In(content_sha256, [a,b])" in plan
+
+
+def test_usage_lines_count_once(spark, tmp_path):
+    """Lines sent twice in one batch, in the next and much later count once; no state is kept in the stream."""
+    def lines(days):
+        return spark.createDataFrame([(f"2026-01-{d:02d}T00:00:00", f"t{d % 3}", "classify", d, 10, 1, 0.5 if d != 4 else None) for d in days],
+                                     "used_at string, tracking_id string, stage string, call_no long, input_tokens long, output_tokens long, cost_usd double")
+
+    for part in ([1, 1, 2], [2, 3, 4], [20], [1, 2, 3, 4, 5, 20]):
+        lines(part).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(lines([1]).schema).parquet(str(tmp_path / "in"))
+        jobs.usage_stream(stream, str(tmp_path / "t"), str(tmp_path / "cp")).awaitTermination()
+    got = {r.tracking_id: (r.lines, r.input_tokens, r.cost_usd) for r in jobs.usage_totals(spark, str(tmp_path / "t"), lines([1])).collect()}
+    assert {k: v[:2] for k, v in got.items()} == {"t0": (1, 10), "t1": (2, 20), "t2": (3, 30)}
+    assert got["t1"][2] is None and float(got["t2"][2]) == 1.5
+    assert not (tmp_path / "cp" / "state").exists()
