@@ -10,7 +10,7 @@ from ..functions.dates import parse_deadline
 from ..functions.similarity import each_has_similar, seq_ratio_from
 from ..functions.text import digits, phone_digits, strip
 from ..sources.dimensions import DRUG_NAMES
-from .lexicon import match_lexicon
+from .lexicon import LEXICON_CUTOFF, match_lexicon
 
 # The rule for a field by the end of its key, first match wins.
 KEY_RULES = [
@@ -29,7 +29,6 @@ PASS_FACTOR = 1.05
 FAIL_FACTOR = 0.20
 STALE_DAYS = 730
 FUTURE_YEARS = 3
-LEXICON_CUTOFF = 0.75
 FUZZY_CUTOFF = 0.80
 
 

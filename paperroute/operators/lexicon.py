@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import seq_ratio_from
 
 GRAM_LENGTHS = (3, 2, 1)
+LEXICON_CUTOFF = 0.75  # fixed value
 
 
 def _letters(name: str) -> list[Column]:
@@ -105,7 +106,7 @@ def best_entries(words: DataFrame, entries: DataFrame, cutoff: float) -> DataFra
     return best.select("word", "x.entry", "x.ratio")
 
 
-def match_lexicon(df: DataFrame, col: str, lexicon: list[str] | DataFrame, cutoff: float) -> DataFrame:
+def match_lexicon(df: DataFrame, col: str, lexicon: list[str] | DataFrame, cutoff: float = LEXICON_CUTOFF) -> DataFrame:
     """Best entry of a word list for each value: exact, else the most similar above the cutoff.
 
     Adds ``canonical`` and ``similarity``.  ``lexicon`` is a list or a DataFrame whose first column holds the

@@ -165,14 +165,15 @@ def error_counts(landed: DataFrame) -> DataFrame:
 def land_extractions(raw: DataFrame, prompt_version: str, model_name: str, col: str = "raw") -> DataFrame:
     """Extraction answers with every default filled in; an unreadable one becomes an empty record.
 
-    Needs ``tracking_id`` and ``category`` beside the raw text.
+    Needs ``tracking_id`` and ``category`` beside the raw text.  Of a repeated key the last value
+    counts.  The four parts are JSON texts with their keys in order; a part that is null counts as missing.
     """
     df = parse_responses(raw, col)
     readable = F.coalesce(F.schema_of_variant("parsed").startswith("OBJECT"), F.lit(False))
 
     def part(key: str) -> Column:
-        value = F.when(readable, F.get_json_object("body", f"$.{key}"))
-        return F.coalesce(value, F.lit("{}"))
+        value = F.to_json(F.try_variant_get("parsed", f"$.{key}", "variant"))
+        return F.coalesce(F.when(readable & (_kind(f"$.{key}") != "VOID"), value), F.lit("{}"))
 
     def number_or(path: str, default: int) -> Column:
         return F.coalesce(F.when(readable, F.try_variant_get("parsed", path, "long")), F.lit(default).cast("long"))

@@ -604,6 +604,24 @@ def _(v: Get) -> DataFrame:
     )
 
 
+# fences off, else the part between the outer braces; of a repeated key the last value
+@query("job_land_extractions", r"""
+WITH c AS (SELECT *, trim(regexp_replace(regexp_replace(trim(coalesce(raw, ''), E' \n'), '^```(?:json)?\s*', '', 'g'), '```\s*$', ''), E' \n') AS clean FROM @v_extraction),
+ b AS (SELECT *, CASE WHEN json_valid(clean) THEN clean WHEN json_valid(regexp_extract(clean, '(?s)\{.*\}')) THEN regexp_extract(clean, '(?s)\{.*\}') END AS body FROM c),
+ o AS (SELECT doc_id, CAST(body AS JSON) AS j FROM b WHERE json_type(body) = 'OBJECT'),
+ k AS (SELECT o.doc_id, e.key, max_by(CAST(e.value AS VARCHAR), e.id) AS value FROM o, LATERAL (SELECT * FROM json_each(o.j)) e GROUP BY 1, 2),
+ p AS (SELECT doc_id, any_value(value) FILTER (WHERE key = 'schemaVersion') AS sv, any_value(value) FILTER (WHERE key = 'trackingId') AS ti, any_value(value) FILTER (WHERE key = 'category') AS ca,
+  any_value(value) FILTER (WHERE key = 'core' AND value <> 'null') AS co, any_value(value) FILTER (WHERE key = 'categoryData' AND value <> 'null') AS cd, CAST(any_value(value) FILTER (WHERE key = 'extraction') AS JSON) AS ex FROM k GROUP BY 1)
+SELECT b.doc_id, coalesce(CAST(p.sv AS JSON)->>'$', '1') AS schema_version, coalesce(CAST(p.ti AS JSON)->>'$', b.tracking_id) AS tracking_id, coalesce(CAST(p.ca AS JSON)->>'$', b.category) AS category, coalesce(p.co, '{}') AS core_json, coalesce(p.cd, '{}') AS category_json,
+ coalesce(CAST(p.ex->'$.fieldConfidences' AS VARCHAR), '{}') AS confidences_json, coalesce(CAST(p.ex->'$.fieldEvidence' AS VARCHAR), '{}') AS evidence_json, coalesce(p.ex->>'$.promptVersion', 'p1') AS prompt_version, coalesce(p.ex->>'$.modelName', 'm1') AS model_name,
+ coalesce(CAST(p.ex->>'$.latencyMs' AS BIGINT), 0) AS latency_ms, CASE WHEN p.doc_id IS NULL THEN 'EXTRACTION_PARSE_FAILED' END AS error
+FROM b LEFT JOIN p ON p.doc_id = b.doc_id""")
+def _(v: Get) -> DataFrame:
+    return responses.land_extractions(v("v_extraction"), "p1", "m1").select(
+        "doc_id", "schema_version", "tracking_id", "category", "core_json", "category_json", "confidences_json", "evidence_json", "prompt_version", "model_name", "latency_ms", "error"
+    )
+
+
 @query("so_missing_fields", "SELECT doc_id, CAST(CASE doc_id % 8 WHEN 0 THEN 0 WHEN 1 THEN 12 WHEN 4 THEN 11 - 1 WHEN 6 THEN 14 WHEN 7 THEN 9 END AS INT) AS missing FROM @v_response")
 def _(v: Get) -> DataFrame:
     return responses.missing_fields(responses.parse_responses(v("v_response"))).select("doc_id", F.size("missing").alias("missing")).withColumn(

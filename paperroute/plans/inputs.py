@@ -161,6 +161,12 @@ UNION SELECT DISTINCT translate(split_part(text, ' ', 4), 'abcdefghijklmnopqrstu
 SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN w WHEN length(w) < 5 THEN concat(w, 'E') WHEN doc_id % 6 = 1 THEN concat(substr(w, 1, k - 1), substr(w, k + 1)) WHEN doc_id % 6 = 2 THEN concat(substr(w, 1, k), 'E', substr(w, k + 1))
  WHEN doc_id % 6 = 3 THEN concat(substr(w, 1, k - 1), 'Q', substr(w, k + 1)) WHEN doc_id % 6 = 4 THEN concat(substr(w, 1, k - 1), substr(w, k + 1, 1), substr(w, k, 1), substr(w, k + 2)) WHEN doc_id % 18 = 5 THEN NULL ELSE concat(w, ' ', w) END AS word
 FROM (SELECT doc_id, w, 2 + CAST(doc_id % (length(w) + 1) AS INT) % 7 AS k FROM (SELECT doc_id, translate(split_part(text, ' ', 4), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS w FROM @documents) AS a) AS b""",
+    "v_extraction": f"""
+SELECT doc_id, concat('t-', {_str('doc_id')}) AS tracking_id, CASE WHEN doc_id % 2 = 0 THEN 'FORM' ELSE 'LAB_REPORT' END AS category,
+ CASE doc_id % 7 WHEN 0 THEN concat('{{"schemaVersion":"2","trackingId":"x', {_str('doc_id')}, '","core":{{"fax":"', {_str('n_chars')}, '"}},"categoryData":{{"n":', {_str('doc_id')}, ',"tags":["', lang, '","b"]}},"extraction":{{"promptVersion":"p9","modelName":"m2","latencyMs":', {_str('n_chars')}, ',"fieldConfidences":{{"core.fax":0.5}},"fieldEvidence":{{"core.fax":"Fax"}}}}}}')
+  WHEN 1 THEN concat('```json', chr(10), '{{"schemaVersion":"1","core":{{"a":1}},"category":"HOMECARE","core":{{"b":"', source, '"}},"schemaVersion":"3"}}', chr(10), '```')
+  WHEN 2 THEN substr(text, 1, 60) WHEN 3 THEN concat('Here it is: {{"categoryData":{{"x":[1,', {_str('doc_id')}, ']}},"core":null,"extraction":{{"latencyMs":7}}}} Done.')
+  WHEN 4 THEN NULL WHEN 5 THEN '[1, 2]' ELSE concat('{{"extraction":{{"modelName":"', source, '"}},"extraction":{{"promptVersion":"', lang, '"}}}}') END AS raw FROM @documents""".replace("{{", "{").replace("}}", "}"),
     "v_feedback": f"""
 SELECT conv_id AS doc_id, turn AS seq, CASE WHEN turn % 3 = 0 THEN ' up' WHEN turn % 3 = 1 THEN 'DOWN' WHEN conv_id % 2 = 0 THEN 'down ' ELSE 'maybe' END AS verdict,
  CASE WHEN turn % 4 = 1 THEN '  ' ELSE text END AS summary, CAST(DATE '1995-06-01' + CAST(conv_id % 300 + turn AS INT) AS TIMESTAMP) AS given_at FROM @conversations""",

@@ -16,6 +16,8 @@ JOB_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # of a key that a model repeats the last value counts
+    "spark.sql.variant.allowDuplicateKeys": "true",
     # groups with small object state (short sets, first values) stay in the hash map longer
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "20000",
     "spark.sql.streaming.stateStore.providerClass":

@@ -240,3 +240,11 @@ def test_exports(spark, tmp_path):
 def test_due_soon_and_report(spark):
     df = spark.createDataFrame([(True, date(2026, 3, 10)), (True, date(2026, 3, 17)), (True, date(2026, 3, 18)), (None, date(2026, 3, 10))], "action_required boolean, response_deadline date")
     assert {r.days_left: r.n for r in fields.due_soon(df, "2026-03-10").collect()} == {0: 1, 7: 1}
+
+
+def test_repeated_keys_keep_the_last_value(spark):
+    rows = [("t1", "FORM", '{"core":{"a":1},"schemaVersion":"1","core":{"b":2},"schemaVersion":"4"}'), ("t2", "FORM", '{"core":null,"extraction":null}'), ("t3", "FORM", "")]
+    got = responses.land_extractions(spark.createDataFrame(rows, "tracking_id string, category string, raw string"), "p1", "m1").orderBy("tracking_id").collect()
+    assert [(r.core_json, r.schema_version, r.error) for r in got] == [('{"b":2}', "4", None), ("{}", "1", None), ("{}", "1", "EXTRACTION_PARSE_FAILED")]
+    landed = responses.land_responses(spark.createDataFrame([('{"documentCategory":"FORM","documentCategory":"LAB_REPORT"}',)], "raw string")).first()
+    assert landed.category == "LAB_REPORT" and "UNPARSEABLE" not in landed.errors
