@@ -26,7 +26,7 @@ HEADLINE = [
     "ag_page_text", "jn_eval_labels", "ag_eval_by_block", "ag_gate_quality", "jn_run_compare",
     "jn_price_prefix", "ag_cost_per_doc", "ag_cost_summary", "ag_usage_scope", "jn_storage_reconcile",
     "ag_folder_rollup", "st_ingest", "st_readiness", "st_ledger_state", "st_route", "st_dashboard", "st_usage", "st_upsert",
-    "st_throughput",
+    "st_throughput", "jn_term_lexicon", "jn_inbox_page", "ag_gate_curve", "job_land_extractions", "src_inbound_files", "st_ingest_files",
 ]
 
 
