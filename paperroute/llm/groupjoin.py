@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_slices, saved, text_of
+from .common import discard, in_slices, saved, text_of
 from .components import connected_components
 from .neardup import distinct_by_row, raw_shingles
 from .words import Texts, mixed
 
 SLICE = 1 << 20
 HUB = 512  # pairs of one document that one task verifies
+SHORT = 32  # groups of a list whose pairs are looked through before their sets are fetched
 WORK = 8  # units of a list outside its largest component, or pairs for each posting, that need no further centres
 FEW = 64  # members that differ in a shingle, up to which it is counted beyond the prefix
 CORE = 50  # percent of similarity at which a document is close to a centre
@@ -108,10 +110,18 @@ def can_link(x: str, y: str, percent: int) -> Column:
     return sizes & ((100 + percent) * (1 + F.least(nx - px, ny - py)) >= percent * (nx + ny))
 
 
+class Sets(NamedTuple):
+    """What is known of documents by id: ``node, shingles`` with whole sets, and ``node, shingles, n`` with prefixes."""
+
+    whole: DataFrame
+    prefix: DataFrame
+
+
 def _with_sets(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
     """Pairs with the set of one side; the set of a document of many pairs is repeated, so that its pairs part."""
     hubs = pairs.groupBy(side).agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts")).filter("parts > 1")
-    own = sets.select(F.col("node").alias(side), F.col("shingles").alias(f"s{side}"))
+    size = [F.col("n").alias(f"n{side}")] if "n" in sets.columns else []
+    own = sets.select(F.col("node").alias(side), F.col("shingles").alias(f"s{side}"), *size)
     own = own.join(hubs, side, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     dealt = pairs.join(hubs, side, "left").withColumn("part", F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1))).cast("int"))
     return dealt.drop("parts").join(own, [side, "part"]).drop("part")
@@ -122,10 +132,29 @@ def with_both_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return _with_sets(_with_sets(pairs, sets, "a"), sets, "b")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose whole sets are similar enough."""
+def promising(pairs: DataFrame, sets: Sets, percent: int) -> DataFrame:
+    """The pairs whose prefixes have so much in common that their sets can be similar enough.
+
+    What two sets share behind the prefix that ends first is no more than what that set has there.
+    """
+    both = with_both_sets(pairs, sets.prefix)
+    common = F.size(F.array_intersect("sa", "sb")) + F.greatest(F.col("na") - F.size("sa"), F.col("nb") - F.size("sb"))
+    return both.filter((100 + percent) * common >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def verified(pairs: DataFrame, sets: Sets, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose whole sets are similar enough; prefixes, a seventh of them, rule out most others."""
     common, sizes = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
-    return with_both_sets(pairs, sets).filter((100 + percent) * common >= percent * sizes).select("a", "b")
+    both = with_both_sets(promising(pairs, sets, percent), sets.whole)
+    return both.filter((100 + percent) * common >= percent * sizes).select("a", "b")
+
+
+def with_partner(posts: DataFrame, percent: int) -> DataFrame:
+    """The groups that another one of a list can be linked with, and all of long lists; others need no sets."""
+    lists = posts.groupBy("key").agg(F.count("*").alias("k"))
+    short, long = (posts.join(lists.filter(f), "key").select("key", "gid", "n", "pos") for f in (f"k <= {SHORT}", f"k > {SHORT}"))
+    pairs = short.alias("x").join(short.alias("y"), "key").filter((F.col("x.gid") < F.col("y.gid")) & can_link("x", "y", percent))
+    return pairs.select(F.explode(F.array("x.gid", "y.gid")).alias("node")).union(long.select("gid"))
 
 
 def components_by(links: list[DataFrame], node: str, name: str) -> DataFrame:
@@ -191,7 +220,7 @@ def differences_join(stars: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("x_a", "y_a").alias("a"), F.greatest("x_a", "y_a").alias("b")).distinct()
 
 
-def large_lists(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def large_lists(entries: DataFrame, sets: Sets, percent: int) -> DataFrame:
     """Pairs ``a, b`` to verify in lists with many units in several components; ``entries``: ``key, unit, n, pos, c``.
 
     Round by round, the least document of a list that no centre is close to becomes its centre, and all
@@ -212,7 +241,7 @@ def large_lists(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         around = own.join(centre, "key").filter(100 * F.least("n", "bn") >= halo * F.greatest("n", "bn"))
         around = saved(around.filter("unit <> b").select(F.col("unit").alias("a"), "b", F.col("c").alias("ca"), "cb").distinct(), "around")
         common, sizes = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
-        stars = with_both_sets(around, sets).withColumn("common", common).withColumn("sizes", sizes).filter((100 + halo) * F.col("common") >= halo * F.col("sizes"))
+        stars = with_both_sets(around, sets.whole).withColumn("common", common).withColumn("sizes", sizes).filter((100 + halo) * F.col("common") >= halo * F.col("sizes"))
         stars = stars.select("a", "b", F.size("sa").cast("long").alias("n"), ((100 + CORE) * F.col("common") >= CORE * F.col("sizes")).alias("core"),
                              F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")).alias("own"))
         stars = saved(stars.join(around, ["a", "b"]), "stars")
@@ -223,7 +252,7 @@ def large_lists(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _union([*found, _compared(loose, loose, percent)])
 
 
-def linked_in_lists(entries: DataFrame, members: DataFrame | None, sets: DataFrame, percent: int) -> list[DataFrame]:
+def linked_in_lists(entries: DataFrame, members: DataFrame | None, sets: Sets, percent: int) -> list[DataFrame]:
     """Links from which the components of all linked pairs of units that share a list follow.
 
     ``entries``: ``key, unit, n, pos``, a unit posted in a list at a place of its prefix; ``members``:
@@ -248,7 +277,15 @@ def linked_in_lists(entries: DataFrame, members: DataFrame | None, sets: DataFra
             pairs = pairs.join(of, side).drop(side).withColumnRenamed("node", side)
         large = large.join(members, "unit").select("key", F.col("node").alias("unit"), "n", "pos", "c")
     pairs = pairs.select("a", "b").unionByName(large_lists(saved(large, "large-lists"), sets, percent))
-    return [*links, saved(verified(pairs, sets, percent), "links")]
+    # two pairs of each document first; what they connect need not be verified pair by pair
+    pairs = saved(pairs.distinct(), "open-pairs")
+    some = pairs.groupBy("a").agg(F.min("b").alias("b")).unionByName(pairs.groupBy("b").agg(F.min("a").alias("a")))
+    links.append(saved(verified(some, sets, percent), "links"))
+    found = components_by(links, "node", "c")
+    for side in ("a", "b"):
+        pairs = pairs.join(found.select(F.col("node").alias(side), F.col("c").alias(f"c{side}")), side, "left")
+    rest = pairs.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    return [*links, saved(verified(rest, sets, percent), "links")]
 
 
 def _union(links: list[DataFrame]) -> DataFrame | None:
@@ -290,26 +327,29 @@ def jaccard_components(docs: DataFrame, percent: int = 85, words: int = 4, bits:
     posted = posted.withColumn("pos", F.col("pos") + 1)
     shared = posted.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
     posts = saved(posted.join(shared, "key"), "posts")
+    of = saved(linked.join(classes.select("f0", "f1", "n", "node"), ["f0", "f1", "n"]).select("doc_id", "node"), "classes-of")
+    narrow = saved(signed.select("doc_id", "n", "f0", "f1"), "sizes")
 
     several = saved(classes.join(groups.filter("m > 1"), ["p0", "p1", "n"]).select("gid", "node", "n"), "members")
-    wanted = several.select("node").union(posts.select("gid")).distinct().select(F.col("node").alias("doc_id")).hint("shuffle_hash")
-    sets = saved(set_rows(rows.join(wanted, "doc_id", "left_semi"), words), "sets")
+    wanted = saved(several.select("node").union(with_partner(posts, percent)).distinct().select(F.col("node").alias("doc_id")), "wanted").hint("shuffle_hash")
+    prefixes = linked.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), F.col("prefix").alias("shingles"), "n").distinct()
+    sets = Sets(saved(set_rows(rows.join(wanted, "doc_id", "left_semi"), words), "sets"), saved(prefixes, "prefix-sets"))
+    discard(signed)
 
     inside = linked_in_lists(several.select(F.col("gid").alias("key"), F.col("node").alias("unit"), "n", F.lit(1).alias("pos")), None, sets, percent)
     units = several.join(components_by(inside, "node", "unit"), "node", "left")
     units = saved(units.select("gid", "node", F.coalesce("unit", "node").alias("unit")), "units")
     alone = posts.join(units.select("gid").distinct(), "gid", "left_anti").withColumn("unit", F.col("gid"))
     split = posts.join(units.select("gid", "unit").distinct(), "gid")
-    entries = saved(alone.unionByName(split).select("key", "unit", "n", "pos"), "entries")
+    entries = alone.unionByName(split).select("key", "unit", "n", "pos")
     members = units.select("unit", "node").unionByName(alone.select("unit", F.col("unit").alias("node")).distinct())
     across = linked_in_lists(entries, members, sets, percent)
 
     # an id whose rows are in several classes joins them
-    of = linked.join(classes.select("f0", "f1", "n", "node"), ["f0", "f1", "n"]).select("doc_id", "node")
     repeated = of.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("doc_id", "a")
     repeated = of.join(repeated, "doc_id").select("a", F.col("node").alias("b"))
     found = connected_components(_union([*inside, *across, repeated]))
     named = classes.join(found, "node", "left").select("f0", "f1", "n", F.coalesce("component", "node").alias("component"))
-    out = signed.select("doc_id", "f0", "f1", "n").join(named, ["f0", "f1", "n"], "left")
+    out = narrow.join(named, ["f0", "f1", "n"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

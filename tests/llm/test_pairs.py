@@ -176,7 +176,7 @@ def pairs_verified(spark, docs, monkeypatch):
 
     def counted(pairs, sets):
         pairs = groupjoin.saved(pairs.select("a", "b").distinct(), "counted")
-        seen.append(pairs.count())
+        seen.append(0 if "n" in sets.columns else pairs.count())  # prefixes do not count
         return keep(pairs, sets)
 
     monkeypatch.setattr(groupjoin, "with_both_sets", counted)
