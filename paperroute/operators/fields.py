@@ -279,8 +279,9 @@ def score_fields(extracted: DataFrame, labels: DataFrame) -> DataFrame:
     plain = F.when(phone, we == wa).otherwise(
         (want == got) | F.coalesce(F.col("__ratio") >= FUZZY_CUTOFF, F.lit(False))
     )
-    # list items not found literally: the items of one field stay inside their row
-    df = df.withColumn("__near", each_has_similar("__open", "__have", F.lit(FUZZY_CUTOFF)))
+    # list items not found literally: the items of one field stay inside their row; settled rows stay here
+    needs = F.size("__open") > 0
+    df = df.withColumn("__near", each_has_similar(F.when(needs, F.col("__open")), F.when(needs, F.col("__have")), F.lit(FUZZY_CUTOFF)))
     match = (
         F.when(missing, F.col("actual").isNull())
         .when(F.col("actual").isNull(), F.lit(False))
