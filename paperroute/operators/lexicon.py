@@ -11,24 +11,32 @@ GRAM_LENGTHS = (3, 2, 1)
 LEXICON_CUTOFF = 0.75  # fixed value
 
 
-def _letters(name: str) -> list[Column]:
-    """The letters of a word as bits, up to four of each of 32 kinds, and how many more there are."""
-
-    def counted(kinds: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.size(F.filter(kinds, lambda x: x == k)))
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    kinds = F.transform(F.split(F.col(name), ""), lambda c: F.pmod(F.ascii(c), F.lit(32)))
-    each = F.element_at(F.transform(F.array(kinds), counted), 1)
 
-    def bits(first: int) -> Column:
-        filled = F.transform(
-            F.slice(each, first + 1, 16),
-            lambda n, i: F.call_function("shiftleft", F.call_function("shiftleft", F.lit(1).cast("long"), F.least(n, F.lit(4))) - 1, i * 4),
+def _letters(name: str) -> Column:
+    """The letters of a word as bits, up to four of each of 32 kinds, and how many more there are."""
+    shift = lambda one, by: F.call_function("shiftleft", one, by)
+    none = F.lit(0).cast("long")
+
+    def add(acc: Column, kind: Column) -> Column:
+        def with_bits(x: Column) -> Column:  # the next of the four bits, beyond them a fifth, which is cut off
+            bit = shift(F.call_function("shiftrightunsigned", x, kind % 16 * 4).bitwiseAND(F.lit(15).cast("long")) + 1, kind % 16 * 4)
+            return F.when(F.bit_count(x.bitwiseAND(shift(F.lit(15).cast("long"), kind % 16 * 4))) < 4, x.bitwiseOR(bit)).otherwise(x)
+
+        held = F.when(kind < 16, acc["low"]).otherwise(acc["high"])
+        return _bound(
+            F.struct(held.alias("held"), with_bits(held).alias("now")),
+            lambda x: F.struct(
+                F.when(kind < 16, x["now"]).otherwise(acc["low"]).alias("low"), F.when(kind < 16, acc["high"]).otherwise(x["now"]).alias("high"),
+                (acc["more"] + (x["now"] == x["held"]).cast("int")).alias("more"),
+            ),
         )
-        return F.aggregate(filled, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x))
 
-    more = F.aggregate(each, F.lit(0), lambda acc, n: acc + F.greatest(n - 4, F.lit(0)))
-    return [F.length(name).alias("size"), bits(0).alias("low"), bits(16).alias("high"), more.alias("more")]
+    kinds = F.transform(F.split(F.col(name), ""), lambda c: F.pmod(F.ascii(c), F.lit(32)))
+    return F.aggregate(kinds, F.struct(none.alias("low"), none.alias("high"), F.lit(0).alias("more")), add)
 
 
 KEPT = ["word", "size", "low", "high", "more"]
@@ -39,11 +47,13 @@ def _grams(words: DataFrame, *more: str) -> DataFrame:
 
     def cut(q: int) -> Column:
         places = F.sequence(F.lit(1), F.col("size") - (q - 1))
-        grams = F.transform(places, lambda i: F.struct(F.lit(q).alias("q"), F.substring(F.col("word"), i, F.lit(q)).alias("g")))
-        numbered = F.transform(grams, lambda x, i: F.struct(x["q"].alias("q"), x["g"].alias("g"), F.size(F.filter(F.slice(grams, 1, i), lambda h: h == x)).alias("nth")))
+        grams = F.transform(places, lambda i: F.substring(F.col("word"), i, F.lit(q)))
+        nth = lambda all_, x, i: F.size(F.filter(F.slice(all_, 1, i), lambda h: h == x))
+        numbered = _bound(grams, lambda all_: F.transform(all_, lambda x, i: F.struct(F.lit(q).alias("q"), x.alias("g"), nth(all_, x, i).alias("nth"))))
         return F.when(F.col("size") >= q, numbered).otherwise(F.array().cast("array<struct<q:int,g:string,nth:int>>"))
 
-    return words.select("word", *_letters("word"), *more).select(*KEPT, *more, F.inline(F.concat(*(cut(q) for q in GRAM_LENGTHS))))
+    sized = words.select("word", F.length("word").alias("size"), _letters("word").alias("x"), *more)
+    return sized.select("word", "size", "x.low", "x.high", "x.more", *more, F.inline(F.concat(*(cut(q) for q in GRAM_LENGTHS))))
 
 
 def _by_rarity(grams: DataFrame, counts: DataFrame, *more: str) -> DataFrame:

@@ -39,7 +39,7 @@ def test_long_list_is_not_compared_in_full(spark):
     """A list of 100,000 names: under one pair in a hundred is compared, and every planted name is found."""
     syllables = ["ba", "ce", "di", "fo", "gu", "ha", "je", "ki", "lo", "mu", "na", "pe", "qui", "ro", "su", "ta", "ve", "wi", "xo", "zu"]
     pick = lambda k: F.element_at(F.array(*map(F.lit, syllables)), (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(20)) + 1).cast("int"))
-    names = spark.range(140_000).select(F.upper(F.concat(*(pick(k) for k in range(5)))).alias("entry")).distinct().limit(100_000).cache()
+    names = spark.range(140_000).select(F.upper(F.concat(*(pick(k) for k in range(5)))).alias("entry")).distinct().limit(100_000).repartition(8).cache()
     words = names.filter(F.xxhash64("entry") % 500 == 0).select(F.concat(F.expr("substr(entry, 1, 4)"), F.lit("Y"), F.expr("substr(entry, 6)")).alias("word"), "entry").cache()
     n = words.count()
     assert names.count() == 100_000 and n > 100
