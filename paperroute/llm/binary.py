@@ -90,7 +90,7 @@ def write_ids(
 
         count = 0
         for batch in in_slices(batches, "text"):
-            texts = word_encoder(model).encode(batch.column("text").to_pylist())
+            texts = word_encoder(model).encode(batch.column("text"))
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
                 doc_ids.append(doc_id)
                 held.append(ids + end)

@@ -36,7 +36,7 @@ def token_pieces(
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, "text"):
             owner, pieces = [], []
-            for i, ids in enumerate(word_encoder(model).encode(batch.column("text").to_pylist())):
+            for i, ids in enumerate(word_encoder(model).encode(batch.column("text"))):
                 ids += end
                 for k in range(0, len(ids), step):
                     owner.append(i)

@@ -86,27 +86,38 @@ def hashes(sums: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray
     return mixed(raw + (ends - begins).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
-def run_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of stretches that are not empty: every eight bytes are mixed with their place, and the results added.
+def eights(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches that are not empty as numbers of eight bytes, the last one filled with zeros.
 
-    Unlike ``hashes`` no algebra relates the hashes of different stretches, so no pair of texts can be
-    written down that collides whatever the constants are.
+    Returns the numbers, where those of each stretch begin, and the place of each number in its stretch.
     """
-    eights = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
-    sizes = ends - begins
-    blocks = (sizes + 7) >> 3
+    at_any = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+    blocks = (ends - begins + 7) >> 3
     first = np.cumsum(blocks) - blocks
     nth = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
     at = np.repeat(begins, blocks) + 8 * nth
-    value = eights[at]
+    value = at_any[at]
     left = np.repeat(ends, blocks) - at
     short = np.flatnonzero(left < 8)
     value[short] &= (np.uint64(1) << (8 * left[short]).astype(np.uint64)) - np.uint64(1)
+    return value, first, nth
+
+
+def hashes_of_eights(value: np.ndarray, first: np.ndarray, nth: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     value = mixed(value ^ mixed((nth + 1).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
     total = np.add.reduceat(value, first) if len(first) else value
     return mixed(total + sizes.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
+def run_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of stretches that are not empty: every eight bytes are mixed with their place, and the results added.
+
+    Unlike ``hashes`` no algebra relates the hashes of different stretches, so no pair of texts can be
+    written down that collides whatever the constants are.
+    """
+    return hashes_of_eights(*eights(data, begins, ends), ends - begins)
+
+
 def together(*parts: np.ndarray) -> np.ndarray:
     """One hash for a tuple of hashes, in order."""
     total = np.zeros(len(parts[0]), np.uint64)

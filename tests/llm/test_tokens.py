@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from cases import EDGES, documents, edge_docs, no_docs
 
-from paperroute.llm import dropout
+from paperroute.llm import dropout, encoding
 from paperroute.llm.binary import document_ids, pack, read_ids, unpack, write_ids
 from paperroute.llm.common import sentence_pieces, tokenizer
 from paperroute.llm.counting import spliced_count, token_counts
@@ -93,6 +93,22 @@ def test_words_are_encoded_as_in_their_texts(some, model):
     assert WordEncoder(model).encode(extra) == want
 
 
+@pytest.mark.parametrize("model", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_in_small_batches_and_with_little_memory(some, model, monkeypatch):
+    """Batches share their words; a memory that is full starts afresh; equal hashes of different words do no harm."""
+    want = [np.array(e.ids, "<u4").tobytes() for e in tokenizer(model).encode_batch(some, add_special_tokens=False)]
+    encoder = WordEncoder(model)
+    assert [encoder.encode([t])[0] for t in some] == want == encoder.encode(some)
+    held = encoder.memory.hash.size
+    assert encoder.encode(some[::-1]) == want[::-1] and encoder.memory.hash.size == held
+    assert encoder.encode([]) == [] and encoder.encode([""]) == [b""]
+    monkeypatch.setattr(encoding, "REMEMBERED_BYTES", 0)
+    assert [encoder.encode([t])[0] for t in some] == want
+    assert encoder.memory.hash.size < held
+    monkeypatch.setattr(encoding, "hashes_of_eights", lambda value, first, nth, sizes: np.asarray(sizes % 3).astype(np.uint64))
+    assert WordEncoder(model).encode(some) == want
+
+
 @pytest.mark.parametrize("bits", [1, 5, 8, 13, 16, 17, 24, 32])
 def test_bit_packing(bits):
     ids = np.random.default_rng(bits).integers(0, 2**bits, 1001, dtype=np.uint64).astype(np.uint32)
