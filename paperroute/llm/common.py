@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from paperroute.session import work_dir
 
+from .words import forget_powers
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -108,3 +110,4 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.R
 def in_slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield from slices(batch, column, most_bytes)
+    forget_powers()

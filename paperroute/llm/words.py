@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 
@@ -27,15 +25,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
 BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
-@lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(size, MULTIPLIER, np.uint64), np.full(size, INVERSE, np.uint64)
-    up[:1] = down[:1] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+_held: list[np.ndarray] = []  # powers of the multiplier and of its inverse, for the longest slice so far
+
+
+def powers(size: int) -> list[np.ndarray]:
+    if not _held or len(_held[0]) < size:
+        _held.clear()
+        for factor in (MULTIPLIER, INVERSE):
+            steps = np.full(-(-size // (1 << 16)) << 16, factor, np.uint64)
+            steps[:1] = 1
+            _held.append(np.multiply.accumulate(steps, out=steps))
+    return _held
 
 
-def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(16, int(size).bit_length()))
+def forget_powers() -> None:
+    """Python workers serve later stages too, which shall not find their memory taken."""
+    _held.clear()
 
 
 class Texts:
