@@ -1,10 +1,12 @@
 import datetime
 import difflib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from paperroute.functions import similarity, text
 from paperroute.functions.dates import parse_deadline
 from paperroute.functions.grouping import as_of, top_per_group, with_previous, with_running
 from paperroute.functions.numeric import with_exact_round
@@ -167,3 +169,31 @@ def test_batched_threshold_equals_brute_force():
     got = reach_floor(quotes, texts, 80.0)
     want = [brute_partial_ratio(q, t) >= 80.0 for q, t in zip(quotes, texts)]
     assert list(got) == want and 20 < sum(want) < 130
+
+
+def test_partial_ratios_of_many_pairs_at_once(spark):
+    """A batch of pairs of all lengths gives what each pair gives alone, and its documents cost no pass of their own each."""
+    rng = random.Random(5)
+    pick = lambda k, kinds: "".join(rng.choice(kinds) for _ in range(k))
+    pairs = [(pick(rng.randrange(90), kinds), pick(rng.randrange(120), kinds)) for kinds in ("abcd e", "aé漢🙂 ") for _ in range(60)] + [("same", "same"), ("abcd", "bcde"), ("", "x"), ("", "")]
+    got = similarity.partial_ratios([a for a, _ in pairs], [b for _, b in pairs])
+    assert list(got) == pytest.approx([brute_partial_ratio(a, b) if a and b else 100.0 * (a == b) for a, b in pairs], abs=1e-9)
+    df = spark.createDataFrame([("ab", None), (None, "ab"), ("ab", "xaby"), ("", "x")], "a string, b string")
+    assert [r[0] for r in df.select(similarity.fn_partial_ratio("a", "b")).collect()] == [None, None, 100.0, 0.0]
+    quotes = [pick(40, "abcdefgh ") for _ in range(500)]
+    steps = []
+    kept, similarity._lcs_spans = similarity._lcs_spans, lambda *a: steps.append(1) or kept(*a)
+    try:
+        similarity.partial_ratios(quotes, [pick(400, "abcdefgh ") for _ in quotes])
+    finally:
+        similarity._lcs_spans = kept
+    assert len(steps) < 50
+
+
+def test_squeeze_leaves_no_other_white_space(spark):
+    """Runs of any white space, alone or mixed, become one blank; characters that are none stay."""
+    ws = [*text.WHITESPACE, "  ", "\t ", " \n", "   ", "　\n\n", "\xa0\xa0"]
+    values = ["", " ", "a b", *(f"{w}a{w}b{w}c d{w}" for w in ws), *(f"漢{w}b {w}" for w in ws), "a​b"]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, s string")
+    got = [r[0] for r in df.orderBy("i").select(text.squeeze(F.col("s"))).collect()]
+    assert got == [re.sub(f"[{text.WHITESPACE}]+", " ", v) for v in values]
