@@ -9,6 +9,7 @@ from ..functions.similarity import seq_ratio_from
 
 GRAM_LENGTHS = (3, 2, 1)
 LEXICON_CUTOFF = 0.75  # fixed value
+TASKS = 16  # tasks for each core that pairs are scored in
 
 
 def _bound(value: Column, use) -> Column:
@@ -111,7 +112,10 @@ def similar_pairs(words: DataFrame, entries: DataFrame, cutoff: float) -> DataFr
 
 def best_entries(words: DataFrame, entries: DataFrame, cutoff: float) -> DataFrame:
     """``word, entry, ratio``: the most similar entry of each word at or above the cutoff; of equals the greatest."""
-    scored = similar_pairs(words, entries, cutoff).withColumn("ratio", seq_ratio_from(cutoff)("entry", "word"))
+    # short rows that take long: Spark would put them in few tasks by their bytes
+    tasks = TASKS * words.sparkSession.sparkContext.defaultParallelism
+    pairs = similar_pairs(words, entries, cutoff).repartition(tasks, "word", "entry")
+    scored = pairs.withColumn("ratio", seq_ratio_from(cutoff)("entry", "word"))
     best = scored.filter(F.col("ratio") >= cutoff).groupBy("word").agg(F.max(F.struct("ratio", "entry")).alias("x"))
     return best.select("word", "x.entry", "x.ratio")
 

@@ -1,12 +1,13 @@
 """Word lists against brute force, and how few pairs are compared."""
 
+import difflib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from paperroute.functions.similarity import seq_ratio_of
-from paperroute.operators.lexicon import match_lexicon, similar_pairs
+from paperroute.operators.lexicon import best_entries, match_lexicon, similar_pairs
 
 
 def misspelt(rng, word):
@@ -49,6 +50,20 @@ def test_long_list_is_not_compared_in_full(spark):
     names.unpersist(), words.unpersist(), pairs.unpersist()
 
 
+def test_pairs_are_scored_in_many_tasks(spark, monkeypatch):
+    """Pairs are few bytes but much work: they are not gathered in as few tasks as their bytes would need, and few are matched block by block."""
+    rng = random.Random(2)
+    entries = sorted({"".join(rng.choice("AEIOST") for _ in range(8)) for _ in range(400)})
+    frame = lambda name, values: spark.createDataFrame([(v,) for v in values], f"{name} string")
+    best = best_entries(frame("word", [e[:3] + "Q" + e[4:] for e in entries]), frame("entry", entries), 0.8)
+    assert best.rdd.getNumPartitions() >= 1 and "REPARTITION_BY_NUM" in best._jdf.queryExecution().executedPlan().toString()
+    matched = []
+    whole = difflib.SequenceMatcher
+    monkeypatch.setattr(difflib, "SequenceMatcher", lambda *a: matched.append(a) or whole(*a))
+    assert seq_ratio_of("ABCDEFGH", "HGFEDCBA", 0.8) == 0.0 and not matched
+    assert seq_ratio_of("ABCDEFGH", "ABCDXFGH", 0.8) == 0.875 and matched
+
+
 def test_null_values_are_dealt_out(spark):
     """No key of the join stands for all rows without a value."""
     df = spark.range(5000).select(F.lit(None).cast("string").alias("drug"))
