@@ -17,7 +17,7 @@ from ..operators.ledger import MAX_ATTEMPTS, RETRY_BASE_MS, first_sightings, rea
 from ..operators.routing import filing_outcome, route
 from ..sources.dimensions import Policy
 from ..sources.files import binary_reader, manifest_rows
-from .claims import claim, claimed
+from .claims import claim, claimed, spread
 from .state import DAY_MS, LastSeen, LedgerRow, StatusMoves
 
 
@@ -65,6 +65,7 @@ def ingest_stream(manifest: DataFrame, ledger: str, checkpoint: str, **trigger)
     so a replay claims the same rows again.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
+        spread(batch, ledger)
         seen = first_sightings(batch).persist()
         claim(seen, ledger, batch_id, state=F.lit("DISCOVERED"), origin=F.lit("SCANNER"), attempts=F.lit(0))
         seen.unpersist()
@@ -178,6 +179,7 @@ def usage_stream(lines: DataFrame, table: str, checkpoint: str, **trigger) -> St
     documents, and a replay years later is still known.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
+        spread(batch, table)
         rows = _usage_rows(batch).persist()
         claim(rows, table, batch_id, "line")
         rows.unpersist()

@@ -92,3 +92,24 @@ def test_usage_lines_count_once(spark, tmp_path):
     assert {k: v[:2] for k, v in got.items()} == {"t0": (1, 10), "t1": (2, 20), "t2": (3, 30)}
     assert got["t1"][2] is None and float(got["t2"][2]) == 1.5
     assert not (tmp_path / "cp" / "state").exists()
+
+
+def test_tasks_of_a_claim_grow_with_the_batch(spark, tmp_path, monkeypatch):
+    """A batch of many lines, or a table of many, is dealt over more tasks than the stream has cores, and counts the same."""
+    monkeypatch.setattr(claims, "TASK_ROWS", 100)
+    widths = []
+    kept = jobs.claim
+    monkeypatch.setattr(jobs, "claim", lambda rows, *a, **k: (widths.append(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), kept(rows, *a, **k)))
+
+    def lines(low, high):
+        used = F.concat(F.lit("2026-01-01T"), F.lpad(F.col("id").cast("string"), 8, "0"))
+        return spark.range(low, high).select(used.alias("used_at"), F.lit("t").alias("tracking_id"), F.lit("classify").alias("stage"), F.col("id").alias("call_no"),
+                                             F.lit(10).cast("long").alias("input_tokens"), F.lit(1).cast("long").alias("output_tokens"), F.lit(0.5).alias("cost_usd"))
+
+    for low, high in ((0, 3000), (2990, 3010)):
+        lines(low, high).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(lines(0, 1).schema).parquet(str(tmp_path / "in"))
+        jobs.usage_stream(stream, str(tmp_path / "t"), str(tmp_path / "cp")).awaitTermination()
+    assert widths == [30, 30]
+    total = jobs.usage_totals(spark, str(tmp_path / "t"), lines(0, 1)).first()
+    assert (total.lines, total.input_tokens) == (3010, 30100)
