@@ -21,6 +21,8 @@ SHORT = 32  # groups of a list whose pairs are looked through before their sets
 WORK = 8  # units of a list outside its largest component, or pairs for each posting, that need no further centres
 FEW = 64  # members that differ in a shingle, up to which it is counted beyond the prefix
 CORE = 50  # percent of similarity at which a document is close to a centre
+BITS = 1 << 15  # bits of a bitmap of Spark
+MAPS = 2048  # bitmaps sent to the rows at most, 8 MB
 MARKS = mixed(np.arange(1, 5, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
 
@@ -36,7 +38,9 @@ def bucket_ranks(rows: DataFrame, words: int, bits: int) -> np.ndarray:
         used = np.flatnonzero(found)
         yield pa.record_batch([pa.array(used.astype(np.int32)), pa.array(found[used])], names=["bucket", "times"])
 
-    sums = rows.select("text").mapInArrow(count, "bucket int, times bigint").groupBy("bucket").agg(F.sum("times").alias("times")).toArrow()
+    counts = saved(rows.select("text").mapInArrow(count, "bucket int, times bigint").groupBy("bucket").agg(F.sum("times").alias("times")), "buckets")
+    sums = counts.toArrow()
+    discard(counts)
     total = np.zeros(size, np.int64)
     total[sums.column("bucket").to_numpy()] = sums.column("times").to_numpy()
     rank = np.empty(size, np.int32)
@@ -117,19 +121,35 @@ class Sets(NamedTuple):
     prefix: DataFrame
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
-    """Pairs with the set of one side; the set of a document of many pairs is repeated, so that its pairs part."""
+def among(rows: DataFrame, node: str, wanted: DataFrame, column: str, count: int) -> DataFrame:
+    """The rows whose ``node`` is one of the ``count`` wanted ones, and a few others.
+
+    Bitmaps of the hashes of the wanted ones go to the rows, so that these are not shuffled; their size is bounded.
+    """
+    maps = min(MAPS, 1 << (32 * count // BITS).bit_length())
+    place = lambda name: F.pmod(F.xxhash64(name), F.lit(maps * BITS).cast("long"))
+    at = wanted.select(place(column).alias("at")).select(F.floor(F.col("at") / BITS).alias("__map"), (F.col("at") % BITS).alias("at")).repartition("__map")
+    bitmaps = at.groupBy("__map").agg(F.bitmap_construct_agg("at").alias("__bits"))
+    placed = rows.withColumn("__at", place(node)).withColumn("__map", F.floor(F.col("__at") / BITS)).join(F.broadcast(bitmaps), "__map")
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), F.floor(F.col("__at") % BITS / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, (F.col("__at") % 8).cast("int")).bitwiseAND(F.lit(1))
+    return placed.filter(bit == 1).select(*rows.columns)
+
+
+def _with_sets(rows: DataFrame, pairs: DataFrame, count: int, sets: DataFrame, side: str) -> DataFrame:
+    """Rows of pairs with the set of one side; the set of a document of many pairs is repeated, so that its pairs part."""
     hubs = pairs.groupBy(side).agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts")).filter("parts > 1")
     size = [F.col("n").alias(f"n{side}")] if "n" in sets.columns else []
-    own = sets.select(F.col("node").alias(side), F.col("shingles").alias(f"s{side}"), *size)
+    own = among(sets, "node", pairs, side, count).select(F.col("node").alias(side), F.col("shingles").alias(f"s{side}"), *size)
     own = own.join(hubs, side, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    dealt = pairs.join(hubs, side, "left").withColumn("part", F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1))).cast("int"))
+    dealt = rows.join(hubs, side, "left").withColumn("part", F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1))).cast("int"))
     return dealt.drop("parts").join(own, [side, "part"]).drop("part")
 
 
 def with_both_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     pairs = saved(pairs.select("a", "b").distinct(), "pairs")
-    return _with_sets(_with_sets(pairs, sets, "a"), sets, "b")
+    count = pairs.count()
+    return _with_sets(_with_sets(pairs, pairs, count, sets, "a"), pairs, count, sets, "b")
 
 
 def promising(pairs: DataFrame, sets: Sets, percent: int) -> DataFrame:
@@ -170,7 +190,9 @@ def open_lists(entries: DataFrame, links: list[DataFrame]) -> DataFrame:
     sizes = entries.groupBy("key", "c").agg(F.count("*").alias("times"))
     lists = sizes.groupBy("key").agg(F.max(F.struct("times", (-F.col("c")).alias("c"))).alias("x"), F.sum("times").alias("k"))
     lists = lists.filter("k > x.times").select("key", (-F.col("x.c")).alias("main"), "k", (F.col("k") - F.col("x.times")).alias("o"))
-    return saved(entries.join(lists, "key"), "open-lists")
+    now = saved(entries.join(lists, "key"), "open-lists")
+    discard(entries)
+    return now
 
 
 def _compared(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
@@ -179,8 +201,8 @@ def _compared(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("x.unit", "y.unit").alias("a"), F.greatest("x.unit", "y.unit").alias("b")).distinct()
 
 
-def differences_join(stars: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` of members of one star that can be linked though one is not in the component of the centre.
+def differences_join(stars: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """A written step, to be discarded in the end, and the pairs ``a, b`` of members of one star that can be linked though one is not in the component of the centre.
 
     ``stars``: member ``a``, centre ``b``, their components ``ca, cb``, the member's size ``n`` and ``own``, the shingles
     that only one of member and centre has.  The difference of two members is the difference of
@@ -199,25 +221,30 @@ def differences_join(stars: DataFrame, percent: int) -> DataFrame:
         shared = F.ceil((q * (F.col("d") + F.col(least)) - p * F.col("allowed")) / (2 * q))
         rows = rows.withColumn(name, F.col("d") - F.greatest(F.lit(1), shared) + 1)
     rows = saved(rows.select("a", "b", "ca", "cb", "n", "d", "x_upto", "y_upto", F.explode("own").alias("e")), "differences")
-    rare = rows.groupBy("b", "e").agg(F.count("*").alias("f")).filter("f > 1")
+    met = rows.withColumn("f", F.count("*").over(Window.partitionBy("b", "e"))).filter("f > 1")
     # what one member alone differs in only takes a place: it stands before all others
     own = Window.partitionBy("a", "b")
     alone = rows.groupBy("a", "b").agg(F.count("*").alias("all"))
-    met = rows.join(rare, ["b", "e"]).withColumn("nth", F.row_number().over(own.orderBy("f", "e")))
+    met = met.withColumn("nth", F.row_number().over(own.orderBy("f", "e")))
     met = met.withColumn("shared", F.count("*").over(own)).withColumn("few", F.count(F.when(F.col("f") <= FEW, 1)).over(own))
     met = met.join(alone, ["a", "b"]).withColumn("before", F.col("all") - F.col("shared"))
     for name in ("x_upto", "y_upto"):  # beyond the prefix, what few members differ in is counted too
         met = met.withColumn(name, F.greatest(name, F.col("before") + F.col("few")))
     met = met.withColumn("i", F.col("nth") + F.col("before")).filter(F.col("i") <= F.greatest("x_upto", "y_upto"))
-    met = saved(met.select("a", "b", "ca", "cb", "n", "d", "x_upto", "y_upto", "e", "i"), "met")
+    met = saved(met.select("a", "b", "ca", "cb", "n", "d", "x_upto", "y_upto", "e", "i", (F.col("all") - F.col("i")).alias("behind")), "met")
+    discard(rows)
     x, y = met.filter("ca <> cb AND i <= x_upto").alias("x"), met.filter("i <= y_upto").alias("y")
-    pairs = x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.ca") != F.col("y.ca")))
+    # what two members share stands at this place or before, or behind it
+    upto = F.least("x.i", "y.i") + F.least("x.behind", "y.behind")
+    sizes = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    near = sizes & (q * (F.col("x.d") + F.col("y.d") - 2 * upto) <= p * (F.col("x.n") + F.col("y.n")))
+    pairs = x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.ca") != F.col("y.ca")) & near)
     names = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "xy" for c in ("a", "n", "d")]
     rest = F.greatest(F.col("x.d") - F.col("x.x_upto"), F.col("y.d") - F.col("y.y_upto")).alias("rest")
     pairs = pairs.groupBy(F.col("x.b"), *names, rest).agg(F.count("*").alias("both"))
     # what is not counted lies behind the end of one prefix or the other
     pairs = pairs.filter(q * (F.col("x_d") + F.col("y_d") - 2 * (F.col("both") + F.col("rest"))) <= p * (F.col("x_n") + F.col("y_n")))
-    return pairs.select(F.least("x_a", "y_a").alias("a"), F.greatest("x_a", "y_a").alias("b")).distinct()
+    return met, pairs.select(F.least("x_a", "y_a").alias("a"), F.greatest("x_a", "y_a").alias("b")).distinct()
 
 
 def large_lists(entries: DataFrame, sets: Sets, percent: int) -> DataFrame:
@@ -245,10 +272,14 @@ def large_lists(entries: DataFrame, sets: Sets, percent: int) -> DataFrame:
         stars = stars.select("a", "b", F.size("sa").cast("long").alias("n"), ((100 + CORE) * F.col("common") >= CORE * F.col("sizes")).alias("core"),
                              F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")).alias("own"))
         stars = saved(stars.join(around, ["a", "b"]), "stars")
-        found.append(saved(differences_join(stars.drop("core"), percent), "met-pairs"))
+        met, pairs = differences_join(stars.drop("core"), percent)
+        found.append(saved(pairs, "met-pairs"))
+        discard(met)
         close = stars.filter("core").select(F.col("a").alias("unit"), "b").distinct()
         settled = loose.join(centre, "key").join(close, ["unit", "b"]).select("key", "unit").union(centre.select("key", F.col("b").alias("unit")))
-        loose = saved(loose.join(settled.distinct(), ["key", "unit"], "left_anti"), "loose")
+        left = saved(loose.join(settled.distinct(), ["key", "unit"], "left_anti"), "loose")
+        discard(centre, around, stars, *([loose] if loose is not entries else []))
+        loose = left
     return _union([*found, _compared(loose, loose, percent)])
 
 
@@ -268,6 +299,7 @@ def linked_in_lists(entries: DataFrame, members: DataFrame | None, sets: Sets, p
     links = [saved(verified(pairs.select(F.col("x.unit").alias("a"), F.col("y.unit").alias("b")), sets, percent), "links")]
 
     now = open_lists(entries, links)
+    discard(entries)
     small = now.filter(F.col("o") <= WORK)
     pairs = _compared(small.filter("c <> main"), small, percent)
     large = now.filter(F.col("o") > WORK).select("key", "unit", "n", "pos", "c")
@@ -276,9 +308,11 @@ def linked_in_lists(entries: DataFrame, members: DataFrame | None, sets: Sets, p
             of = members.select(F.col("unit").alias(side), "node")
             pairs = pairs.join(of, side).drop(side).withColumnRenamed("node", side)
         large = large.join(members, "unit").select("key", F.col("node").alias("unit"), "n", "pos", "c")
-    pairs = pairs.select("a", "b").unionByName(large_lists(saved(large, "large-lists"), sets, percent))
+    large = saved(large, "large-lists")
+    pairs = pairs.select("a", "b").unionByName(large_lists(large, sets, percent))
     # two pairs of each document first; what they connect need not be verified pair by pair
     pairs = saved(pairs.distinct(), "open-pairs")
+    discard(now, large)
     some = pairs.groupBy("a").agg(F.min("b").alias("b")).unionByName(pairs.groupBy("b").agg(F.min("a").alias("a")))
     links.append(saved(verified(some, sets, percent), "links"))
     found = components_by(links, "node", "c")
@@ -325,16 +359,19 @@ def jaccard_components(docs: DataFrame, percent: int = 85, words: int = 4, bits:
     heads = groups.select(F.col("gid").alias("doc_id"), "p0", "p1", "n")
     posted = linked.join(heads, ["doc_id", "p0", "p1", "n"]).select(F.col("doc_id").alias("gid"), "n", F.posexplode("prefix").alias("pos", "key"))
     posted = posted.withColumn("pos", F.col("pos") + 1)
-    shared = posted.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
-    posts = saved(posted.join(shared, "key"), "posts")
+    posted = posted.withColumn("k", F.count("*").over(Window.partitionBy("key")))
+    posts = saved(posted.filter("k > 1").select("key", "gid", "n", "pos"), "posts")
     of = saved(linked.join(classes.select("f0", "f1", "n", "node"), ["f0", "f1", "n"]).select("doc_id", "node"), "classes-of")
     narrow = saved(signed.select("doc_id", "n", "f0", "f1"), "sizes")
 
     several = saved(classes.join(groups.filter("m > 1"), ["p0", "p1", "n"]).select("gid", "node", "n"), "members")
-    wanted = saved(several.select("node").union(with_partner(posts, percent)).distinct().select(F.col("node").alias("doc_id")), "wanted").hint("shuffle_hash")
-    prefixes = linked.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), F.col("prefix").alias("shingles"), "n").distinct()
-    sets = Sets(saved(set_rows(rows.join(wanted, "doc_id", "left_semi"), words), "sets"), saved(prefixes, "prefix-sets"))
+    wanted = saved(several.select("node").union(with_partner(posts, percent)).distinct().select(F.col("node").alias("doc_id")), "wanted")
+    count = wanted.count()
+    prefixes = among(linked, "doc_id", wanted, "doc_id", count).select(F.col("doc_id").alias("node"), F.col("prefix").alias("shingles"), "n").distinct()
+    prefixes = saved(prefixes, "prefix-sets")
     discard(signed)
+    sets = Sets(saved(set_rows(among(rows, "doc_id", wanted, "doc_id", count), words), "sets"), prefixes)
+    discard(wanted)
 
     inside = linked_in_lists(several.select(F.col("gid").alias("key"), F.col("node").alias("unit"), "n", F.lit(1).alias("pos")), None, sets, percent)
     units = several.join(components_by(inside, "node", "unit"), "node", "left")
