@@ -15,12 +15,11 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     linked to the least node of its neighbourhood, until the links stand still as one star for each
     component.  Rounds grow with the logarithm of the longest path.  Least neighbours are found by
     aggregates that combine before the shuffle and are joined back, so a node with very many links
-    is no single task; each round is a written table.
+    is no single task; each round is a written table.  Links that are stars need no further round.
     """
     low, high = F.least(a, b), F.greatest(a, b)
     links = saved(links.select(high.alias("u"), low.alias("v")).filter("u <> v").distinct(), "links")
-    mark = None
-    while True:
+    while not _are_stars(links):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -29,7 +28,11 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
         small = small.select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).filter("u <> v").distinct()
         links = saved(small, "small-star")
-        now = links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == mark:
-            return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        mark = now
+    return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def _are_stars(links: DataFrame) -> bool:
+    """Whether no node has two lesser neighbours, or lesser and larger ones."""
+    ends = links.select("u", F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(links.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1 AND up > 0").isEmpty()

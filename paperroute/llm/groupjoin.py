@@ -18,8 +18,8 @@ from .words import Texts, mixed
 SLICE = 1 << 20
 HUB = 512  # pairs of one document that one task verifies
 SHORT = 32  # groups of a list whose pairs are looked through before their sets are fetched
-WORK = 8  # units of a list outside its largest component, or pairs for each posting, that need no further centres
-FEW = 64  # members that differ in a shingle, up to which it is counted beyond the prefix
+WORK = 8  # pairs for each posting of a list that need no further centres
+STEPS = 16  # steps for each doubling in which the sizes of a list are counted
 CORE = 50  # percent of similarity at which a document is close to a centre
 BITS = 1 << 15  # bits of a bitmap of Spark
 MAPS = 2048  # bitmaps sent to the rows at most, 8 MB
@@ -183,9 +183,7 @@ def components_by(links: list[DataFrame], node: str, name: str) -> DataFrame:
 
 def open_lists(entries: DataFrame, links: list[DataFrame]) -> DataFrame:
     """Entries of lists that hold more than one component: ``c``, the list's largest one ``main``, its size ``k`` and ``o``, how many are outside ``main``."""
-    entries = entries.withColumn("c", F.col("unit")) if not links else (
-        entries.join(components_by(links, "unit", "c"), "unit", "left").withColumn("c", F.coalesce("c", "unit"))
-    )
+    entries = entries.join(components_by(links, "unit", "c"), "unit", "left").withColumn("c", F.coalesce("c", "unit"))
     entries = saved(entries.select("key", "unit", "n", "pos", "c"), "placed")
     sizes = entries.groupBy("key", "c").agg(F.count("*").alias("times"))
     lists = sizes.groupBy("key").agg(F.max(F.struct("times", (-F.col("c")).alias("c"))).alias("x"), F.sum("times").alias("k"))
@@ -195,6 +193,24 @@ def open_lists(entries: DataFrame, links: list[DataFrame]) -> DataFrame:
     return now
 
 
+def crowded_lists(now: DataFrame, percent: int) -> DataFrame:
+    """Keys of the open lists in which more than ``WORK`` pairs for each posting might be linked by sizes and places.
+
+    By ``can_link`` each of two entries has a largest size of the other.  Entries are counted by the steps of
+    their own and of that size, so what a list gathers is bounded however long it is; two counts pair
+    if the steps allow it.  Of two units in different components one is outside ``main``.
+    """
+    upto = F.floor((100 + percent) * (1 + F.col("n") - F.col("pos")) / percent) - F.col("n")
+    step = lambda size: F.floor(STEPS * F.log2(size)).cast("int")
+    some = now.filter(F.col("o") > WORK).withColumn("upto", upto).filter("upto > 0")
+    cells = some.groupBy("key", "k", step(F.col("n")).alias("own"), step(F.col("upto")).alias("upto"))
+    cells = cells.agg(F.count("*").alias("times"), F.count(F.when(F.col("c") != F.col("main"), 1)).alias("outs"))
+    lists = cells.groupBy("key", "k").agg(F.collect_list(F.struct("own", "upto", "times", "outs")).alias("cells"))
+    pairs = F.expr("""aggregate(filter(cells, x -> x.outs > 0), 0L, (sum, x) -> sum + x.outs *
+        aggregate(filter(cells, y -> y.own <= x.upto AND x.own <= y.upto), 0L, (n, y) -> n + y.times))""")
+    return lists.filter(pairs > WORK * F.col("k")).select("key")
+
+
 def _compared(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b`` of a list, of different components, that can be linked."""
     pairs = x.alias("x").join(y.alias("y"), "key").filter((F.col("x.c") != F.col("y.c")) & can_link("x", "y", percent))
@@ -214,22 +230,19 @@ def differences_join(stars: DataFrame, percent: int) -> tuple[DataFrame, DataFra
     """
     p, q = 100 - percent, 100 + percent
     stars = stars.withColumn("d", F.size("own").cast("long"))
+    stars = stars.withColumn("all", F.sum("d").over(Window.partitionBy("a", "b")))
     bounds = stars.groupBy("b").agg(F.min("d").alias("any_d"), F.min(F.expr("CASE WHEN ca <> cb THEN d END")).alias("out_d"), F.max("n").alias("most"))
     bounds = bounds.filter("out_d IS NOT NULL")
     rows = stars.join(bounds, "b").withColumn("allowed", F.col("n") + F.least(F.col("most"), F.floor(F.col("n") * 100 / percent)))
     for name, least in (("x_upto", "any_d"), ("y_upto", "out_d")):
         shared = F.ceil((q * (F.col("d") + F.col(least)) - p * F.col("allowed")) / (2 * q))
         rows = rows.withColumn(name, F.col("d") - F.greatest(F.lit(1), shared) + 1)
-    rows = saved(rows.select("a", "b", "ca", "cb", "n", "d", "x_upto", "y_upto", F.explode("own").alias("e")), "differences")
+    rows = saved(rows.select("a", "b", "ca", "cb", "n", "d", "all", "x_upto", "y_upto", F.explode("own").alias("e")), "differences")
     met = rows.withColumn("f", F.count("*").over(Window.partitionBy("b", "e"))).filter("f > 1")
     # what one member alone differs in only takes a place: it stands before all others
     own = Window.partitionBy("a", "b")
-    alone = rows.groupBy("a", "b").agg(F.count("*").alias("all"))
     met = met.withColumn("nth", F.row_number().over(own.orderBy("f", "e")))
-    met = met.withColumn("shared", F.count("*").over(own)).withColumn("few", F.count(F.when(F.col("f") <= FEW, 1)).over(own))
-    met = met.join(alone, ["a", "b"]).withColumn("before", F.col("all") - F.col("shared"))
-    for name in ("x_upto", "y_upto"):  # beyond the prefix, what few members differ in is counted too
-        met = met.withColumn(name, F.greatest(name, F.col("before") + F.col("few")))
+    met = met.withColumn("before", F.col("all") - F.count("*").over(own))
     met = met.withColumn("i", F.col("nth") + F.col("before")).filter(F.col("i") <= F.greatest("x_upto", "y_upto"))
     met = saved(met.select("a", "b", "ca", "cb", "n", "d", "x_upto", "y_upto", "e", "i", (F.col("all") - F.col("i")).alias("behind")), "met")
     discard(rows)
@@ -283,15 +296,15 @@ def large_lists(entries: DataFrame, sets: Sets, percent: int) -> DataFrame:
     return _union([*found, _compared(loose, loose, percent)])
 
 
-def linked_in_lists(entries: DataFrame, members: DataFrame | None, sets: Sets, percent: int) -> list[DataFrame]:
+def linked_in_lists(entries: DataFrame, members: DataFrame, sets: Sets, percent: int) -> list[DataFrame]:
     """Links from which the components of all linked pairs of units that share a list follow.
 
     ``entries``: ``key, unit, n, pos``, a unit posted in a list at a place of its prefix; ``members``:
-    ``unit, node``, or none if units are documents.  First the least unit of each list is its centre and
+    ``unit, node``.  First the least unit of each list is its centre and
     is verified with all others that it can be linked with, by one member each.  Lists that are one component
     then close.  In the others the units outside the largest component are compared with those of other
     components, member by member: of two units in different components one is outside.  Lists with more
-    than ``WORK`` units outside go to ``large_lists``.
+    than ``WORK`` pairs for each posting go to ``large_lists``.
     """
     entries = saved(entries, "entries")
     first = entries.groupBy("key").agg(F.min(F.struct("unit", "n", "pos")).alias("m")).select("key", "m.*")
@@ -300,19 +313,18 @@ def linked_in_lists(entries: DataFrame, members: DataFrame | None, sets: Sets, p
 
     now = open_lists(entries, links)
     discard(entries)
-    small = now.filter(F.col("o") <= WORK)
+    crowded = saved(crowded_lists(now, percent), "crowded")
+    small = now.join(crowded, "key", "left_anti")
     pairs = _compared(small.filter("c <> main"), small, percent)
-    large = now.filter(F.col("o") > WORK).select("key", "unit", "n", "pos", "c")
-    if members is not None:
-        for side in ("a", "b"):
-            of = members.select(F.col("unit").alias(side), "node")
-            pairs = pairs.join(of, side).drop(side).withColumnRenamed("node", side)
-        large = large.join(members, "unit").select("key", F.col("node").alias("unit"), "n", "pos", "c")
-    large = saved(large, "large-lists")
+    for side in ("a", "b"):
+        of = members.select(F.col("unit").alias(side), "node")
+        pairs = pairs.join(of, side).drop(side).withColumnRenamed("node", side)
+    large = now.join(crowded, "key").join(members, "unit")
+    large = saved(large.select("key", F.col("node").alias("unit"), "n", "pos", "c"), "large-lists")
     pairs = pairs.select("a", "b").unionByName(large_lists(large, sets, percent))
     # two pairs of each document first; what they connect need not be verified pair by pair
     pairs = saved(pairs.distinct(), "open-pairs")
-    discard(now, large)
+    discard(now, crowded, large)
     some = pairs.groupBy("a").agg(F.min("b").alias("b")).unionByName(pairs.groupBy("b").agg(F.min("a").alias("a")))
     links.append(saved(verified(some, sets, percent), "links"))
     found = components_by(links, "node", "c")
@@ -334,11 +346,11 @@ def jaccard_components(docs: DataFrame, percent: int = 85, words: int = 4, bits:
 
     1. All shingles are counted in 2**bits buckets; sets are ordered from rare to frequent.  The first shingles
        of a set, its prefix, hold one of every set it can be linked with.  Equal sets are one class.
-    2. Classes with the same prefix and size are one group.  Its members are compared with one of them,
-       and those not connected then with all others (``linked_in_lists``); connected members are one unit.
-    3. Groups are posted under the shingles of their prefix; shingles of one group only go.  Units that
-       share a shingle pass if their sizes and the places of the shingle allow a link.  Pairs of units
-       are expanded to members and verified on whole sets, centres first, so a
+    2. Classes with the same prefix and size are one group.  Its members are compared with the least of them,
+       and those linked with it are one unit; each other member is a unit.
+    3. Groups are posted under the shingles of their prefix; shingles of one group only go.  Units of one group have a list
+       of their own.  Units that share a list pass if their sizes and the places of the shingle allow a link.  Pairs of units
+       are expanded to members and verified on whole sets, centres first (``linked_in_lists``), so a
        large group of near copies is never paired with itself.
     4. Components of the links.
 
@@ -373,19 +385,23 @@ def jaccard_components(docs: DataFrame, percent: int = 85, words: int = 4, bits:
     sets = Sets(saved(set_rows(among(rows, "doc_id", wanted, "doc_id", count), words), "sets"), prefixes)
     discard(wanted)
 
-    inside = linked_in_lists(several.select(F.col("gid").alias("key"), F.col("node").alias("unit"), "n", F.lit(1).alias("pos")), None, sets, percent)
-    units = several.join(components_by(inside, "node", "unit"), "node", "left")
-    units = saved(units.select("gid", "node", F.coalesce("unit", "node").alias("unit")), "units")
+    others = several.filter("node <> gid").select(F.col("gid").alias("a"), F.col("node").alias("b"))
+    inside = saved(verified(others, sets, percent).distinct(), "links")
+    units = several.join(inside.select(F.col("a").alias("gid"), F.col("b").alias("node"), F.col("a").alias("unit")), ["gid", "node"], "left")
+    units = saved(units.select("gid", "node", "n", F.coalesce("unit", "node").alias("unit")), "units")
     alone = posts.join(units.select("gid").distinct(), "gid", "left_anti").withColumn("unit", F.col("gid"))
     split = posts.join(units.select("gid", "unit").distinct(), "gid")
-    entries = alone.unionByName(split).select("key", "unit", "n", "pos")
+    # a group's prefix may be in no other one, so its units have a list of their own under the number of the group
+    parted = units.join(units.filter("unit <> gid").select("gid").distinct(), "gid")
+    parted = parted.select(F.col("gid").alias("key"), "unit", "n", F.lit(1).alias("pos")).distinct()
+    entries = alone.unionByName(split).select("key", "unit", "n", "pos").unionByName(parted)
     members = units.select("unit", "node").unionByName(alone.select("unit", F.col("unit").alias("node")).distinct())
     across = linked_in_lists(entries, members, sets, percent)
 
     # an id whose rows are in several classes joins them
     repeated = of.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("doc_id", "a")
     repeated = of.join(repeated, "doc_id").select("a", F.col("node").alias("b"))
-    found = connected_components(_union([*inside, *across, repeated]))
+    found = connected_components(_union([inside, *across, repeated]))
     named = classes.join(found, "node", "left").select("f0", "f1", "n", F.coalesce("component", "node").alias("component"))
     out = narrow.join(named, ["f0", "f1", "n"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))

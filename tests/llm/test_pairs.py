@@ -10,7 +10,7 @@ import pytest
 from cases import EDGES, complements, documents, edge_docs, no_docs, plain_counts, plain_near_duplicates, shingle_set
 from pyspark.sql import functions as F
 
-from paperroute.llm import common, groupjoin, hardnegatives
+from paperroute.llm import common, components, groupjoin, hardnegatives
 from paperroute.llm.groupjoin import jaccard_components
 from paperroute.llm.hardnegatives import hard_negatives
 from paperroute.llm.infilling import fill_in_middle, restored, unit_ends
@@ -233,3 +233,20 @@ def test_group_join_keeps_no_steps_and_sends_few_sets(spark, tmp_path, monkeypat
     jaccard_components(docs).collect()
     left = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
     assert not left & {"buckets", "prefixes", "wanted", "entries", "placed", "open-lists", "large-lists", "centres", "around", "stars", "differences", "met"}
+
+
+def test_group_join_of_sizes_apart_needs_no_centres(spark, monkeypatch):
+    """Documents that share a shingle and differ in size are never held against a centre; links of stars take no round."""
+    entries, steps = [], []
+    keep, save = groupjoin.large_lists, common.saved
+    monkeypatch.setattr(groupjoin, "large_lists", lambda rows, *how: entries.append(rows.count()) or keep(rows, *how))
+    for module in (groupjoin, components):
+        monkeypatch.setattr(module, "saved", lambda df, label: steps.append(label) or save(df, label))
+    docs = [(i, " ".join(["a b c d", *(f"w{i}x{k}" for k in range(round(4 * 1.3**i)))])) for i in range(20)]
+    assert components_of(spark, docs) == plain_components(docs)
+    assert entries == [0]
+    assert len(steps) < 45
+    links = spark.createDataFrame([(5, 1), (3, 1), (1, 4), (7, 6)], "a long, b long")
+    steps.clear()
+    assert {(r.node, r.component) for r in components.connected_components(links).collect()} == {(5, 1), (3, 1), (4, 1), (7, 6)}
+    assert steps == ["links"]
