@@ -29,7 +29,7 @@ def _arrive(
     streams = stream_session(spark)
     root = work_dir(spark, label)
     for part in parts:
-        part.write.mode("append").parquet(f"{root}/in")
+        part.write.mode("append").option("compression", "zstd").parquet(f"{root}/in")
         stream = streams.readStream.schema(part.schema).parquet(f"{root}/in")
         start(stream, f"{root}/out", f"{root}/checkpoint").awaitTermination()
     return spark, f"{root}/out"

@@ -8,16 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.grouping import earliest_by, latest_by
+from ..functions.grouping import latest_by
 from ..operators.ledger import MAX_ATTEMPTS, RETRY_BASE_MS, first_sightings, readiness_rule, throughput
 from ..operators.routing import filing_outcome, route
+from ..session import work_dir
 from ..sources.dimensions import Policy
 from ..sources.files import binary_reader, manifest_rows
-from .claims import claim, claimed, spread
+from .claims import LOOKUPS, claim, claimed, shuffles_dropped, sliced, slices_for, spread
 from .state import DAY_MS, LastSeen, LedgerRow, StatusMoves
 
 
@@ -165,37 +166,63 @@ def dashboard_counts(spark: SparkSession, table: str) -> DataFrame:
 # ------------------------------------------------------------------ usage
 
 
+USAGE = ["tracking_id", "stage", "input_tokens", "output_tokens"]
+
+
+def _line_time() -> Column:
+    """What the key of a line begins with."""
+    return F.concat(F.coalesce(F.col("used_at").cast("string"), F.lit("")), F.lit("|"))
+
+
 def _usage_rows(lines: DataFrame) -> DataFrame:
-    """One row per line with its key: its time, then a hash of all that it says."""
-    key = F.concat_ws("|", F.coalesce(F.col("used_at").cast("string"), F.lit("")), F.sha2(F.to_json(F.struct(*lines.columns)), 256))
-    rows = lines.select("tracking_id", "stage", "input_tokens", "output_tokens", "cost_usd", key.alias("line"))
-    return earliest_by(rows, ["line"], ["input_tokens", "output_tokens"]).withColumn("cost_usd", F.col("cost_usd").cast("decimal(24,10)"))
+    """One row per line with its key: its time, then 128 bits of a hash of all that it says."""
+    digest = F.sha2(F.to_json(F.struct(*lines.columns)), 256).substr(1, 32)
+    rows = lines.select(*USAGE, "cost_usd", F.concat(_line_time(), digest).alias("line"))
+    # rows of one key say the same, so any of them will do
+    rows = rows.groupBy("line").agg(F.first(F.struct(*USAGE, "cost_usd")).alias("__row")).select("line", "__row.*")
+    return rows.withColumn("cost_usd", F.col("cost_usd").cast("decimal(24,10)"))
 
 
 def usage_stream(lines: DataFrame, table: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Every usage line once, however often it is sent: lines of an earlier batch are left out.
 
     Lines are claimed in a table by time and call, so no state is kept in the stream, for open or closed
-    documents, and a replay years later is still known.
+    documents, and a replay years later is still known.  A large batch is claimed in slices that take turns on the disk.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
-        spread(batch, table)
-        rows = _usage_rows(batch).persist()
-        claim(rows, table, batch_id, "line")
-        rows.unpersist()
+        # a digest lies behind "|" and before "|g"
+        rows, *span = batch.agg(F.count("*"), F.min(_line_time()), F.max(F.concat(_line_time(), F.lit("g")))).first()
+        slices = spread(batch, table, rows)
+        for i in range(slices):
+            part = sliced(batch, USAGE, i, slices)
+            claim(_usage_rows(part), table, batch_id, "line", span=tuple(span) if rows > LOOKUPS else None, by=USAGE, part=(i, slices))
 
     return run_stream(lines, checkpoint, each, trigger=trigger or None)
 
 
 def usage_totals(spark: SparkSession, table: str, lines: DataFrame) -> DataFrame:
-    """Token and cost totals per document and stage of such a stream; a null total has an unpriced call."""
-    totals = claimed(spark, table, _usage_rows(lines).schema).groupBy("tracking_id", "stage").agg(
-        F.count("*").alias("lines"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
-        F.sum("cost_usd").alias("__cost"), F.count_if(F.col("cost_usd").isNull()).alias("__unpriced"),
-    )
-    return totals.select(
-        "tracking_id", "stage", "lines", "input_tokens", "output_tokens", F.when(F.col("__unpriced") == 0, F.col("__cost")).alias("cost_usd")
-    )
+    """Token and cost totals per document and stage of such a stream; a null total has an unpriced call.
+
+    Those of a large table are written to a working folder, slice by slice.
+    """
+    keys = ["tracking_id", "stage"]
+    rows = claimed(spark, table, _usage_rows(lines).schema)
+
+    def totals(part: DataFrame) -> DataFrame:
+        sums = part.groupBy(*keys).agg(
+            F.count("*").alias("lines"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
+            F.sum("cost_usd").alias("__cost"), F.count_if(F.col("cost_usd").isNull()).alias("__unpriced"),
+        )
+        return sums.select(*keys, "lines", "input_tokens", "output_tokens", F.when(F.col("__unpriced") == 0, F.col("__cost")).alias("cost_usd"))
+
+    slices = slices_for(rows.count())
+    if slices == 1:
+        return totals(rows)
+    path = work_dir(spark, "usage-totals")
+    with shuffles_dropped(spark):
+        for i in range(slices):
+            totals(sliced(rows, keys, i, slices)).write.mode("append").option("compression", "zstd").parquet(path)
+    return spark.read.schema(totals(rows).schema).parquet(path)
 
 
 # ------------------------------------------------------------------ upserts

@@ -1,3 +1,4 @@
+import os
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -113,3 +114,77 @@ def test_tasks_of_a_claim_grow_with_the_batch(spark, tmp_path, monkeypatch):
     assert widths == [30, 30]
     total = jobs.usage_totals(spark, str(tmp_path / "t"), lines(0, 1)).first()
     assert (total.lines, total.input_tokens) == (3010, 30100)
+
+
+def usage_lines(spark, ids):
+    """Two lines of each id; some values are null, and a third of the lines belong to one document."""
+    n = F.col("id")
+    used = F.concat(F.lit("2026-01-"), F.lpad((n % 28 + 1).cast("string"), 2, "0"), F.lit("T00:00:00"))
+    return ids.select(
+        F.when(n % 11 != 0, used).alias("used_at"), F.when(n % 3 != 0, F.concat(F.lit("t"), (n / 4).cast("long"))).alias("tracking_id"),
+        F.when(n % 7 != 0, "classify").alias("stage"), n.alias("call_no"), F.when(n % 5 != 0, n % 50).alias("input_tokens"),
+        (n % 9).alias("output_tokens"), F.when(n % 1000 != 1, n / 8).alias("cost_usd"),
+    ).withColumn("again", F.explode(F.array(F.lit(1), F.lit(2)))).drop("again")
+
+
+def shuffle_bytes(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+    return sum(os.path.getsize(f) for f in files if "/shuffle_" in f and os.path.exists(f))
+
+
+def test_usage_needs_little_disk_beside_its_table(spark, tmp_path, monkeypatch):
+    """Large batches are claimed slice by slice: no shuffle of one outlasts it, keys are short, totals are those of all lines."""
+    monkeypatch.setattr(claims, "SLICE_ROWS", 10_000, raising=False)
+    before, held, parts, kept = shuffle_bytes(spark), [], [], jobs.claim
+
+    def watched(*a, **k):
+        kept(*a, **k)
+        held.append(shuffle_bytes(spark) - before)
+        parts.append(k.get("part"))
+
+    monkeypatch.setattr(jobs, "claim", watched)
+    shape = usage_lines(spark, spark.range(1)).schema
+    for low, high in ((0, 30_000), (0, 40_000), (39_000, 40_010), (5, 9)):
+        usage_lines(spark, spark.range(low, high)).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(shape).parquet(str(tmp_path / "in"))
+        jobs.usage_stream(stream, str(tmp_path / "t"), str(tmp_path / "cp")).awaitTermination()
+    assert max(held) < 40_010 * 5
+    assert parts == [(i, n) for n in (6, 8, 4, 1) for i in range(n)]
+    stored = sum(f.stat().st_size for f in (tmp_path / "t").rglob("*.parquet"))
+    assert stored < 40_010 * 50
+    got = jobs.usage_totals(spark, str(tmp_path / "t"), usage_lines(spark, spark.range(1)))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = usage_lines(spark, spark.range(40_010)).distinct().withColumn("cost_usd", F.col("cost_usd").cast("decimal(24,10)")).groupBy("tracking_id", "stage").agg(
+        F.count("*").alias("lines"), F.sum("input_tokens"), F.sum("output_tokens"), F.when(F.count("cost_usd") == F.count("*"), F.sum("cost_usd")))
+    assert sorted(map(str, got.collect())) == sorted(map(str, (got.sparkSession.createDataFrame(want.rdd, got.schema)).collect()))
+
+
+def test_a_batch_counts_when_its_last_slice_is_written(spark, tmp_path):
+    """What a lost writer left of a batch is not read, and goes when the batch comes again in other slices."""
+    rows, table = hashes(spark, range(100)), str(tmp_path / "t")
+
+    def claim(batch_id, i, n):
+        claims.claim(claims.sliced(rows, ["n"], i, n), table, batch_id, by=["n"], part=(i, n))
+
+    for i in (0, 1):
+        claim(0, i, 3)
+    assert claims.claimed(spark, table, rows.schema).count() == 0
+    for i in (0, 1):
+        claim(0, i, 2)
+    for i in range(4):
+        claim(1, i, 4)
+    got = claims.claimed(spark, table, rows.schema)
+    assert sorted((r.n, r.batch_id) for r in got.collect()) == [(i, 0) for i in range(100)]
+
+
+def test_the_span_of_a_batch_holds_its_keys(spark, tmp_path):
+    """Times of any text, also ones that begin another, lie in the range that the table is read in."""
+    times = ["2026", "2026-01", "a", "a|b", "a|", "", None, "|g", "ä", "z" * 40]
+    lines = spark.createDataFrame([(t, f"t{i}", "classify", i, 10, 1, 0.5) for i in range(110) for t in times],
+                                  "used_at string, tracking_id string, stage string, call_no long, input_tokens long, output_tokens long, cost_usd double").coalesce(2)
+    for _ in range(3):
+        lines.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(lines.schema).parquet(str(tmp_path / "in"))
+        jobs.usage_stream(stream, str(tmp_path / "t"), str(tmp_path / "cp")).awaitTermination()
+    # a line without a time says something else than one with an empty time
+    assert jobs.usage_totals(spark, str(tmp_path / "t"), lines).agg(F.sum("lines")).first()[0] == 1100
